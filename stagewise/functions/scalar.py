@@ -56,8 +56,8 @@ def hash_hex(seed, *parts: Column) -> Column:
 
 
 def hash_index(hex_key: Column, n: Column) -> Column:
-    """Uniform integer in [0, n) from the first 8 hex digits (n below 2**32)."""
-    return F.pmod(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("bigint"), n)
+    """Uniform integer in [0, n) from the first 15 hex digits (60 bits)."""
+    return F.pmod(F.conv(F.substring(hex_key, 1, 15), 16, 10).cast("bigint"), n)
 
 
 def hash_unit(hex_key: Column) -> Column:
