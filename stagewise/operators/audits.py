@@ -135,4 +135,4 @@ def report(checks: list[DataFrame]) -> DataFrame:
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.when("pass", True)).alias("n_pass"), F.count("*").alias("n_total"))
+    return rows.agg(F.count(F.when(F.col("pass"), True)).alias("n_pass"), F.count("*").alias("n_total"))

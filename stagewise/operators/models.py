@@ -29,7 +29,7 @@ N = len(STAGES)
 # Model parameters of the published configuration (depth 30 is Spark's limit for unlimited).
 FOREST = {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 2}
 BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8}
-META_LR = {"maxIter": 2000, "regParam": 0.0}
+META_LR = {"maxIter": 2000, "tol": 1e-4, "standardization": False}
 META_MLP = {"hidden": [32], "maxIter": 500}
 META_BOOSTED = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05}
 
@@ -66,7 +66,7 @@ def fit_boosted(train: DataFrame, seed: int, balanced: bool = False, **params) -
     Classes absent from train get probability 0. The fits share the cached rows.
     """
     rows = weighted(train) if balanced else train.withColumn("weight", F.lit(1.0))
-    seen = sorted(r.y for r in train.select("y").distinct().collect())
+    seen = sorted(int(r.y) for r in train.select("y").distinct().collect())
 
     def one(k: int):
         gbt = GBTClassifier(featuresCol="vec", labelCol="is_k", weightCol="weight", seed=seed, **{**BOOSTED, **params})
@@ -93,9 +93,10 @@ def fit_boosted(train: DataFrame, seed: int, balanced: bool = False, **params) -
 
 
 def fit_logistic(train: DataFrame, seed: int = 0, balanced: bool = True, **params) -> Scorer:
+    """Multinomial regression with unit inverse penalty: 1/n in Spark's per-row scaling."""
     rows = weighted(train) if balanced else train.withColumn("weight", F.lit(1.0))
     lr = LogisticRegression(featuresCol="vec", labelCol="y", weightCol="weight", family="multinomial",
-                            **{**META_LR, **params})
+                            **{**META_LR, "regParam": 1.0 / max(train.count(), 1), **params})
     return _spark_scorer(lr.fit(rows))
 
 

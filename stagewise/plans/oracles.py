@@ -65,6 +65,11 @@ def _scored(w: float) -> str:
         JOIN spl USING (asset_id)))"""
 
 
+def _mode_of(table: str, keys: str, c: str) -> str:
+    return f"""SELECT {keys}, {c} AS {c}__mode FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, {c}) AS rn FROM (
+        SELECT {keys}, {c}, count(*) AS n FROM {table} GROUP BY {keys}, {c})) WHERE rn = 1"""
+
+
 # Named building blocks; `sql` pulls in what a query names, in this order.
 CTE = {
     "rec": f"""(SELECT *, {_severity('stage_label')} AS severity FROM (SELECT event_id, ts AS "timestamp", user_id::VARCHAR AS asset_id,
@@ -74,9 +79,7 @@ CTE = {
     "inst": """(SELECT asset_id, window_id, count(*) AS n_records, min("timestamp") AS window_start_time, avg(value) AS value__mean,
         coalesce(stddev_samp(value), 0) AS value__std, max(value) AS value__max, sum(value) AS value__sum,
         count(DISTINCT event_type) AS event_type__nunique, max(severity)::INT AS severity FROM rec GROUP BY ALL)""",
-    "modes": """(SELECT asset_id, window_id, event_type AS event_type__mode FROM (
-        SELECT asset_id, window_id, event_type, row_number() OVER (PARTITION BY asset_id, window_id ORDER BY count(*) DESC, event_type) AS rn
-        FROM rec GROUP BY ALL) WHERE rn = 1)""",
+    "modes": f"({_mode_of('rec', 'asset_id, window_id', 'event_type')})",
     "lab": f"(SELECT asset_id, window_id, severity, {_stage_name('severity')} AS stage_label FROM inst)",
     "labs": "(SELECT lab.*, split FROM lab JOIN spl USING (asset_id))",
     "con": "(SELECT DISTINCT asset_id, peer_id, window_id FROM rec WHERE peer_id IS NOT NULL)",
@@ -152,11 +155,6 @@ def _numeric(c: str, digits: int) -> str:
                       _r(f"max({c})", f"{c}__max", digits), _r(f"sum({c})", f"{c}__sum", digits)])
 
 
-def _mode_of(table: str, keys: str, c: str) -> str:
-    return f"""SELECT {keys}, {c} AS {c}__mode FROM (SELECT {keys}, {c}, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, {c}) AS rn
-        FROM {table} GROUP BY ALL) WHERE rn = 1"""
-
-
 def _confusion(by: str = "") -> str:
     """Per-class tp, fp, fn over the scored instances."""
     lead = by + ", " if by else ""
@@ -284,7 +282,7 @@ def oracles() -> dict[str, str]:
         (raw_attack_type <> 'normal')::INT AS binary_label, value, event_type FROM rec""")
     q["binary_label_fallback"] = sql("rec", """SELECT CASE WHEN b = 0 THEN 'normal' ELSE 'unknown_attack' END AS raw_attack_type, b AS binary_label, count(*) AS n
         FROM (SELECT (raw_attack_type <> 'normal')::INT AS b FROM rec) GROUP BY ALL""")
-    q["csv_shards"] = sql("rec", """SELECT event_id AS record_id, asset_id, peer_id, raw_attack_type, value, event_type,
+    q["csv_shards"] = sql("rec", """SELECT event_id AS record_id, asset_id, CASE WHEN event_id % 2 = 0 THEN peer_id ELSE 'nan' END AS peer_id, raw_attack_type, value, event_type,
         date_trunc('second', "timestamp")::TIMESTAMP AS second FROM rec""")
     q["unmapped_labels"] = "SELECT DISTINCT event_type AS raw_attack_type FROM events"
     q["stage_counts"] = sql("rec", _STAGE_COUNT)
@@ -301,7 +299,7 @@ def oracles() -> dict[str, str]:
     q["asset_window_instances"] = sql("inst modes", f"""SELECT asset_id, window_id, n_records, window_start_time, {', '.join(_r(f'value__{s}', f'value__{s}') for s in ('mean', 'std', 'max', 'sum'))},
         severity, event_type__nunique, event_type__mode, {_stage_name('severity')} AS stage_label FROM inst JOIN modes USING (asset_id, window_id)""")
     q["lineitem_instances"] = sql("", f"""SELECT a.*, m1.l_returnflag__mode, m2.l_linestatus__mode FROM (
-        SELECT asset_id, window_id, count(*) AS n_records, min(ts) AS window_start_time, {_numeric('l_quantity', 4)}, {_numeric('l_extendedprice', 4)},
+        SELECT asset_id, window_id, count(*) AS n_records, min(ts) AS window_start_time, {_numeric('l_quantity', 6)}, {_numeric('l_extendedprice', 6)},
         max(severity)::INT AS severity, count(DISTINCT l_returnflag) AS l_returnflag__nunique, count(DISTINCT l_linestatus) AS l_linestatus__nunique,
         {_stage_name('max(severity)')} AS stage_label FROM li GROUP BY asset_id, window_id) a
         JOIN ({_mode_of('li', 'asset_id, window_id', 'l_returnflag')}) m1 USING (asset_id, window_id)

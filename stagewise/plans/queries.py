@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions.scalar import hash_hex
-from stagewise.functions.vectors import argmax, evidence_gates, gated_stream, mean_of, severity_of
+from stagewise.functions.vectors import argmax, evidence_gates, gated_stream, mean_of
 from stagewise.operators import (
     audits,
     blocks,
@@ -80,7 +80,7 @@ def binary_label_fallback(spark, folder):
 
 
 def csv_shards(spark, folder):
-    """Write the events as two CSV shards with unlike headers, then scan, match and normalise them."""
+    """Write the events as two CSV shards with unlike headers (one lacks the peer), then scan and normalise them."""
     configure(spark)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     raw = readers.read_events(spark, folder).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
@@ -145,7 +145,7 @@ def lineitem_instances(spark, folder):
     """Suppliers as assets, parts as peers: few assets, very many rows and peers each."""
     configure(spark)
     p = Prepared(readers.read_lineitems(spark, folder), LINEITEMS, LINEITEM_SETTINGS)
-    return rounded(p.instances, 4)
+    return rounded(p.instances)
 
 
 def lineitem_interactions(spark, folder):
