@@ -22,6 +22,7 @@ from stagewise.operators import metrics
 from stagewise.operators.graph import induced_subgraph
 from stagewise.operators.propagation import attend, convolve, mean_neighbours
 from stagewise.operators.splits import asset_folds
+from stagewise.session import keep
 
 KEY = ["asset_id", "window_id"]
 N = len(STAGES)
@@ -142,7 +143,7 @@ def graph_features(rows: DataFrame, edges: DataFrame, width: int, kind: str = "c
 def fit_graph_classifier(rows: DataFrame, edges: DataFrame, width: int, kind: str, seed: int,
                          on: Column | None = None, **params) -> DataFrame:
     """Propagate, fit on train rows (or those selected by `on`), and score every row."""
-    spread = rows.join(graph_features(rows, edges, width, kind), KEY).withColumn("vec", array_to_vector("gx")).cache()
+    spread = keep(rows.join(graph_features(rows, edges, width, kind), KEY).withColumn("vec", array_to_vector("gx")))
     fit = fit_logistic(spread.filter(F.col("split") == "train" if on is None else on), seed, **{"maxIter": 100, **params})
     return fit(spread).drop("vec", "gx")
 
@@ -166,7 +167,7 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     reach them. Fold fits run side by side over cached rows.
     """
     forest = forest or {}
-    rows = vectorized(rows).cache()
+    rows = keep(vectorized(rows))
     train = rows.filter("split = 'train'")
     held_out = rows.filter("split <> 'train'")
     base = ["split", "y"]
@@ -174,11 +175,11 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     forest_full = fit_forest(train, seed, **forest)(held_out).select(*KEY, *base, "proba")
     graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*KEY, *base, "proba")
 
-    folds = asset_folds(train, n_folds, seed).cache()
+    folds = keep(asset_folds(train, n_folds, seed))
     n_eff = folds.agg(F.max("fold")).first()[0] + 1
-    folded = train.join(folds, "asset_id").cache()
+    folded = keep(train.join(folds, "asset_id"))
     inner = induced_subgraph(edges, train)
-    spread = folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")).cache()
+    spread = keep(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
 
     def one_fold(i: int):
         fit_rows, out_rows = spread.filter(F.col("fold") != i), spread.filter(F.col("fold") == i)
@@ -193,7 +194,7 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     forest_all = union([forest_full] + [f for f, _ in parts])
     graph_all = union([graph_full] + [g for _, g in parts])
 
-    both = forest_all.join(graph_all.select(*KEY, F.col("proba").alias("gproba")), KEY).cache()
+    both = keep(forest_all.join(graph_all.select(*KEY, F.col("proba").alias("gproba")), KEY))
     meta_rows = both.withColumn("vec", array_to_vector(F.concat("proba", "gproba"))).drop("proba", "gproba")
     scorer = fit_meta(meta_rows.filter("split = 'train'"), meta, seed)
     return StackedScores(
@@ -215,7 +216,7 @@ def history_rows(with_x: DataFrame, columns: list[str], max_seq_len: int) -> Dat
 
 
 def fit_history_classifier(with_x: DataFrame, columns: list[str], max_seq_len: int, seed: int, **params) -> DataFrame:
-    rows = history_rows(with_x, columns, max_seq_len).withColumn("vec", array_to_vector("hx")).cache()
+    rows = keep(history_rows(with_x, columns, max_seq_len).withColumn("vec", array_to_vector("hx")))
     return fit_logistic(rows.filter("split = 'train'"), seed, **{"maxIter": 100, **params})(rows).select(
         *KEY, "split", "y", "proba")
 
@@ -234,7 +235,7 @@ def forecaster_rows(cuts: DataFrame, streams: list[str], max_seq_len: int) -> Da
 
 def fit_forecaster(rows: DataFrame, seed: int = 42, **params) -> DataFrame:
     """P(impact within the horizon) for every row, positives weighted by neg/pos of train."""
-    rows = rows.withColumn("vec", array_to_vector("fx")).cache()
+    rows = keep(rows.withColumn("vec", array_to_vector("fx")))
     train = rows.filter("split = 'train'")
     w = metrics.positive_weight(train)
     weighted_rows = train.crossJoin(F.broadcast(w)).withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,25 @@ def asset_hash(seed) -> Column:
     return hash_hex(seed, F.col("asset_id"))
 
 
-def split_bounds(assets: DataFrame, settings: Settings) -> DataFrame:
-    """One row with the hash of the last train asset and of the last val asset.
+@dataclass(frozen=True)
+class SplitCut:
+    """The split as two texts: the hash of the last train asset and of the last val asset."""
+
+    seed: int
+    train_to: str
+    val_to: str
+
+    def column(self) -> Column:
+        h = asset_hash(self.seed)
+        return F.when(h <= self.train_to, "train").when(h <= self.val_to, "val").otherwise("test")
+
 
-    Assets are ordered by their seeded hash and cut at half-even rounded counts, the
-    remainder being test. Only the two hash blocks that hold a cut are ever sorted,
-    and the split becomes a comparison with two texts: no asset table has to be joined.
+def split_cut(assets: DataFrame, settings: Settings) -> SplitCut:
+    """Order the assets by seeded hash and cut at half-even rounded counts; the remainder is test.
+
+    Assets are counted per hash prefix first, so only the two prefixes that hold a cut are
+    ever sorted. The two border texts are all that is fetched: afterwards the split is a
+    comparison with literals, and no asset table has to be joined anywhere.
     """
     hashed = assets.select("asset_id").distinct().select(
         asset_hash(settings.seed).alias("hash_key")
@@ -40,26 +55,19 @@ def split_bounds(assets: DataFrame, settings: Settings) -> DataFrame:
     ranked = hashed.join(
         F.broadcast(blocks.filter(holds("_cut_train") | holds("_cut_val"))), "_pre"
     ).withColumn("_rank", F.col("_off") + F.row_number().over(Window.partitionBy("_pre").orderBy("hash_key")))
-    return ranked.agg(
-        F.coalesce(F.max(F.when(F.col("_rank") == F.col("_cut_train"), F.col("hash_key"))), F.lit("")).alias("_train_to"),
-        F.coalesce(F.max(F.when(F.col("_rank") == F.col("_cut_val"), F.col("hash_key"))), F.lit("")).alias("_val_to"),
-    )
+    at = lambda cut: F.max(F.when(F.col("_rank") == F.col(cut), F.col("hash_key")))
+    row = ranked.agg(at("_cut_train").alias("train_to"), at("_cut_val").alias("val_to")).first()
+    return SplitCut(settings.seed, row.train_to or "", row.val_to or row.train_to or "")
 
 
-def attach_split(df: DataFrame, bounds: DataFrame, settings: Settings) -> DataFrame:
-    """Add `split` from the one-row bounds; no shuffle, and every asset has a split."""
-    h = asset_hash(settings.seed)
-    return (
-        df.crossJoin(F.broadcast(bounds))
-        .withColumn("split", F.when(h <= F.col("_train_to"), "train")
-                    .when(h <= F.col("_val_to"), "val").otherwise("test"))
-        .drop("_train_to", "_val_to")
-    )
+def attach_split(df: DataFrame, cut: SplitCut) -> DataFrame:
+    """Add `split`: a projection, and every asset has a split by construction."""
+    return df.withColumn("split", cut.column())
 
 
 def asset_split(assets: DataFrame, settings: Settings) -> DataFrame:
     """(asset_id, split) for every distinct asset."""
-    return attach_split(assets.select("asset_id").distinct(), split_bounds(assets, settings), settings)
+    return attach_split(assets.select("asset_id").distinct(), split_cut(assets, settings))
 
 
 def attach_split_map(df: DataFrame, split_map: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.operators import graph, labels, splits, windows
 from stagewise.operators.features import FeatureEncoder
+from stagewise.session import keep
 from stagewise.settings import Settings
 from stagewise.sources.label_maps import LABEL_MAPS
 from stagewise.sources.normalize import Normalized, normalize, quality
@@ -18,7 +19,7 @@ from stagewise.sources.specs import SourceSpec
 
 @dataclass
 class Prepared:
-    """Lazy plans over one source. Nothing runs until a result is asked for.
+    """Plans over one source. Only `cut` and `fit_features` run a job, each for a few parameters.
 
     `record_level=True` treats every record as its own instance, for sources whose time
     cannot be trusted (see `quality_row`); then there are no temporal edges and
@@ -60,11 +61,11 @@ class Prepared:
         return windows.with_window(self.labelled, self.settings.delta_t_seconds)
 
     @cached_property
-    def bounds(self) -> DataFrame:
-        return splits.split_bounds(self.normalized.records, self.settings)
+    def cut(self) -> splits.SplitCut:
+        return splits.split_cut(self.records if self.record_level else self.labels, self.settings)
 
     def with_split(self, df: DataFrame) -> DataFrame:
-        return splits.attach_split(df, self.bounds, self.settings)
+        return splits.attach_split(df, self.cut)
 
     @cached_property
     def instances(self) -> DataFrame:
@@ -74,14 +75,14 @@ class Prepared:
 
     @cached_property
     def labels(self) -> DataFrame:
-        """(asset, window, severity, stage): the narrow view sequences and edges need."""
-        return windows.window_labels(self.records)
+        """(asset, window, severity, stage): the narrow view that split, sequences and edges all read."""
+        return keep(windows.window_labels(self.records))
 
     @cached_property
     def nodes(self) -> DataFrame:
         if self.record_level:
             return self.records.select("asset_id", "window_id")
-        return self.records.select("asset_id", "window_id").distinct()
+        return self.labels.select("asset_id", "window_id")
 
     @cached_property
     def interactions(self) -> DataFrame:

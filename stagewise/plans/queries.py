@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from stagewise.operators import (
     windows,
 )
 from stagewise.plans.prepare import Prepared
-from stagewise.session import configure, ensure_checkpoint_dir
+from stagewise.session import configure, ensure_checkpoint_dir, keep, release
 from stagewise.settings import EVENTS_SETTINGS, Settings
 from stagewise.sources import readers, sinks
 from stagewise.sources.label_maps import LABEL_MAPS
@@ -284,7 +286,7 @@ def first_impact(spark, folder):
 
 
 def _forecast(p: Prepared) -> DataFrame:
-    return sequences.forecast_instances(p.with_split(p.labels), S.horizon_multiple, S.max_seq_len, S.drop_unconfirmed_negatives)
+    return p.with_split(sequences.forecast_instances(p.labels, S.horizon_multiple, S.max_seq_len, S.drop_unconfirmed_negatives))
 
 
 def forecast_instances(spark, folder):
@@ -293,8 +295,8 @@ def forecast_instances(spark, folder):
 
 def forecast_unconfirmed_kept(spark, folder):
     p = prepared(spark, folder)
-    kept = sequences.forecast_instances(p.with_split(p.labels), S.horizon_multiple, S.max_seq_len, drop_unconfirmed=False)
-    return sequences.instances_to_frame(kept)
+    kept = sequences.forecast_instances(p.labels, S.horizon_multiple, S.max_seq_len, drop_unconfirmed=False)
+    return sequences.instances_to_frame(p.with_split(kept))
 
 
 def prefix_steps(spark, folder):
@@ -305,9 +307,10 @@ def prefix_steps(spark, folder):
 
 
 def _cheap_instances(p: Prepared) -> DataFrame:
-    """(asset, window) with its record count and largest value only."""
-    return p.records.groupBy("asset_id", "window_id").agg(
+    """(asset, window) with its record count, largest value and worst stage only."""
+    rows = p.records.groupBy("asset_id", "window_id").agg(
         F.count("*").alias("n_records"), F.max("value").alias("value__max"), F.max("severity").alias("severity"))
+    return keep(rows.withColumn("stage_label", windows.stage_of(F.col("severity"))))
 
 
 def history_stats(spark, folder):
@@ -348,11 +351,10 @@ def impact_assets(spark, folder):
 def ordinal_baselines(spark, folder):
     """Unlearned forecast scores from the evidence score of each window in the prefix."""
     p = prepared(spark, folder)
-    rows = p.with_split(_cheap_instances(p)).withColumn("stage_label", windows.stage_of(F.col("severity")))
-    rows = rows.withColumn("p_evidence", score_of("value__max"))
+    rows = _cheap_instances(p).withColumn("p_evidence", score_of("value__max"))
     cuts = sequences.eligible_cuts(sequences.with_first_impact(rows)).withColumn(
         "label", sequences.forecast_label(S.horizon_multiple))
-    cuts = cuts.withColumn("scored", F.col("label").isNotNull() & (F.col("split") == "test"))
+    cuts = p.with_split(cuts).withColumn("scored", F.col("label").isNotNull() & (F.col("split") == "test"))
     out = sequences.ordinal_baselines(cuts, "p_evidence", S.max_seq_len)
     return rounded(out.select("asset_id", "window_id", "label", "max_score", "count_score"))
 
@@ -409,19 +411,21 @@ def _probabilities(w: float = 1.0) -> Column:
     return F.array(*[F.round(x / mass, 9) for x in parts])
 
 
-def _scored_instances(p: Prepared, w: float = 1.0) -> DataFrame:
-    """(asset, window, split, y, proba, pred) without any fit."""
-    counts = p.records.groupBy("asset_id", "window_id").agg(
+def _class_inputs(p: Prepared) -> DataFrame:
+    return p.records.groupBy("asset_id", "window_id").agg(
         F.count("*").alias("n_records"), F.max("value").alias("value__max"),
         F.countDistinct("event_type").alias("event_type__nunique"), F.max("severity").alias("y"))
-    return p.with_split(counts).withColumn("proba", _probabilities(w)).withColumn("pred", argmax(F.col("proba"))).select(
+
+
+def _scored_instances(p: Prepared, w: float = 1.0) -> DataFrame:
+    """(asset, window, split, y, proba, pred) without any fit."""
+    return p.with_split(_class_inputs(p)).withColumn("proba", _probabilities(w)).withColumn("pred", argmax(F.col("proba"))).select(
         "asset_id", "window_id", "split", "y", "proba", "pred")
 
 
 def _scored_cuts(p: Prepared) -> DataFrame:
     """Forecast instances of all splits with a score from the cut window."""
-    rows = p.with_split(_cheap_instances(p)).withColumn("stage_label", windows.stage_of(F.col("severity")))
-    cuts = sequences.forecast_instances(rows, S.horizon_multiple, S.max_seq_len)
+    cuts = p.with_split(sequences.forecast_instances(_cheap_instances(p), S.horizon_multiple, S.max_seq_len))
     return cuts.withColumn("score", score_of("value__max")).withColumn(
         "hash_key", hash_hex(S.seed, F.col("asset_id"), F.col("window_id")))
 
@@ -487,22 +491,22 @@ def predictions(spark, folder):
 def late_fusion(spark, folder):
     """Mean of two score vectors per instance, and the class it picks."""
     p = prepared(spark, folder)
-    counts = _scored_instances(p).select("asset_id", "window_id", "y", F.col("proba").alias("a"))
-    other = _scored_instances(p, 1.5).select("asset_id", "window_id", F.col("proba").alias("b"))
-    fused = counts.join(other, ["asset_id", "window_id"]).withColumn("proba", mean_of(F.col("a"), F.col("b")))
+    fused = _class_inputs(p).withColumn("proba", mean_of(_probabilities(), _probabilities(1.5)))
     return rounded(fused.select("asset_id", "window_id", "y", *[F.element_at("proba", k + 1).alias(f"p{k}") for k in range(4)]))
 
 
 def _sweep_results(spark, folder) -> DataFrame:
-    """(model, seed, split, macro_f1): three score rules as models, seeds as different splits."""
-    parts = []
-    for seed in SEEDS:
-        p = prepared(spark, folder, Settings(**{**S.__dict__, "seed": seed}))
-        for i, w in enumerate(GRID["w"]):
-            scored = _scored_instances(p, w)
-            parts.append(metrics.macro_metrics(scored, ["split"]).select(
-                F.lit(f"rule{i}").alias("model"), F.lit(seed).alias("seed"), "split", "macro_f1"))
-    return windows.union_all(parts)
+    """(model, seed, split, macro_f1): three score rules as models, seeds as different splits.
+
+    Rule and seed are columns, so the whole sweep is one scan and one aggregation.
+    """
+    p = prepared(spark, folder)
+    cuts = {seed: splits.split_cut(p.labels, replace(S, seed=seed)) for seed in SEEDS}
+    by_seed = F.array(*[F.struct(F.lit(seed).alias("seed"), cut.column().alias("split")) for seed, cut in cuts.items()])
+    by_rule = F.array(*[
+        F.struct(F.lit(f"rule{i}").alias("model"), argmax(_probabilities(w)).alias("pred")) for i, w in enumerate(GRID["w"])])
+    rows = _class_inputs(p).select("y", "asset_id", F.explode(by_rule).alias("r")).select("y", "r.*", F.explode(by_seed).alias("s"))
+    return metrics.macro_metrics(rows.select("y", "model", "pred", "s.*"), ["model", "seed", "split"])
 
 
 def seed_mean_std(spark, folder):
@@ -671,7 +675,7 @@ SMALL_BOOSTED = {"maxIter": 10, "maxDepth": 4}
 
 def _model_rows(p: Prepared) -> tuple[DataFrame, int]:
     """(rows with split, y, x; feature width)"""
-    rows = _split_instances(p).cache()
+    rows = keep(_split_instances(p))
     encoder = p.fit_features(rows)
     encoded = encoder.transform(rows).withColumn("y", F.col("severity").cast("double"))
     return encoded.select("asset_id", "window_id", "split", "y", "x"), len(encoder.feature_names)
@@ -683,20 +687,20 @@ def _report(scored: DataFrame, model: str) -> DataFrame:
 
 def forest_stage(spark, folder):
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = models.vectorized(rows).cache()
+    rows = keep(models.vectorized(rows))
     return _report(models.fit_forest(rows.filter("split = 'train'"), S.seed, **SMALL_FOREST)(rows), "forest")
 
 
 def boosted_stage(spark, folder):
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = models.vectorized(rows).cache()
+    rows = keep(models.vectorized(rows))
     return _report(models.fit_boosted(rows.filter("split = 'train'"), S.seed, **SMALL_BOOSTED)(rows), "boosted")
 
 
 def stacked_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    s = models.stack(rows, p.edges.cache(), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
+    s = models.stack(rows, keep(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
     return windows.union_all([
         _report(df, name) for name, df in
         (("forest", s.forest), ("convolve", s.graph), ("late_fusion", s.fused), ("stacked", s.stacked))])
@@ -705,7 +709,7 @@ def stacked_stage(spark, folder):
 def graph_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = rows.cache(), p.edges.cache()
+    rows, edges = keep(rows), keep(p.edges)
     return windows.union_all([
         _report(models.fit_graph_classifier(rows, edges, width, kind, S.seed), kind) for kind in ("mean", "attend")])
 
@@ -730,14 +734,14 @@ def impact_forecast(spark, folder):
     gated = proba.select("asset_id", "window_id", *[c.alias(n) for n, c in streams.items()])
     cuts = _forecast(p).join(gated, ["asset_id", "window_id"])
     scored = models.fit_forecaster(models.forecaster_rows(cuts, list(streams), S.max_seq_len), S.seed)
-    scored = scored.withColumn("hash_key", hash_hex(S.seed, F.col("asset_id"), F.col("window_id"))).cache()
+    scored = scored.withColumn("hash_key", hash_hex(S.seed, F.col("asset_id"), F.col("window_id")))
     return rounded(ranking.forecast_metrics(scored, S.capture_at_percents, ["split"]))
 
 
 def val_tuning(spark, folder):
     """Hyper-parameters chosen on val; test is only reported."""
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = models.vectorized(rows).cache()
+    rows = keep(models.vectorized(rows))
     train, rest = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
     forest = models.tune(train, rest, "forest", [{"numTrees": 10, "maxDepth": 5}, {"numTrees": 20, "maxDepth": 8}],
                          lambda t, **p: models.fit_forest(t, S.seed, **p))
@@ -750,7 +754,7 @@ def meta_ablation(spark, folder):
     """The stack with each meta-learner: macro F1 and mean Brier on test."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = rows.cache(), p.edges.cache()
+    rows, edges = keep(rows), keep(p.edges)
     parts = []
     for kind in models.META_FITS:
         s = models.stack(rows, edges, width, n_folds=2, seed=S.seed, meta=kind, forest={"numTrees": 10, "maxDepth": 6})
@@ -763,13 +767,24 @@ def graph_mode_ablation(spark, folder):
     """The graph classifier on each edge set, with its edge count."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = rows.cache(), p.edges.cache()
+    rows, edges = keep(rows), keep(p.edges)
     return windows.union_all([
         _report(models.fit_graph_classifier(rows, graph.edges_for_mode(edges, mode), width, "convolve", S.seed), mode)
         for mode in graph.MODES])
 
 
-QUERIES = {f.__name__: f for f in (
+def registered(query):
+    """Drop what the query before kept, so only one query's working tables are held at a time."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        release()
+        return query(spark, folder)
+
+    return run
+
+
+QUERIES = {f.__name__: registered(f) for f in (
     normalized_records, binary_label_fallback, csv_shards, unmapped_labels, stage_counts, raw_type_counts, quality_row, quality_gate,
     asset_window_instances, lineitem_instances, lineitem_interactions, lineitem_edges, window_sweep, window_sweep_summary,
     mapping_variants, record_level_instances, windows_per_asset, suspicious_windowing, data_volume, chronology_violations,

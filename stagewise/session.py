@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+
+_KEPT: list[DataFrame] = []
 
 # Options the operators were planned for. Every one is a plan-time SQL option.
 SQL_DEFAULTS = {
@@ -33,6 +36,18 @@ def build(app: str = "stagewise", master: str | None = None, **extra: str) -> Sp
     return configure(builder.getOrCreate())
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a table that several branches of a plan read; lost blocks are recomputed from lineage."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Drop everything kept so far. A plan that still refers to it stays valid and recomputes."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a scratch folder only in local mode.
 
