@@ -22,7 +22,7 @@ from stagewise.operators import metrics
 from stagewise.operators.graph import induced_subgraph
 from stagewise.operators.propagation import attend, convolve, mean_neighbours
 from stagewise.operators.splits import asset_folds
-from stagewise.session import keep
+from stagewise.session import cut_lineage
 
 KEY = ["asset_id", "window_id"]
 N = len(STAGES)
@@ -43,9 +43,11 @@ def vectorized(df: DataFrame, x: str = "x") -> DataFrame:
 
 
 def weighted(train: DataFrame, kind: str = "balanced_weight") -> DataFrame:
-    """Class-balanced row weight; the four weights are broadcast."""
-    w = metrics.class_weights(train).select("y", F.col(kind).alias("weight"))
-    return train.join(F.broadcast(w), "y")
+    """Class-balanced row weight; the four weights become literals."""
+    weight = F.lit(None).cast("double")
+    for r in metrics.class_weights(train).select("y", F.col(kind).alias("w")).collect():
+        weight = F.when(F.col("y") == r.y, F.lit(r.w)).otherwise(weight)
+    return train.withColumn("weight", weight)
 
 
 def _spark_scorer(model) -> Scorer:
@@ -143,7 +145,7 @@ def graph_features(rows: DataFrame, edges: DataFrame, width: int, kind: str = "c
 def fit_graph_classifier(rows: DataFrame, edges: DataFrame, width: int, kind: str, seed: int,
                          on: Column | None = None, **params) -> DataFrame:
     """Propagate, fit on train rows (or those selected by `on`), and score every row."""
-    spread = keep(rows.join(graph_features(rows, edges, width, kind), KEY).withColumn("vec", array_to_vector("gx")))
+    spread = cut_lineage(rows.join(graph_features(rows, edges, width, kind), KEY).withColumn("vec", array_to_vector("gx")))
     fit = fit_logistic(spread.filter(F.col("split") == "train" if on is None else on), seed, **{"maxIter": 100, **params})
     return fit(spread).drop("vec", "gx")
 
@@ -167,7 +169,7 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     reach them. Fold fits run side by side over cached rows.
     """
     forest = forest or {}
-    rows = keep(vectorized(rows))
+    rows = cut_lineage(vectorized(rows))
     train = rows.filter("split = 'train'")
     held_out = rows.filter("split <> 'train'")
     base = ["split", "y"]
@@ -175,11 +177,11 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     forest_full = fit_forest(train, seed, **forest)(held_out).select(*KEY, *base, "proba")
     graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*KEY, *base, "proba")
 
-    folds = keep(asset_folds(train, n_folds, seed))
-    n_eff = folds.agg(F.max("fold")).first()[0] + 1
-    folded = keep(train.join(folds, "asset_id"))
+    folds = asset_folds(train, n_folds, seed)
+    folded = train.join(folds, "asset_id")
     inner = induced_subgraph(edges, train)
-    spread = keep(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
+    spread = cut_lineage(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
+    n_eff = spread.agg(F.max("fold")).first()[0] + 1
 
     def one_fold(i: int):
         fit_rows, out_rows = spread.filter(F.col("fold") != i), spread.filter(F.col("fold") == i)
@@ -194,11 +196,11 @@ def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed:
     forest_all = union([forest_full] + [f for f, _ in parts])
     graph_all = union([graph_full] + [g for _, g in parts])
 
-    both = keep(forest_all.join(graph_all.select(*KEY, F.col("proba").alias("gproba")), KEY))
+    both = cut_lineage(forest_all.join(graph_all.select(*KEY, F.col("proba").alias("gproba")), KEY))
     meta_rows = both.withColumn("vec", array_to_vector(F.concat("proba", "gproba"))).drop("proba", "gproba")
     scorer = fit_meta(meta_rows.filter("split = 'train'"), meta, seed)
     return StackedScores(
-        forest=forest_all, graph=graph_all,
+        forest=both.select(*KEY, *base, "proba"), graph=both.select(*KEY, *base, F.col("gproba").alias("proba")),
         fused=both.select(*KEY, *base, mean_of(F.col("proba"), F.col("gproba")).alias("proba")),
         stacked=scorer(meta_rows).select(*KEY, *base, "proba"),
     )
@@ -216,7 +218,7 @@ def history_rows(with_x: DataFrame, columns: list[str], max_seq_len: int) -> Dat
 
 
 def fit_history_classifier(with_x: DataFrame, columns: list[str], max_seq_len: int, seed: int, **params) -> DataFrame:
-    rows = keep(history_rows(with_x, columns, max_seq_len).withColumn("vec", array_to_vector("hx")))
+    rows = cut_lineage(history_rows(with_x, columns, max_seq_len).withColumn("vec", array_to_vector("hx")))
     return fit_logistic(rows.filter("split = 'train'"), seed, **{"maxIter": 100, **params})(rows).select(
         *KEY, "split", "y", "proba")
 
@@ -235,11 +237,10 @@ def forecaster_rows(cuts: DataFrame, streams: list[str], max_seq_len: int) -> Da
 
 def fit_forecaster(rows: DataFrame, seed: int = 42, **params) -> DataFrame:
     """P(impact within the horizon) for every row, positives weighted by neg/pos of train."""
-    rows = keep(rows.withColumn("vec", array_to_vector("fx")))
+    rows = cut_lineage(rows.withColumn("vec", array_to_vector("fx")))
     train = rows.filter("split = 'train'")
-    w = metrics.positive_weight(train)
-    weighted_rows = train.crossJoin(F.broadcast(w)).withColumn(
-        "weight", F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(F.lit(1.0)))
+    w = metrics.positive_weight(train).first().pos_weight
+    weighted_rows = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
     lr = LogisticRegression(featuresCol="vec", labelCol="label", weightCol="weight", **{"maxIter": 100, "regParam": 1e-4, **params})
     return lr.fit(weighted_rows).transform(rows).withColumn("score", vector_to_array("probability")[1]).drop(
         "rawPrediction", "probability", "prediction", "vec", "fx")

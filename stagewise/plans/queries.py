@@ -28,7 +28,7 @@ from stagewise.operators import (
     windows,
 )
 from stagewise.plans.prepare import Prepared
-from stagewise.session import configure, ensure_checkpoint_dir, keep, release
+from stagewise.session import configure, cut_lineage, ensure_checkpoint_dir, keep, release
 from stagewise.settings import EVENTS_SETTINGS, Settings
 from stagewise.sources import readers, sinks
 from stagewise.sources.label_maps import LABEL_MAPS
@@ -675,7 +675,7 @@ SMALL_BOOSTED = {"maxIter": 10, "maxDepth": 4}
 
 def _model_rows(p: Prepared) -> tuple[DataFrame, int]:
     """(rows with split, y, x; feature width)"""
-    rows = keep(_split_instances(p))
+    rows = cut_lineage(_split_instances(p))
     encoder = p.fit_features(rows)
     encoded = encoder.transform(rows).withColumn("y", F.col("severity").cast("double"))
     return encoded.select("asset_id", "window_id", "split", "y", "x"), len(encoder.feature_names)
@@ -687,20 +687,20 @@ def _report(scored: DataFrame, model: str) -> DataFrame:
 
 def forest_stage(spark, folder):
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = keep(models.vectorized(rows))
+    rows = cut_lineage(models.vectorized(rows))
     return _report(models.fit_forest(rows.filter("split = 'train'"), S.seed, **SMALL_FOREST)(rows), "forest")
 
 
 def boosted_stage(spark, folder):
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = keep(models.vectorized(rows))
+    rows = cut_lineage(models.vectorized(rows))
     return _report(models.fit_boosted(rows.filter("split = 'train'"), S.seed, **SMALL_BOOSTED)(rows), "boosted")
 
 
 def stacked_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    s = models.stack(rows, keep(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
+    s = models.stack(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
     return windows.union_all([
         _report(df, name) for name, df in
         (("forest", s.forest), ("convolve", s.graph), ("late_fusion", s.fused), ("stacked", s.stacked))])
@@ -709,7 +709,7 @@ def stacked_stage(spark, folder):
 def graph_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = keep(rows), keep(p.edges)
+    rows, edges = cut_lineage(rows), cut_lineage(p.edges)
     return windows.union_all([
         _report(models.fit_graph_classifier(rows, edges, width, kind, S.seed), kind) for kind in ("mean", "attend")])
 
@@ -725,8 +725,8 @@ def impact_forecast(spark, folder):
     """Gated evidence streams over the prefix -> P(impact within the horizon); metric bundle per split."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    proba = models.fit_forest(models.vectorized(rows).filter("split = 'train'"), S.seed, **SMALL_FOREST)(
-        models.vectorized(rows)).select("asset_id", "window_id", "proba", "x")
+    rows = cut_lineage(models.vectorized(rows))
+    proba = models.fit_forest(rows.filter("split = 'train'"), S.seed, **SMALL_FOREST)(rows).select("asset_id", "window_id", "proba", "x")
     gates = evidence_gates(F.col("proba"))
     streams = {
         f"{name}{i}": F.element_at(gated_stream(F.element_at(gates, k), F.col("x")), i + 1)
@@ -741,7 +741,7 @@ def impact_forecast(spark, folder):
 def val_tuning(spark, folder):
     """Hyper-parameters chosen on val; test is only reported."""
     rows, _ = _model_rows(prepared(spark, folder))
-    rows = keep(models.vectorized(rows))
+    rows = cut_lineage(models.vectorized(rows))
     train, rest = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
     forest = models.tune(train, rest, "forest", [{"numTrees": 10, "maxDepth": 5}, {"numTrees": 20, "maxDepth": 8}],
                          lambda t, **p: models.fit_forest(t, S.seed, **p))
@@ -754,7 +754,7 @@ def meta_ablation(spark, folder):
     """The stack with each meta-learner: macro F1 and mean Brier on test."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = keep(rows), keep(p.edges)
+    rows, edges = cut_lineage(rows), cut_lineage(p.edges)
     parts = []
     for kind in models.META_FITS:
         s = models.stack(rows, edges, width, n_folds=2, seed=S.seed, meta=kind, forest={"numTrees": 10, "maxDepth": 6})
@@ -767,7 +767,7 @@ def graph_mode_ablation(spark, folder):
     """The graph classifier on each edge set, with its edge count."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = keep(rows), keep(p.edges)
+    rows, edges = cut_lineage(rows), cut_lineage(p.edges)
     return windows.union_all([
         _report(models.fit_graph_classifier(rows, graph.edges_for_mode(edges, mode), width, "convolve", S.seed), mode)
         for mode in graph.MODES])

@@ -68,3 +68,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="stagewise-checkpoint-")
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table to the shared checkpoint folder and go on from there.
+
+    Iterative fits submit hundreds of small jobs; each would otherwise carry the whole
+    plan behind its input.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
