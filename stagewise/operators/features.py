@@ -37,7 +37,9 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     ])
     squeezed = _long(
         df.crossJoin(F.broadcast(bands)), columns,
-        lambda i, x: F.when(x < F.col(f"_b{i}")[0], F.lit(float("-inf"))).otherwise(F.least(x, F.col(f"_b{i}")[1])),
+        # A missing value stays missing: least() alone would turn it into the upper bound.
+        lambda i, x: F.when(x < F.col(f"_b{i}")[0], F.lit(float("-inf"))).when(
+            x.isNotNull(), F.least(x.cast("double"), F.col(f"_b{i}")[1].cast("double"))),
     ).filter(F.col("value").isNotNull())
     counted = squeezed.groupBy("feature", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("feature")

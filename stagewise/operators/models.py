@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import (
@@ -150,60 +149,57 @@ def fit_graph_classifier(rows: DataFrame, edges: DataFrame, width: int, kind: st
     return fit(spread).drop("vec", "gx")
 
 
-@dataclass
-class StackedScores:
-    """Scored rows (KEY, split, y, proba) of both base models, their mean, and the stack."""
+def base_scores(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed: int = 42,
+                forest: dict | None = None, kind: str = "convolve") -> DataFrame:
+    """(KEY, split, y, proba, gproba): forest and graph scores, out-of-fold on train.
 
-    forest: DataFrame
-    graph: DataFrame
-    fused: DataFrame
-    stacked: DataFrame
-
-
-def stack(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed: int = 42,
-          meta: str = "logistic_regression", forest: dict | None = None, kind: str = "convolve") -> StackedScores:
-    """Two base models, out-of-fold on train and asset-disjoint, and a meta-learner on top.
-
-    Val and test rows are scored by models fitted on all train rows. Out-of-fold graph
-    scores use the subgraph among train nodes, so features of val and test assets cannot
-    reach them. Fold fits run side by side over cached rows.
+    Val and test rows are scored by models fitted on all train rows. Folds are
+    asset-disjoint, and out-of-fold graph scores use the subgraph among train nodes, so
+    features of val and test assets cannot reach them. Fold fits run side by side.
     """
     forest = forest or {}
     rows = cut_lineage(vectorized(rows))
     train = rows.filter("split = 'train'")
     held_out = rows.filter("split <> 'train'")
-    base = ["split", "y"]
+    wanted = [*KEY, "split", "y", "proba"]
 
-    forest_full = fit_forest(train, seed, **forest)(held_out).select(*KEY, *base, "proba")
-    graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*KEY, *base, "proba")
+    forest_full = fit_forest(train, seed, **forest)(held_out).select(*wanted)
+    graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*wanted)
 
-    folds = asset_folds(train, n_folds, seed)
-    folded = train.join(folds, "asset_id")
     inner = induced_subgraph(edges, train)
+    folded = train.join(asset_folds(train, n_folds, seed), "asset_id")
     spread = cut_lineage(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
     n_eff = spread.agg(F.max("fold")).first()[0] + 1
 
     def one_fold(i: int):
         fit_rows, out_rows = spread.filter(F.col("fold") != i), spread.filter(F.col("fold") == i)
-        f = fit_forest(fit_rows, seed, **forest)(out_rows).select(*KEY, *base, "proba")
+        f = fit_forest(fit_rows, seed, **forest)(out_rows).select(*wanted)
         swap = lambda d: d.drop("vec").withColumnRenamed("gvec", "vec")
-        g = fit_logistic(swap(fit_rows), seed, maxIter=100)(swap(out_rows)).select(*KEY, *base, "proba")
+        g = fit_logistic(swap(fit_rows), seed, maxIter=100)(swap(out_rows)).select(*wanted)
         return f, g
 
     with ThreadPoolExecutor(min(4, n_eff)) as pool:
         parts = list(pool.map(one_fold, range(n_eff)))
     union = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
-    forest_all = union([forest_full] + [f for f, _ in parts])
-    graph_all = union([graph_full] + [g for _, g in parts])
-
-    both = cut_lineage(forest_all.join(graph_all.select(*KEY, F.col("proba").alias("gproba")), KEY))
-    meta_rows = both.withColumn("vec", array_to_vector(F.concat("proba", "gproba"))).drop("proba", "gproba")
-    scorer = fit_meta(meta_rows.filter("split = 'train'"), meta, seed)
-    return StackedScores(
-        forest=both.select(*KEY, *base, "proba"), graph=both.select(*KEY, *base, F.col("gproba").alias("proba")),
-        fused=both.select(*KEY, *base, mean_of(F.col("proba"), F.col("gproba")).alias("proba")),
-        stacked=scorer(meta_rows).select(*KEY, *base, "proba"),
-    )
+    graph_all = union([graph_full] + [g for _, g in parts]).select(*KEY, F.col("proba").alias("gproba"))
+    return cut_lineage(union([forest_full] + [f for f, _ in parts]).join(graph_all, KEY))
+
+
+def stacked(base: DataFrame, meta: str = "logistic_regression", seed: int = 42, **params) -> DataFrame:
+    """Meta-learner on both score vectors, fitted on the out-of-fold train rows."""
+    rows = base.withColumn("vec", array_to_vector(F.concat("proba", "gproba"))).drop("proba", "gproba")
+    scorer = fit_meta(rows.filter("split = 'train'"), meta, seed, **params)
+    return scorer(rows).select(*KEY, "split", "y", "proba")
+
+
+def base_views(base: DataFrame) -> dict[str, DataFrame]:
+    """The single models and their late fusion as scored rows."""
+    wanted = [*KEY, "split", "y"]
+    return {
+        "forest": base.select(*wanted, "proba"),
+        "graph": base.select(*wanted, F.col("gproba").alias("proba")),
+        "late_fusion": base.select(*wanted, mean_of(F.col("proba"), F.col("gproba")).alias("proba")),
+    }
 
 
 def history_rows(with_x: DataFrame, columns: list[str], max_seq_len: int) -> DataFrame:

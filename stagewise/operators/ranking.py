@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stagewise.functions.scalar import f1, ratio
 from stagewise.functions.vectors import SEVERITY
 from stagewise.operators.blocks import hash_position, running_totals
+from stagewise.session import keep
 
 ALERT_STAGES = ["IAD", "LMEP", "IMP"]
 N_THRESHOLDS = 99  # 0.01 .. 0.99
@@ -59,15 +60,16 @@ def roc_points(curve: DataFrame, groups: list[str] | None = None) -> DataFrame:
 
 
 def capture_at(df: DataFrame, percents: tuple, groups: list[str] | None = None, y: str = "label",
-               score: str = "score", hash_key: str = "hash_key") -> DataFrame:
+               score: str = "score", hash_key: str = "hash_key", curve: DataFrame | None = None) -> DataFrame:
     """Share of positives among the top max(1, ceil(n*p/100)) scores, per percent.
 
     Scores equal to the one at the cut are taken in hash order. Those above it come
     straight from the accumulated counts; only the tied rows at the cut are ranked.
     """
+    ungrouped = not groups
     groups = groups or ["_all"]
-    rows = df if "_all" not in groups else df.withColumn("_all", F.lit(0))
-    curve = score_curve(rows, groups, y, score)
+    rows = df.withColumn("_all", F.lit(0)) if ungrouped else df
+    curve = score_curve(rows, groups, y, score) if curve is None else curve
     n = F.col("tot_pos") + F.col("tot_neg")
     upto = F.col("cum_pos") + F.col("cum_neg")
     before = upto - F.col("pos") - F.col("neg")
@@ -86,7 +88,7 @@ def capture_at(df: DataFrame, percents: tuple, groups: list[str] | None = None,
         F.first("_sure").alias("_sure"), F.first("_positives").alias("_positives"),
     )
     return taken.select(
-        *[g for g in groups if g != "_all"], "percent",
+        *([] if ungrouped else groups), "percent",
         ((F.col("_sure") + F.col("_tied")) / F.nullif(F.col("_positives").cast("double"), F.lit(0.0))).alias("capture"),
     )
 
@@ -96,13 +98,14 @@ def forecast_metrics(df: DataFrame, percents: tuple, groups: list[str] | None =
     """The full bundle per group; all ranking metrics are NULL, with a note, for a single class."""
     groups = groups or ["_all"]
     rows = df if "_all" not in groups else df.withColumn("_all", F.lit(0))
-    ranked = curve_metrics(score_curve(rows, groups, y, score), groups)
+    curve = keep(score_curve(rows, groups, y, score))
+    ranked = curve_metrics(curve, groups)
     hit = F.col(score) >= threshold
     fixed = rows.groupBy(*groups).agg(f1(
         F.count(F.when(hit & (F.col(y) == 1), True)), F.count(F.when(hit & (F.col(y) == 0), True)),
         F.count(F.when(~hit & (F.col(y) == 1), True)),
     ).alias("f1"))
-    captured = capture_at(rows, percents, groups, y, score).groupBy(*groups).agg(*[
+    captured = capture_at(rows, percents, groups, y, score, curve=curve).groupBy(*groups).agg(*[
         F.max(F.when(F.col("percent") == float(p), F.col("capture"))).alias(f"capture_at_{p}pct") for p in percents
     ])
     out = ranked.join(fixed, groups).join(captured, groups)

@@ -419,15 +419,16 @@ def _class_inputs(p: Prepared) -> DataFrame:
 
 def _scored_instances(p: Prepared, w: float = 1.0) -> DataFrame:
     """(asset, window, split, y, proba, pred) without any fit."""
-    return p.with_split(_class_inputs(p)).withColumn("proba", _probabilities(w)).withColumn("pred", argmax(F.col("proba"))).select(
-        "asset_id", "window_id", "split", "y", "proba", "pred")
+    return keep(p.with_split(_class_inputs(p)).withColumn("proba", _probabilities(w)).withColumn("pred", argmax(F.col("proba"))).select(
+        "asset_id", "window_id", "split", "y", "proba", "pred"))
 
 
 def _scored_cuts(p: Prepared) -> DataFrame:
     """Forecast instances of all splits with a score from the cut window."""
     cuts = p.with_split(sequences.forecast_instances(_cheap_instances(p), S.horizon_multiple, S.max_seq_len))
-    return cuts.withColumn("score", score_of("value__max")).withColumn(
-        "hash_key", hash_hex(S.seed, F.col("asset_id"), F.col("window_id")))
+    return keep(cuts.withColumn("score", score_of("value__max")).withColumn(
+        "hash_key", hash_hex(S.seed, F.col("asset_id"), F.col("window_id"))
+    ).select("asset_id", "cut_window_id", "split", "label", "score", "hash_key"))
 
 
 def confusion_matrix(spark, folder):
@@ -700,10 +701,9 @@ def boosted_stage(spark, folder):
 def stacked_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    s = models.stack(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
-    return windows.union_all([
-        _report(df, name) for name, df in
-        (("forest", s.forest), ("convolve", s.graph), ("late_fusion", s.fused), ("stacked", s.stacked))])
+    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
+    views = {**models.base_views(base), "stacked": models.stacked(base, seed=S.seed)}
+    return windows.union_all([_report(df, name) for name, df in views.items()])
 
 
 def graph_stage(spark, folder):
@@ -751,14 +751,14 @@ def val_tuning(spark, folder):
 
 
 def meta_ablation(spark, folder):
-    """The stack with each meta-learner: macro F1 and mean Brier on test."""
+    """Each meta-learner on the same base scores: macro F1 and mean Brier on test."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows, edges = cut_lineage(rows), cut_lineage(p.edges)
+    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=2, seed=S.seed, forest={"numTrees": 10, "maxDepth": 6})
+    small = {"logistic_regression": {}, "mlp": {"maxIter": 50}, "gradient_boosting": {"maxIter": 10}}
     parts = []
-    for kind in models.META_FITS:
-        s = models.stack(rows, edges, width, n_folds=2, seed=S.seed, meta=kind, forest={"numTrees": 10, "maxDepth": 6})
-        test = models.with_prediction(s.stacked.filter("split = 'test'"))
+    for kind, params in small.items():
+        test = models.with_prediction(models.stacked(base, kind, S.seed, **params).filter("split = 'test'"))
         parts.append(metrics.macro_metrics(test).select("macro_f1").crossJoin(metrics.mean_brier(test)).withColumn("meta", F.lit(kind)))
     return rounded(windows.union_all(parts))
 
