@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions.scalar import hash_hex
+from stagewise.functions.timecols import epoch_micros
 from stagewise.functions.vectors import argmax, evidence_gates, gated_stream, mean_of
 from stagewise.operators import (
     audits,
@@ -85,7 +86,7 @@ def csv_shards(spark, folder):
     """Write the events as two CSV shards with unlike headers (one lacks the peer), then scan and normalise them."""
     configure(spark)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    raw = readers.read_events(spark, folder).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    raw = readers.read_events(spark, folder).withColumn("ts", epoch_micros(F.col("ts")) / 1e6)
     first = raw.filter("event_id % 2 = 0").select(
         F.col("ts").alias(" ts "), F.col("user_id").alias("Source_IP"), F.col("peer").alias("dst_ip"),
         F.col("attack_type").alias("type"), "value", "event_type", "event_id")
