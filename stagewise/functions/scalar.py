@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Texts that stand for "no value" in an identifier column.
 MISSING_TEXTS = ["nan", "none", ""]
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
 # Attack texts that mean "benign" when no binary label exists.
 BENIGN_TEXTS = ["normal", "benign"]
 
@@ -28,6 +30,15 @@ def lenient_double(c: Column) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
+def as_double(c: Column, kind: str) -> Column:
+    """Numeric value of a column of the given Spark type; only text has to be parsed."""
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(c), c.cast("double"))
+    if kind in INTEGRAL or kind.startswith("decimal"):
+        return c.cast("double")
+    return lenient_double(c)
+
+
 def text_or_nan(c: Column) -> Column:
     """Text form of a column in which a missing value is the literal ``nan``."""
     return F.coalesce(c.cast("string"), F.lit("nan"))

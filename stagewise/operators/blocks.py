@@ -87,10 +87,12 @@ def look_back(
     )
 
 
-def hash_position(df: DataFrame, hex_key: str = "hash_key", by: list[str] | None = None) -> DataFrame:
+def hash_position(df: DataFrame, hex_key: str = "hash_key", by: list[str] | None = None, below: int | None = None) -> DataFrame:
     """Add `hash_pos`, the exact 0-based position in hash order (within `by` groups).
 
     Blocks are hash prefixes, so they are even by construction whatever the data holds.
+    With `below`, only positions under it are returned, and blocks that start at or
+    beyond it are dropped before anything is sorted.
     """
     by = by or []
     keyed = df.withColumn("_pre", F.substring(hex_key, 1, HEX_PREFIX))
@@ -99,30 +101,20 @@ def hash_position(df: DataFrame, hex_key: str = "hash_key", by: list[str] | None
         *by, "_pre",
         F.coalesce(F.sum("_n").over(_first_rows(Window.partitionBy(*by).orderBy("_pre"))), F.lit(0)).alias("_off"),
     )
+    if below is not None:
+        offsets = offsets.filter(F.col("_off") < below)
     if not by:
         offsets = F.broadcast(offsets)  # at most 16**HEX_PREFIX rows
     inside = Window.partitionBy(*by, "_pre").orderBy(hex_key)
-    return (
-        keyed.join(offsets, [*by, "_pre"])
-        .withColumn("hash_pos", F.col("_off") + F.row_number().over(inside) - 1)
-        .drop("_pre", "_off")
-    )
+    out = keyed.join(offsets, [*by, "_pre"]).withColumn(
+        "hash_pos", F.col("_off") + F.row_number().over(inside) - 1
+    ).drop("_pre", "_off")
+    return out if below is None else out.filter(F.col("hash_pos") < below)
 
 
 def first_by_hash(df: DataFrame, n: int, by: list[str], hex_key: str = "hash_key") -> DataFrame:
-    """The n rows with the lowest hash in each group.
-
-    A first pass keeps n per (group, hash prefix), so the final ranking of even a
-    dominating group starts from a bounded candidate set.
-    """
-    pre = df.withColumn("_pre", F.substring(hex_key, 1, 1))
-    local = Window.partitionBy(*by, "_pre").orderBy(hex_key)
-    final = Window.partitionBy(*by).orderBy(hex_key)
-    return (
-        pre.withColumn("_rn", F.row_number().over(local)).filter(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(final)).filter(F.col("_rn") <= n)
-        .drop("_pre", "_rn")
-    )
+    """The n rows with the lowest hash in each group, all of them where a group is smaller."""
+    return hash_position(df, hex_key, by, below=n).drop("hash_pos")
 
 
 def running_totals(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.scalar import hash_hex, is_missing_text
 from stagewise.operators.blocks import BLOCK, first_by_hash, timeline
+from stagewise.session import cut_lineage
 
 EDGE_COLUMNS = ["src_asset", "src_window", "dst_asset", "dst_window", "edge_type"]
 MODES = {
@@ -134,9 +135,15 @@ def graph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def node_ids(nodes: DataFrame) -> DataFrame:
     """Contiguous node ids 0..N-1 in (asset, window) order, for exports that need them.
 
-    A range sort followed by Spark's distributed zip; no global window.
+    A distributed range sort, written out so that its partitions are fixed. An id is the
+    number of rows in earlier partitions plus the place within its own.
     """
-    ordered = nodes.select("asset_id", "window_id").orderBy("asset_id", "window_id")
-    return ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1])).toDF(
-        "asset_id string, window_id bigint, node_id bigint"
-    )
+    fixed = cut_lineage(nodes.select("asset_id", "window_id").orderBy("asset_id", "window_id")).withColumn(
+        "_row", F.monotonically_increasing_id()
+    ).select("asset_id", "window_id", F.shiftright("_row", 33).alias("_part"),
+             F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return fixed.join(F.broadcast(starts), "_part").select(  # one row per partition
+        "asset_id", "window_id", (F.col("_start") + F.col("_place")).alias("node_id"))

@@ -20,7 +20,7 @@ from stagewise.functions.vectors import STAGES, argmax, mean_of, pad, total
 from stagewise.operators import metrics
 from stagewise.operators.graph import induced_subgraph
 from stagewise.operators.propagation import attend, convolve, mean_neighbours
-from stagewise.operators.splits import asset_folds
+from stagewise.operators.splits import attach_folds
 from stagewise.session import cut_lineage
 
 KEY = ["asset_id", "window_id"]
@@ -167,7 +167,7 @@ def base_scores(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5,
     graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*wanted)
 
     inner = induced_subgraph(edges, train)
-    folded = train.join(asset_folds(train, n_folds, seed), "asset_id")
+    folded = attach_folds(train, n_folds, seed)
     spread = cut_lineage(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
     n_eff = spread.agg(F.max("fold")).first()[0] + 1
 

@@ -86,26 +86,32 @@ def require_assigned(df: DataFrame, split_map: DataFrame) -> None:
         raise ValueError(f"assets without a split, e.g. {missing}")
 
 
-def asset_folds(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
-    """(asset_id, fold): whole assets per fold, rows balanced over folds.
+def attach_folds(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
+    """Add `fold`: whole assets per fold, rows balanced over folds. Fails with fewer than two assets.
 
-    Heavy assets are dealt out by size in a snake order; there can be at most
-    n_folds*64 of them, whatever the data. All others go by seeded hash, which evens
-    out because each is small. Fails with fewer than two assets.
+    Heavy assets are dealt out by size in a snake order; there can be at most n_folds*64 of
+    them, whatever the data, so their table is broadcast. All others go by seeded hash, an
+    expression, which evens out because each is small. So the rows themselves do not move.
     """
     sizes = rows.groupBy("asset_id").agg(F.count("*").alias("n"))
-    stats = sizes.agg(F.sum("n").alias("_rows"), F.count("*").alias("_assets"))
-    sized = sizes.crossJoin(F.broadcast(stats)).withColumn(
-        "k", F.when(F.col("_assets") >= 2, F.least(F.lit(n_folds), F.col("_assets")))
-        .otherwise(F.raise_error(F.lit("need at least two assets for folds")).cast("bigint"))
-    )
-    is_heavy = F.col("n") * F.col("k") * HEAVY_SHARE > F.col("_rows")
-    # Bounded by n_folds*64 rows, so one ordered partition is fine.
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "asset_id")) - 1
+    stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"), F.count("*").alias("_assets")).select(
+        "_rows", F.when(F.col("_assets") >= 2, F.least(F.lit(n_folds), F.col("_assets"))).otherwise(
+            F.raise_error(F.lit("need at least two assets for folds")).cast("bigint")).alias("k"))
+    heavy = sizes.crossJoin(F.broadcast(stats)).filter(F.col("n") * F.col("k") * HEAVY_SHARE > F.col("_rows"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "asset_id")) - 1  # bounded: see above
     lap, step = F.floor(place / F.col("k")), F.pmod(place, F.col("k"))
-    heavy = sized.filter(is_heavy).select(
-        "asset_id", F.when(lap % 2 == 0, step).otherwise(F.col("k") - 1 - step).cast("int").alias("fold")
+    dealt = heavy.select(
+        "asset_id", F.when(lap % 2 == 0, step).otherwise(F.col("k") - 1 - step).alias("_dealt")
     )
     h = F.conv(F.substring(hash_hex(seed, F.col("asset_id")), 1, 8), 16, 10).cast("bigint")
-    light = sized.filter(~is_heavy).select("asset_id", F.pmod(h, F.col("k")).cast("int").alias("fold"))
-    return heavy.unionByName(light)
+    return (
+        rows.crossJoin(F.broadcast(stats.select("k")))
+        .join(F.broadcast(dealt), "asset_id", "left")
+        .withColumn("fold", F.coalesce(F.col("_dealt"), F.pmod(h, F.col("k"))).cast("int"))
+        .drop("k", "_dealt")
+    )
+
+
+def asset_folds(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
+    """(asset_id, fold) of every asset."""
+    return attach_folds(rows, n_folds, seed).select("asset_id", "fold").distinct()

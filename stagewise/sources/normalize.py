@@ -77,23 +77,28 @@ def normalize(raw: DataFrame, spec: SourceSpec, drop_bad_timestamps: bool = True
     if missing:
         warnings.append(f"declared features not in the header: {missing}")
 
+    kinds = dict(raw.dtypes)
     binary, attack = _labels(matched)
-    projected = raw.select(
+    # A whole-number id is missing only when NULL, a test the scan itself can apply.
+    whole = kinds[matched["asset"]] in scalar.INTEGRAL
+    asset = scalar.quoted(matched["asset"])
+    source = raw.filter(asset.isNotNull()) if whole else raw
+    projected = source.select(
         spec.timestamp_column(scalar.quoted(matched["timestamp"])).alias("timestamp"),
-        scalar.text_or_nan(scalar.quoted(matched["asset"])).alias("asset_id"),
+        (asset.cast("string") if whole else scalar.text_or_nan(asset)).alias("asset_id"),
         (scalar.text_or_nan(scalar.quoted(matched["peer"])) if matched["peer"]
          else F.lit(None).cast("string")).alias("peer_id"),
         attack.alias("raw_attack_type"),
         binary.alias("binary_label"),
         *([scalar.quoted(spec.record_id).cast("bigint").alias("record_id")] if spec.record_id in header else []),
-        *[scalar.lenient_double(scalar.quoted(c)).alias(c) for c in numeric],
+        *[scalar.as_double(scalar.quoted(c), kinds[c]).alias(c) for c in numeric],
         *[scalar.text_or_nan(scalar.quoted(c)).alias(c) for c in categorical],
     )
-    keep = ~scalar.is_missing_text(F.col("asset_id"))
+    usable = F.lit(True) if whole else ~scalar.is_missing_text(F.col("asset_id"))
     if drop_bad_timestamps:
-        keep = F.col("timestamp").isNotNull() & keep
+        usable = F.col("timestamp").isNotNull() & usable
     return Normalized(
-        records=projected.filter(keep), raw=raw, spec=spec, matched=matched, numeric=numeric,
+        records=projected.filter(usable), raw=raw, spec=spec, matched=matched, numeric=numeric,
         categorical=categorical, missing=missing, warnings=warnings,
         attack_type_source="column" if matched["attack_type"] else "binary_label_fallback",
     )

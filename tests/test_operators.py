@@ -305,3 +305,20 @@ def test_audits_notice_violations(spark):
     assert not audits.no_impact_in_prefix(pre).first()["pass"]
     assert not audits.probabilities_sum_to_one(spark.createDataFrame([([.5, .4],)], "proba array<double>")).first()["pass"]
     assert not audits.provenance_present({"t": rows}).first()["pass"]
+
+
+def test_hot_asset_is_spread_over_tasks(spark):
+    """Time line and look-back of an asset with all rows must use many partitions, each small."""
+    n, block = 20_000, 512
+    hot = spark.range(n).select(F.lit("hot").alias("asset_id"), (F.col("id") * 2).alias("window_id"), F.lit("Benign").alias("stage_label"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        placed = sequences.with_first_impact(hot, block=block)
+        out = blocks.look_back(placed, 60, {"n": lambda w: F.count("*").over(w)}, block)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < n / 4
+        assert out.filter(F.col("n") == 60).count() == n - 59
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
