@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.operators.graph import node_degree
+from stagewise.session import keep
 
 KEY = ["asset_id", "window_id"]
 
@@ -26,8 +27,10 @@ def convolve(nodes: DataFrame, edges: DataFrame, columns: list[str], rounds: int
     """Symmetrically normalised propagation with self loops, `rounds` times.
 
     Features are divided by sqrt(degree + 1) once before and once after summing, which
-    equals the edge weight 1/sqrt(d_i d_j) without looking up both ends of an edge.
+    equals the edge weight 1/sqrt(d_i d_j) without looking up both ends of an edge. The
+    edges are read once per round and for the degree, so they are kept.
     """
+    edges = keep(edges)
     state = nodes.select(*KEY, *columns).join(node_degree(edges), KEY, "left").withColumn(
         "_norm", 1 / F.sqrt(1 + F.coalesce(F.col("degree"), F.lit(0)))
     ).drop("degree")

@@ -646,7 +646,7 @@ def json_results(spark, folder):
 
 def leakage_audit(spark, folder):
     p = prepared(spark, folder)
-    rows = _split_instances(p)
+    rows, edges, ovr = keep(_split_instances(p)), keep(p.edges), keep(_ovr(p))
     encoder = features.FeatureEncoder(["n_records", "value__max"], []).fit(rows.filter("split = 'train'"))
     nodes = p.with_split(p.nodes)
     with_prefix = sequences.prefixes(_forecast(p), S.max_seq_len, ["window_id", "stage_label"])
@@ -654,12 +654,12 @@ def leakage_audit(spark, folder):
     return audits.report([
         audits.asset_in_one_split(nodes),
         audits.encoder_is_train_only(encoder, rows),
-        audits.fold_graph_is_train_only(p.edges, nodes),
+        audits.fold_graph_is_train_only(edges, nodes),
         audits.no_impact_in_prefix(with_prefix),
         audits.no_impact_mass_in_features(encoded, len(encoder.feature_names)),
-        audits.thresholds_ignore_test(_ovr(p)),
+        audits.thresholds_ignore_test(ovr),
         audits.chronological(windows.chronology_violations(rows)),
-        audits.edges_well_formed(p.edges, p.nodes),
+        audits.edges_well_formed(edges, p.nodes),
         audits.probabilities_sum_to_one(_scored_instances(p)),
         audits.provenance_present({"stamped": stamped_results(spark, folder)}),
     ])
