@@ -61,7 +61,7 @@ class _Words(dict):
             raise ValueError(word)  # what comes next may belong to the same pre-token
         if word[0] != MARK:
             ids = self.unit(" ", word)
-        elif len(word) == 2:
+        elif len(word) == 2 or word[1] != "\n" and not word[2].isalnum():
             ids = self.whole(word[1:])
         else:
             ids = self[word[:2]] + self.unit("", word[2:])
@@ -110,6 +110,8 @@ class Encoder:
         if MARK in text or text[0] in " \n.," or any(x in text for x in NOT_QUICK):
             return self._by_stretch(text)
         words = text.replace("\n", MARKED_BREAK).replace(".", MARKED_STOP).replace(",", MARKED_COMMA).split(" ")
+        if not words[0][-1].isalnum():
+            return self._by_stretch(text)
         try:
             return self._words.unit("", words[0]) + b"".join(map(self._words.__getitem__, words[1:]))
         except ValueError:

@@ -141,7 +141,7 @@ class Scorer:
 
 
 def passages(text: str) -> list[str]:
-    """Runs of lines made mostly of template words, those with a license word in them."""
+    """Runs of lines made mostly of template words, those with a license word in them, and each such line alone."""
     if not LICENSE_WORD.search(text):
         return []
     found, run, hit = [], [], False
@@ -153,7 +153,9 @@ def passages(text: str) -> list[str]:
             continue
         if words and sum(w in VOCABULARY for w in words) >= LINE_SHARE * len(words):
             run.append(line)
-            hit = hit or bool(LICENSE_WORD.search(line))
+            if LICENSE_WORD.search(line):
+                hit = True
+                found.append(line)  # by itself too: neighbours made of common words would dilute it
             continue
         if hit:
             found.append("\n".join(run))

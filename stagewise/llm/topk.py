@@ -9,7 +9,7 @@ down to a task's own k-th score, since the global one cannot be lower.
 Vectors that are NULL, or hold NULL or non-finite components, take no part, nor do rows with a NULL id. Rows that
 repeat an id are candidates each; as queries they count once (the least vector), and no candidate with the query's
 own id is returned to it. Vectors of different lengths are compared as if the shorter went on with zeros. A query
-with fewer than k candidates gets them all. Other columns are ignored. Scores must fit into 63 bits.
+with fewer than k candidates gets them all. Other columns are ignored. Scores must fit into 62 bits.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, bins: int = BINS)
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not limits.width:
         return spark.createDataFrame([], schema)
-    width, bound = limits.width, limits.width * int(limits.most) ** 2  # no score lies outside -bound..bound
+    width, bound = limits.width, min(limits.width * int(limits.most) ** 2, (1 << 62) - 1)  # no score lies outside -bound..bound
     exact = bound < 1 << 53
     candidates = stored(vectors.repartition("vec_id").mapInPandas(lambda it: _packed(it, CANDIDATE_BLOCK, width), "ids binary, matrix binary"), "candidates")
     wanted = stored(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")

@@ -1,0 +1,235 @@
+"""Operators over texts against plain versions: language ID, page text, quality rules, license scan, surrogates."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stagewise.llm import htmltext, langid, licenses, pii, quality
+from stagewise.llm.common import ready
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, n int, key string"
+
+
+@pytest.fixture()
+def odd(spark):
+    """NULLs in all columns, empty, very long and repeated texts, and columns named like the operators' own."""
+    ready(spark)
+    long = "the long text of a document " * 20000
+    rows = [
+        (1, "The cat and the dog.", "en", "a", 20, "x", 1, "k"), (2, None, None, None, None, None, None, None), (3, "", "en", "a", 0, "x", 1, "k"),
+        (None, "no id at all", "en", "b", 3, "x", 1, "k"), (4, long, "en", "b", len(long), "x", 1, "k"), (1, "The cat and the dog.", "en", "a", 20, "x", 1, "k"),
+        (5, "123 !!!  ", "de", "b", 9, "x", 1, "k"), (6, "Der Hund und die Katze", "de", "b", 9, "x", 1, "k"),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# Language ID
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    ready(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_prediction_ignores_labels_of_held_out_documents(spark):
+    ready(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    a, b = (sorted(map(tuple, langid.predict(docs, langid.fit(d)).collect())) for d in (docs, other))
+    assert a == b
+
+
+def test_language_odd_rows(odd, spark):
+    model = langid.fit(odd)
+    found = {(r.doc_id, r.lang_pred == "und") for r in langid.predict(odd, model).collect()}
+    assert {(2, True), (3, True), (5, True), (6, False), (4, False), (None, False)} <= found
+    assert langid.accepted(odd, model, 0.0).count() == 5 and langid.accepted(odd, model, 0.0).columns == odd.columns
+    empty = odd.limit(0)
+    assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
+    assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+
+
+def test_ngram_counts_are_those_of_a_plain_count():
+    text = "Ab, ça b"
+    line, total = " ab ça b ", 0
+    for n in (1, 2, 3):
+        total += len(line) - n + 1
+    counts = langid.ngram_counts(text)
+    assert counts.sum() == total and np.array_equal(counts, langid.ngram_counts("AB ÇA 1 B"))
+
+
+def test_ftrl_learns_and_stays_sparse():
+    rng = np.random.default_rng(1)
+    rows = [(i % 2, np.array([i % 2, 5 + int(rng.integers(3))]), np.array([1.0, 0.2])) for i in range(400)]
+    z, n = langid.ftrl(iter(rows), np.zeros((2, 10)), np.zeros((2, 10)))
+    w = langid._closed_form(z, n)
+    assert w[0, 0] > 0.5 and w[1, 1] > 0.5 and not w[:, 8:].any()
+
+
+# Page text
+
+
+def test_page_text_leaves_out_what_is_not_the_article():
+    page = (
+        "<html><head><title>t</title><script>var a='</p>';</script></head><body><header><a href=x>Home</a></header><nav><ul><li>One<li>Two</ul></nav>"
+        "<div class='cookie-notice'>We use cookies.</div><article><h1>A &amp; B</h1><p><b>First  line,\n with text.<br>More.<p>Second.</p>"
+        "<form><input><label>Mail</label></form><section id=comments><article class=comment>Nice!</article></section></article><aside>Side</aside><footer>&copy; x</footer></body></html>"
+    )
+    assert htmltext.main_text(page) == "A & B\n\nFirst line, with text. More.\n\nSecond."
+
+
+@pytest.mark.parametrize("shell", [
+    "<body><div class=menu><a>Home</a></div><div class=text>%s</div><div class=sidebar><p>Other, things. To see.</p></div></body>",
+    "<body><table><tr><td><a>x</a><td><a>y</a></table><div><div>%s</div></div><div><span>Buy now</span></div></body>",
+    "<body><main>%s<section class=comments><p>I liked it.</p></section></main></body>",
+])
+def test_page_text_without_article_element(shell):
+    body = "".join(f"<p>Paragraph {i}, with several words; and marks.</p>" for i in range(6)) + "<p>End.</p>"
+    assert htmltext.main_text(shell % body) == "\n\n".join([f"Paragraph {i}, with several words; and marks." for i in range(6)] + ["End."])
+
+
+def test_page_text_odd_rows(spark):
+    ready(spark)
+    pages = spark.createDataFrame(
+        [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "<p>" + "word " * 100000 + "</p>", "x"), (None, "u", "plain < text", "x"), (4, "u", "<div><p>a<", "x"), (4, "u", "<div><p>a<", "x")],
+        "page_id long, url string, html string, text string",
+    )
+    found = {(r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).collect()}
+    assert (1, "", 0) in found and (2, "", 0) in found and (None, "plain < text", 12) in found and (4, "a<", 2) in found
+    assert htmltext.extract(pages).filter("page_id = 3").first().n_chars == 499999
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+# Quality rules
+
+
+def plain_base(text):
+    text = text or ""
+    words = [w for w in text.translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w]
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    held = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for j in range(i, i + 3)}
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if line.strip(" \t\x0b\x0c\r"):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(held)
+
+
+def test_quality_base_counts(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    texts = {(r.doc_id, plain_base(r.text)) for r in docs.collect()}
+    found = quality.quality(docs).collect()
+    assert {(r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in found} == texts
+    for r in found:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_keeps_prose_and_drops_symbol_soup(spark):
+    ready(spark)
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in "ka lo mi ne ru sa ti vo".split() for b in "ran del mon tis".split()]
+
+    def prose(n):
+        return " ".join(str(rng.choice(["the", "of", "and"])) if rng.random() < 0.4 else str(rng.choice(words)) for _ in range(n)) + "."
+
+    rows = [(i, prose(200), "en") for i in range(60)] + [(100 + i, " ".join(f"#$%{w}&&&*" for w in prose(200).split()), "en") for i in range(3)]
+    found = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i] for i in range(60)) and not any(found[100 + i] for i in range(3))
+
+
+def test_jensen_shannon_bounds():
+    p = np.array([[1.0, 0.0], [0.5, 0.5]])
+    assert np.allclose(quality.jensen_shannon(p, np.array([0.0, 1.0]))[0], 1) and np.allclose(quality.jensen_shannon(p, np.array([0.5, 0.5]))[1], 0)
+
+
+def test_quality_empty_table(odd):
+    assert quality.quality(odd.limit(0)).count() == 0
+
+
+# License scan
+
+
+def test_license_headers_files_and_inheritance(spark):
+    ready(spark)
+    mit = licenses.TEMPLATES["MIT"][0]
+    rows = [
+        (1, "lib/LICENSE", mit), (2, "lib/src/a.py", "print(1)"), (3, "lib/src/deep/LICENSE.txt", "This work is licensed under the GNU General Public License, version 3."),
+        (4, "lib/src/deep/er/b.py", "x = 1"), (5, "lib/c.py", "# Licensed under CC BY-NC 4.0.\nx = 2"), (6, "other/d.py", "x"), (7, None, None), (8, "COPYING", ""), (9, "library/e.py", "y"),
+        (2, "lib/src/a.py", "print(1)"),
+    ]
+    files = spark.createDataFrame([(*r, "clash") for r in rows], "file_id long, path string, text string, license string")
+    found = {r.file_id: (r.license, r.origin, r.licensed_by) for r in licenses.scan(files).collect()}
+    assert found[1] == ("MIT", "own", None) and found[2] == ("MIT", "inherited", "lib") and found[4] == ("GPL-3.0", "inherited", "lib/src/deep")
+    assert found[5] == ("CC-BY-NC-4.0", "own", None) and found[6] == (None, "none", None) and found[7] == (None, "none", None) and found[9] == (None, "none", None)
+    assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).count() == 0
+
+
+def test_license_lines_of_documents_are_all_found(spark):
+    ready(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    want = {r.doc_id: next(v for k, v in lines.items() if k in r.text) for r in docs.collect() if any(k in (r.text or "") for k in lines)}
+    found = {r.file_id: r.license for r in licenses.scan(licenses.document_files(docs)).collect() if r.license}
+    assert found == want and want
+
+
+# Surrogates
+
+
+def test_surrogates_keep_type_form_and_coreference(spark):
+    ready(spark)
+    text = "Mrs. Anna Smith, +1 (386) 555-3733 and +1-386-555-3733, Anna.Smith@mail.example.com or anna.smith@mail.example.com, 4111 1111 1111 1111, 25.86.162.211. Dr Smith."
+    docs = spark.createDataFrame([(1, text, "a"), (2, "password=e3b3ed3cc8548923d6 GB82 WEST 1234 5698 7654 32 Госпожа Анна Иванова", "b"), (3, None, None), (4, "", ""), (5, "42 of 1,000.", "x")],
+                                 "doc_id long, text string, kind string")
+    found = {r.doc_id: r.text for r in pii.replaced(docs, "k").collect()}
+    new = found[1]
+    assert not any(s in new for s in ("Anna", "Smith", "555-3733", "anna.smith", "4111 1111", "25.86"))
+    phones = [p for p in new.split() if p.startswith("+1")]
+    a, b = new.split(" and ")[0].split("+1 ")[1], phones[-1].rstrip(",")
+    assert "".join(c for c in a if c.isdigit()) == "".join(c for c in b[2:] if c.isdigit())
+    mails = [w.rstrip(",") for w in new.split() if "@" in w]
+    assert mails[0].lower() == mails[1] and mails[0] != mails[1] and mails[0].endswith(".com")
+    surname = new.split(" ")[2].rstrip(",")
+    assert new.endswith(f"Dr {surname}.") and new.startswith("Mrs. ") and new.split(" ")[1][-1] == "a"
+    card = [int(c) for c in new.split(", ")[3] if c.isdigit()]
+    assert card[0] == 4 and len(card) == 16 and sum(c if i % 2 else (2 * c - 9 * (c > 4)) for i, c in enumerate(card)) % 10 == 0
+    assert found[2].startswith("password=") and "e3b3ed3cc8548923d6" not in found[2] and " GB" in found[2] and "Госпожа" in found[2] and "Иванова" not in found[2]
+    iban = "".join(found[2].split("GB")[1].split(" Госпожа")[0].split())
+    moved = iban[2:] + "GB" + iban[:2]
+    assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    assert found[3] is None and found[4] == "" and found[5] == "42 of 1,000."
+    assert pii.replaced(docs, "other").filter("doc_id = 1").first().text != new
+    assert pii.replaced(docs.limit(0), "k").count() == 0 and pii.replaced(docs, "k").columns == docs.columns
+
+
+def test_surrogates_are_distinct_and_no_real_entities(spark):
+    ready(spark)
+    # Two digits of local part only: draws must collide, with each other and with real addresses.
+    docs = spark.createDataFrame([(i, f"mail {chr(97 + i % 26)}@x.io and 10.{i}.0.1") for i in range(200)], "doc_id long, text string")
+    found = pii.entities(docs)
+    done = pii.assignments(found, "k").collect()
+    real = {(r.kind, r.canonical) for r in found.collect()}
+    assert len({(r.kind, r.surrogate) for r in done}) == len(done) == len(real)
+
+
+def test_surrogates_collide_and_are_drawn_again(spark):
+    ready(spark)
+    docs = spark.createDataFrame([(i, f"a{i}@h.io, {chr(97 + i % 20)}@h.io") for i in range(80)], "doc_id long, text string")
+    drawn = pii.assignments(pii.entities(docs), "k2")
+    assert drawn.filter("draw > 0").count() > 0
+    pairs = {}
+    for old, new in zip(docs.collect(), pii.replaced(docs, "k2").orderBy("doc_id").collect()):
+        for a, b in zip(old.text.split(", "), new.text.split(", ")):
+            assert pairs.setdefault(a, b) == b
+    assert len(set(pairs.values())) == len(pairs)
