@@ -10,6 +10,8 @@ MISSING_TEXTS = ["nan", "none", ""]
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
+NUMBER_PATTERN = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))$"
+
 # Attack texts that mean "benign" when no binary label exists.
 BENIGN_TEXTS = ["normal", "benign"]
 
@@ -25,9 +27,9 @@ def match_key(c: Column) -> Column:
 
 
 def lenient_double(c: Column) -> Column:
-    """Number or NULL, never an error. NaN counts as NULL."""
-    parsed = F.trim(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    """Decimal number or NULL, never an error. NaN counts as NULL, and so do texts like `1d` or `0x1p3` that Java reads as numbers."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def as_double(c: Column, kind: str) -> Column:

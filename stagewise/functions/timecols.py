@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stagewise.functions.scalar import lenient_double
+
 # Accepted spellings of a timestamp text, most specific first.
 TIMESTAMP_FORMATS = [
     "MMM d, yyyy HH:mm:ss.SSSSSSSSS",
@@ -50,7 +52,7 @@ def window_id(ts: Column, delta_t_seconds: float | Column) -> Column:
 
 def from_epoch_text(c: Column) -> Column:
     """Epoch seconds (text or number, fractions allowed) to TIMESTAMP_NTZ, else NULL."""
-    seconds = F.trim(c.cast("string")).try_cast("double")
+    seconds = lenient_double(c)
     sane = F.abs(seconds) < F.lit(9.2e12)
     return F.when(sane, from_micros(F.round(seconds * F.lit(1e6)).cast("bigint")))
 

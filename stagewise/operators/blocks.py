@@ -72,8 +72,9 @@ def look_back(
     of a window. Each block of positions is led in by copies of the `length - 1` rows
     before it, which are dropped again after the frame is evaluated.
     """
-    if not 1 <= length <= block:
-        raise ValueError("the look-back must fit into one block")
+    if length < 1:
+        raise ValueError("the look-back holds one row at least")
+    block = max(block, length)
     home = F.floor(F.col("pos") / F.lit(float(block))).cast("bigint")
     in_tail = F.pmod(F.col("pos"), F.lit(block)) >= block - (length - 1)
     copies = placed.withColumn("_home", home).withColumn("_blk", F.explode(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions.scalar import hash_hex, is_missing_text
-from stagewise.operators.blocks import BLOCK, first_by_hash, timeline
+from stagewise.functions.scalar import is_missing_text
+from stagewise.operators.blocks import BLOCK, timeline
 from stagewise.session import cut_lineage
 
 EDGE_COLUMNS = ["src_asset", "src_window", "dst_asset", "dst_window", "edge_type"]
@@ -32,15 +32,6 @@ def contacts_between_nodes(interactions: DataFrame, nodes: DataFrame) -> DataFra
     ).join(keys, ["asset_id", "window_id"], "left_semi").select("asset_id", "peer_id", "window_id")
 
 
-def sample_contacts(contacts: DataFrame, max_per_window: int, seed: int = 0) -> DataFrame:
-    """Seeded sample of at most `max_per_window` directed contacts per window.
-
-    The sampling operator of the graph build; smaller windows pass through whole.
-    """
-    keyed = contacts.withColumn("hash_key", hash_hex(seed, F.col("asset_id"), F.col("peer_id")))
-    return first_by_hash(keyed, max_per_window, ["window_id"]).drop("hash_key")
-
-
 def both_directions(pairs: DataFrame, a: list[str], b: list[str], edge_type: str) -> DataFrame:
     """Each unordered pair as two directed edges. `a` and `b` name (asset, window) columns."""
     ends = F.array(
@@ -52,17 +43,13 @@ def both_directions(pairs: DataFrame, a: list[str], b: list[str], edge_type: str
     return pairs.select(F.explode(ends).alias("e")).select("e.*", F.lit(edge_type).alias("edge_type"))
 
 
-def interaction_edges(
-    interactions: DataFrame, nodes: DataFrame, max_per_window: int | None = None, seed: int = 0
-) -> DataFrame:
+def interaction_edges(interactions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between assets that met in a window, both directions, each once.
 
     Pairs are put in canonical order before the duplicate removal, which halves what
-    is shuffled. All edges are kept unless a sample per window is asked for.
+    is shuffled.
     """
     contacts = contacts_between_nodes(interactions, nodes)
-    if max_per_window is not None:
-        contacts = sample_contacts(contacts, max_per_window, seed)
     pairs = contacts.select(
         F.least("asset_id", "peer_id").alias("a"), F.greatest("asset_id", "peer_id").alias("b"), "window_id"
     ).distinct()
@@ -91,11 +78,9 @@ def representative_edges(interactions: DataFrame, nodes: DataFrame) -> DataFrame
     return both_directions(ends, ["a", "aw"], ["b", "bw"], "interaction")
 
 
-def build_edges(
-    interactions: DataFrame, nodes: DataFrame, max_per_window: int | None = None, block: int = BLOCK
-) -> DataFrame:
+def build_edges(interactions: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Both edge sets; they are disjoint, so appending them needs no duplicate removal."""
-    return interaction_edges(interactions, nodes, max_per_window).unionByName(temporal_edges(nodes, block))
+    return interaction_edges(interactions, nodes).unionByName(temporal_edges(nodes, block))
 
 
 def edges_for_mode(edges: DataFrame, mode: str) -> DataFrame:

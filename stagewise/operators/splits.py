@@ -12,7 +12,6 @@ from stagewise.operators.blocks import HEX_PREFIX
 from stagewise.settings import Settings
 
 SPLITS = ["train", "val", "test"]
-HEAVY_SHARE = 64  # an asset is heavy if it holds more than 1/(folds*64) of the rows
 
 
 def asset_hash(seed) -> Column:
@@ -89,27 +88,21 @@ def require_assigned(df: DataFrame, split_map: DataFrame) -> None:
 def attach_folds(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
     """Add `fold`: whole assets per fold, rows balanced over folds. Fails with fewer than two assets.
 
-    Heavy assets are dealt out by size in a snake order; there can be at most n_folds*64 of
-    them, whatever the data, so their table is broadcast. All others go by seeded hash, an
-    expression, which evens out because each is small. So the rows themselves do not move.
+    Assets are hashed to a fixed number of buckets; buckets are dealt to folds by falling row
+    count in a snake order, so a bucket with a heavy asset is dealt among the first. The
+    table of buckets is bounded and broadcast, and the rows themselves do not move.
     """
-    sizes = rows.groupBy("asset_id").agg(F.count("*").alias("n"))
-    stats = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"), F.count("*").alias("_assets")).select(
-        "_rows", F.when(F.col("_assets") >= 2, F.least(F.lit(n_folds), F.col("_assets"))).otherwise(
+    bucket = F.substring(hash_hex(seed, F.col("asset_id")), 1, HEX_PREFIX)
+    stats = rows.agg(F.count_distinct("asset_id").alias("_assets")).select(
+        F.when(F.col("_assets") >= 2, F.least(F.lit(n_folds), F.col("_assets"))).otherwise(
             F.raise_error(F.lit("need at least two assets for folds")).cast("bigint")).alias("k"))
-    heavy = sizes.crossJoin(F.broadcast(stats)).filter(F.col("n") * F.col("k") * HEAVY_SHARE > F.col("_rows"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "asset_id")) - 1  # bounded: see above
+    sizes = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n"))  # at most 16**HEX_PREFIX rows
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "_bucket")) - 1
     lap, step = F.floor(place / F.col("k")), F.pmod(place, F.col("k"))
-    dealt = heavy.select(
-        "asset_id", F.when(lap % 2 == 0, step).otherwise(F.col("k") - 1 - step).alias("_dealt")
-    )
-    h = F.conv(F.substring(hash_hex(seed, F.col("asset_id")), 1, 8), 16, 10).cast("bigint")
-    return (
-        rows.crossJoin(F.broadcast(stats.select("k")))
-        .join(F.broadcast(dealt), "asset_id", "left")
-        .withColumn("fold", F.coalesce(F.col("_dealt"), F.pmod(h, F.col("k"))).cast("int"))
-        .drop("k", "_dealt")
+    dealt = sizes.crossJoin(F.broadcast(stats)).select(
+        "_bucket", F.when(lap % 2 == 0, step).otherwise(F.col("k") - 1 - step).cast("int").alias("fold")
     )
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(dealt), "_bucket").drop("_bucket")
 
 
 def asset_folds(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ works in blocks, so the two share no technique.
 from __future__ import annotations
 
 from stagewise.operators.bootstrap import POISSON_CDF
-from stagewise.plans.queries import BOOTSTRAP_ROUNDS, EDGE_SAMPLE, S, SEEDS
+from stagewise.plans.queries import BOOTSTRAP_ROUNDS, S, SEEDS
 from stagewise.sources.sinks import config_hash
 
 STAGE_LIST = "['Benign','IAD','LMEP','IMP']"
@@ -339,18 +339,15 @@ def oracles() -> dict[str, str]:
     q["split_stage_crosstab"] = sql("labs", "SELECT split, " + ", ".join(
         f"count(*) FILTER (stage_label = '{s}') AS \"{s}\"" for s in ("Benign", "IAD", "LMEP", "IMP")) + " FROM labs GROUP BY split")
     q["split_masks"] = sql("labs", "SELECT asset_id, window_id, stage_label FROM labs WHERE split = 'val'")
-    fold_hash = f"(('0x' || substr({_h(S.seed, 'asset_id')}, 1, 8))::BIGINT % 5)::INT"
-    q["asset_folds"] = sql("labs", f"""SELECT asset_id, CASE WHEN n * 5 * 64 <= total THEN {fold_hash}
-        WHEN (rk // 5) % 2 = 0 THEN (rk % 5)::INT ELSE (4 - rk % 5)::INT END AS fold FROM (
-        SELECT asset_id, n, total, row_number() OVER (ORDER BY n * 5 * 64 > total DESC, n DESC, asset_id) - 1 AS rk FROM (
-        SELECT asset_id, count(*) AS n, sum(count(*)) OVER () AS total FROM labs WHERE split = 'train' GROUP BY asset_id))""")
+    bucket = f"substr({_h(S.seed, 'asset_id')}, 1, 3)"
+    q["asset_folds"] = sql("labs", f"""SELECT DISTINCT asset_id, (CASE WHEN (rk // 5) % 2 = 0 THEN rk % 5 ELSE 4 - rk % 5 END)::INT AS fold
+        FROM (SELECT asset_id, {bucket} AS bucket FROM labs WHERE split = 'train') JOIN (
+        SELECT bucket, row_number() OVER (ORDER BY n DESC, bucket) - 1 AS rk FROM (
+        SELECT {bucket} AS bucket, count(*) AS n FROM labs WHERE split = 'train' GROUP BY 1)) USING (bucket)""")
 
     # graph
     q["interactions_distinct"] = sql("con", "SELECT asset_id, peer_id, window_id FROM con")
     q["interaction_edges"] = sql("iedge", f"SELECT {EDGE} FROM iedge")
-    sampled = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY {_h(0, 'asset_id', 'peer_id')}) AS rn FROM pairs) WHERE rn <= {EDGE_SAMPLE}"
-    q["interaction_edges_sampled"] = sql("pairs", """SELECT asset_id AS src_asset, window_id AS src_window, peer_id AS dst_asset, window_id AS dst_window, 'interaction' AS edge_type FROM sp
-        UNION SELECT peer_id, window_id, asset_id, window_id, 'interaction' FROM sp""", sp=sampled)
     q["temporal_edges"] = sql("tedge", f"SELECT {EDGE} FROM tedge")
     q["graph_edges"] = sql("edge", f"SELECT {EDGE} FROM edge")
     q["representative_edges"] = sql("redge", f"SELECT {EDGE} FROM redge")
@@ -490,7 +487,7 @@ def oracles() -> dict[str, str]:
     # reports
     m = lambda name, value, note="''": f"SELECT '{name}' AS metric, ({value})::DOUBLE AS value, {note} AS note"
     rows = [m("raw_records_count", "SELECT count(*) FROM rec"), m("raw_records_kept_after_adapter_cleaning", "SELECT count(*) FROM rec"),
-            m("final_unified_instances", "SELECT count(*) FROM lab"), m("n_distinct_assets", "SELECT count(*) FROM spl"), m("feature_dimension", "6"),
+            m("final_unified_instances", "SELECT count(*) FROM lab"), m("n_distinct_assets", "SELECT count(*) FROM spl"), m("feature_dimension", "SELECT 6 + count(DISTINCT event_type__mode) FROM modes JOIN labs USING (asset_id, window_id) WHERE split = 'train'"),
             m("delta_t_seconds", str(float(S.delta_t_seconds))), m("graph_nodes", "SELECT count(*) FROM lab")]
     rows += [m(f"stage_count_{s}", f"SELECT count(*) FROM lab WHERE stage_label = '{s}'") for s in ("Benign", "IAD", "LMEP", "IMP")]
     rows += [m(f"split_count_{s}", f"SELECT count(*) FROM labs WHERE split = '{s}'") for s in ("train", "val", "test")]
@@ -502,7 +499,7 @@ def oracles() -> dict[str, str]:
     rows += [m(f"impact_forecast_{n}_total", f"SELECT count(*) FROM fc WHERE label = {v}") for n, v in (("positive", 1), ("negative", 0))]
     rows += [m(f"impact_forecast_{n}_{s}", f"SELECT count(*) FROM fc WHERE label = {v} AND split = '{s}'") for s in ("train", "val", "test") for n, v in (("positive", 1), ("negative", 0))]
     rows += [m("impact_forecasting_valid_overall", f"SELECT valid::INT FROM ({_gate('fc')})", f"(SELECT reasons FROM ({_gate('fc')}))")]
-    q["dataset_summary"] = sql("labs edge fc", " UNION ALL ".join(rows))
+    q["dataset_summary"] = sql("labs edge fc modes", " UNION ALL ".join(rows))
     q["busiest_asset"] = sql("lab", _trace("true", "n_windows DESC, asset_id"))
     q["first_impact_asset"] = sql("lab", _trace("\"n_IMP\" > 0", "asset_id"))
     q["cross_split_edges"] = sql("edge spl", """SELECT count(*) FILTER (a.split <> b.split) AS n_cross_split, count(*) AS n_edges FROM edge

@@ -22,7 +22,8 @@ class Prepared:
     """Plans over one source. Only `cut` and `fit_features` run a job, each for a few parameters.
 
     `record_level=True` treats every record as its own instance, for sources whose time
-    cannot be trusted (see `quality_row`); then there are no temporal edges and
+    cannot be trusted (see `quality_row`). Records whose time cannot be read go either way,
+    unless `drop_bad_timestamps=False`; then there are no temporal edges and
     interactions connect the first record of each asset.
     """
 
@@ -31,10 +32,11 @@ class Prepared:
     settings: Settings
     variant: str = "primary"
     record_level: bool = False
+    drop_bad_timestamps: bool = True
 
     @cached_property
     def normalized(self) -> Normalized:
-        return normalize(self.raw, self.spec, drop_bad_timestamps=not self.record_level)
+        return normalize(self.raw, self.spec, drop_bad_timestamps=self.drop_bad_timestamps)
 
     @property
     def numeric(self) -> list[str]:
@@ -100,9 +102,12 @@ class Prepared:
         return FeatureEncoder(numeric, categorical).fit(instance_rows.filter("split = 'train'"))
 
 
-def choose_path(raw: DataFrame, spec: SourceSpec, settings: Settings, variant: str = "primary") -> Prepared:
-    """Windowed instances where time is reliable, else record-level ones (one small job decides)."""
+def choose_path(raw: DataFrame, spec: SourceSpec, settings: Settings, variant: str = "primary", drop_bad_timestamps: bool = False) -> Prepared:
+    """Windowed instances where time is reliable, else record-level ones (one small job decides).
+
+    Times that lack a date cannot be read, so by default the record-level path keeps such records.
+    """
     windowed = Prepared(raw, spec, settings, variant)
     if spec.date_gated and not windowed.quality().first().timestamp_reliable_for_windowing:
-        return Prepared(raw, spec, settings, variant, record_level=True)
+        return Prepared(raw, spec, settings, variant, record_level=True, drop_bad_timestamps=drop_bad_timestamps)
     return windowed

@@ -38,9 +38,8 @@ from stagewise.sources.specs import EVENTS, LINEITEMS, SourceSpec
 
 S = EVENTS_SETTINGS
 LINEITEM_SETTINGS = Settings(delta_t_seconds=30 * 86400.0)
-EDGE_SAMPLE = 20
 PREFIX_COLUMNS = ["n_records", "value__max"]
-BOOTSTRAP_ROUNDS = 40
+BOOTSTRAP_ROUNDS = S.bootstrap_iterations
 STAMP = {"timestamp_utc": "2024-01-01T00:00:00Z"}
 GRID = {"w": [0.5, 1.0, 1.5]}
 SEEDS = [42, 43, 44]
@@ -238,11 +237,6 @@ def interaction_edges(spark, folder):
     return graph.interaction_edges(p.interactions, p.nodes)
 
 
-def interaction_edges_sampled(spark, folder):
-    p = prepared(spark, folder)
-    return graph.interaction_edges(p.interactions, p.nodes, EDGE_SAMPLE)
-
-
 def temporal_edges(spark, folder):
     return graph.temporal_edges(prepared(spark, folder).nodes)
 
@@ -611,8 +605,9 @@ def gated_streams(spark, folder):
 def dataset_summary(spark, folder):
     p = prepared(spark, folder)
     labelled = p.with_split(p.labels)
+    width = len(p.fit_features(_split_instances(p)).feature_names)
     return summary.dataset_summary(
-        p.records, p.raw, labelled, p.edges, _forecast(p), feature_dimension=len(FLAT_FEATURES), delta_t=S.delta_t_seconds)
+        p.records, p.raw, labelled, p.edges, _forecast(p), feature_dimension=width, delta_t=S.delta_t_seconds)
 
 
 def busiest_asset(spark, folder):
@@ -702,7 +697,7 @@ def boosted_stage(spark, folder):
 def stacked_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
+    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=5, seed=S.seed, forest=SMALL_FOREST)
     views = {**models.base_views(base), "stacked": models.stacked(base, seed=S.seed)}
     return windows.union_all([_report(df, name) for name, df in views.items()])
 
@@ -723,11 +718,15 @@ def history_stage(spark, folder):
 
 
 def impact_forecast(spark, folder):
-    """Gated evidence streams over the prefix -> P(impact within the horizon); metric bundle per split."""
+    """Gated evidence streams over the prefix -> P(impact within the horizon); metric bundle per split.
+
+    Stage scores are those of the stacked detector, out-of-fold on train rows: no row is scored by a model that saw its asset.
+    """
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    rows = cut_lineage(models.vectorized(rows))
-    proba = models.fit_forest(rows.filter("split = 'train'"), S.seed, **SMALL_FOREST)(rows).select("asset_id", "window_id", "proba", "x")
+    rows = cut_lineage(rows)
+    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=5, seed=S.seed, forest=SMALL_FOREST)
+    proba = models.stacked(base, seed=S.seed).select("asset_id", "window_id", "proba").join(rows.select("asset_id", "window_id", "x"), ["asset_id", "window_id"])
     gates = evidence_gates(F.col("proba"))
     streams = {
         f"{name}{i}": F.element_at(gated_stream(F.element_at(gates, k), F.col("x")), i + 1)
@@ -755,7 +754,7 @@ def meta_ablation(spark, folder):
     """Each meta-learner on the same base scores: macro F1 and mean Brier on test."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=2, seed=S.seed, forest={"numTrees": 10, "maxDepth": 6})
+    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
     small = {"logistic_regression": {}, "mlp": {"maxIter": 50}, "gradient_boosting": {"maxIter": 10}}
     parts = []
     for kind, params in small.items():
@@ -790,7 +789,7 @@ QUERIES = {f.__name__: registered(f) for f in (
     asset_window_instances, lineitem_instances, lineitem_interactions, lineitem_edges, window_sweep, window_sweep_summary,
     mapping_variants, record_level_instances, windows_per_asset, suspicious_windowing, data_volume, chronology_violations,
     asset_split, split_stage_crosstab, split_masks, asset_folds,
-    interactions_distinct, interaction_edges, interaction_edges_sampled, temporal_edges, graph_edges, representative_edges,
+    interactions_distinct, interaction_edges, temporal_edges, graph_edges, representative_edges,
     record_level_edges, train_subgraph, graph_stats, node_degree, node_ids,
     first_impact, forecast_instances, forecast_unconfirmed_kept, prefix_steps, history_stats, horizon_sweep, forecast_summary,
     forecast_gate, skip_report, asset_timelines, impact_assets, ordinal_baselines,

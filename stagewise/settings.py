@@ -22,7 +22,6 @@ class Settings:
     val_frac: float = 0.2
     test_frac: float = 0.2
     seed: int = 42
-    max_interaction_edges_per_window: int = 200_000
     bootstrap_iterations: int = 1000
     bootstrap_ci: float = 0.95
     capture_at_percents: tuple = (1, 2, 5, 10)

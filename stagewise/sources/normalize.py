@@ -90,7 +90,7 @@ def normalize(raw: DataFrame, spec: SourceSpec, drop_bad_timestamps: bool = True
          else F.lit(None).cast("string")).alias("peer_id"),
         attack.alias("raw_attack_type"),
         binary.alias("binary_label"),
-        *([scalar.quoted(spec.record_id).cast("bigint").alias("record_id")] if spec.record_id in header else []),
+        *([scalar.quoted(spec.record_id).try_cast("bigint").alias("record_id")] if spec.record_id in header else []),
         *[scalar.as_double(scalar.quoted(c), kinds[c]).alias(c) for c in numeric],
         *[scalar.text_or_nan(scalar.quoted(c)).alias(c) for c in categorical],
     )
@@ -109,7 +109,8 @@ def _labels(matched: dict[str, str | None]) -> tuple[Column, Column]:
     binary = attack = None
     if matched["binary_label"]:
         parsed = scalar.lenient_double(scalar.quoted(matched["binary_label"]))
-        binary = F.coalesce(parsed, F.lit(0.0)).cast("int")
+        # Any label other than zero counts, however large: out of range becomes the nearest end of it.
+        binary = F.greatest(F.least(F.coalesce(parsed, F.lit(0.0)), F.lit(float(2**31 - 1))), F.lit(float(-(2**31)))).cast("int")
     if matched["attack_type"]:
         attack = F.trim(scalar.text_or_nan(scalar.quoted(matched["attack_type"])))
     else:

@@ -7,21 +7,37 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagewise.functions.scalar import quoted
 from stagewise.sources import paths
 
 
+# Fields that stand for a missing value in CSV files.
+MISSING_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def _csv_options(multi_line: bool, options: dict) -> dict:
+    """Quoted fields may hold line breaks and doubled quotes."""
+    return {"header": True, "inferSchema": False, "multiLine": multi_line, "escape": '"', **options}
+
+
 def _header(spark: SparkSession, file: str, options: dict) -> tuple[str, ...]:
-    return tuple(spark.read.options(header=True, inferSchema=False, **options).csv(file).columns)
+    return tuple(spark.read.options(**options).csv(file).columns)
 
 
 def read_csv_shards(
-    spark: SparkSession, files: list[str], same_header: bool = False, **options
+    spark: SparkSession, files: list[str], same_header: bool = False, multi_line: bool = True, **options
 ) -> DataFrame:
-    """All shards, every column as text, rows appended.
+    """All shards, every column as text, rows appended; fields that mean "missing" are NULL.
+
+    Files are read whole by one task each, so that quoted fields may hold line breaks.
+    A source known to have none can be split further with `multi_line=False`.
 
     Shards are grouped by header, one scan per distinct header; a column missing
     from a shard is NULL there. `same_header` skips the header comparison.
     """
+    options = _csv_options(multi_line, options)
     if same_header or len(files) == 1:
         groups = {None: list(files)}
     else:
@@ -32,7 +48,7 @@ def read_csv_shards(
             groups.setdefault(header, []).append(file)
     out = None
     for members in groups.values():
-        part = trimmed_header(spark.read.options(header=True, inferSchema=False, **options).csv(members))
+        part = missing_as_null(trimmed_header(spark.read.options(**options).csv(members)))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -41,6 +57,10 @@ def trimmed_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def missing_as_null(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~quoted(c).isin(MISSING_TOKENS), quoted(c)).alias(c) for c in df.columns])
+
+
 def read_folder(
     spark: SparkSession, folder: str, preferred: str | None = None, pattern: str = "*.csv", **options
 ) -> DataFrame:

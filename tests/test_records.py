@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from stagewise.functions import timecols
+from stagewise.functions import scalar, timecols
 from stagewise.operators import labels
 from stagewise.settings import Settings
+from stagewise.sources import normalize as normalize_module
 from stagewise.sources import paths, readers, sinks
 from stagewise.sources.label_maps import FLOW_MAP, LABEL_MAPS, PACKET_MAP, LabelMap
 from stagewise.sources.normalize import SchemaError, match_column, matched_columns, normalize, quality
@@ -165,3 +166,22 @@ def test_provenance_and_sinks(spark, tmp_path):
 def test_settings_guard():
     with pytest.raises(ValueError):
         Settings(train_frac=0.9)
+
+
+def test_csv_quotes_line_breaks_and_missing_tokens(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('src,kind,label\nh1,"two\nlines, ""quoted""",1\nNA,x,3000000000\n"n/a",y,\nh2,NULL,0\n')
+    rows = [tuple(r) for r in readers.read_csv_shards(spark, [str(tmp_path / "a.csv")]).collect()]
+    assert rows == [("h1", 'two\nlines, "quoted"', "1"), (None, "x", "3000000000"), (None, "y", None), ("h2", None, "0")]
+
+
+def test_numbers_that_java_reads_but_a_table_does_not_hold(spark):
+    texts = ["1d", "12f", "0x1p3", "1e3", " -2.5 ", ".5", "7.", "NaN", "inf", "-Infinity", "1_000", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(scalar.lenient_double(F.col("t"))).collect()]
+    assert got == [None, None, None, 1000.0, -2.5, 0.5, 7.0, None, float("inf"), float("-inf"), None, None]
+
+
+def test_labels_beyond_the_integers_count_as_attacks(spark):
+    raw = spark.createDataFrame([("2021-01-01 00:00:00", "h1", "3000000000", "3000000000000000000000")], "timestamp string, asset_id string, label string, event_id string")
+    binary, _ = normalize_module._labels({"binary_label": "label", "attack_type": None})
+    assert raw.select(binary.alias("b")).first().b == 2**31 - 1
