@@ -13,7 +13,7 @@ BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
 SPECIAL = "<|"  # begins the strings of special tokens
 MARK = "\x01"
 MARKED_BREAK, MARKED_STOP, MARKED_COMMA = f" {MARK}\n", f" {MARK}.", f" {MARK},"
-NOT_QUICK = [a + b for a in " \n.," for b in " \n.,"  if a in " \n" or b in ".,"]
+NOT_QUICK = ("..", ".,", ",.", ",,")  # other places without a word between two marks show as an empty or bare word
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,13 +33,15 @@ class _Words(dict):
         super().__init__()
         self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
         self._ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self._space = self._letters[32]
         self._tails: dict[str, bytes] = {}
+        self.line_break = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters_only(self, text: str) -> bytes:
-        written = text.encode().decode("latin-1").translate(self._letters)
+        written = text.replace(" ", self._space) if text.isascii() else text.encode().decode("latin-1").translate(self._letters)
         return b"".join([self._ids[t.id] for t in self._model.tokenize(written)])
 
     def unit(self, lead: str, word: str) -> bytes:
@@ -57,14 +59,14 @@ class _Words(dict):
         return (self[letters] if lead else self._letters_only(letters)) + self._tails[tail]
 
     def __missing__(self, word: str) -> bytes:
-        if not word or not word[-1].isalnum() and word not in (MARK + ".", MARK + ",", MARK + "\n"):
+        if not word or not word[-1].isalnum() and word not in (MARK + ".", MARK + ","):
             raise ValueError(word)  # what comes next may belong to the same pre-token
         if word[0] != MARK:
             ids = self.unit(" ", word)
-        elif len(word) == 2 or word[1] != "\n" and not word[2].isalnum():
+        elif len(word) == 2 or not word[2].isalnum():
             ids = self.whole(word[1:])
         else:
-            ids = self[word[:2]] + self.unit("", word[2:])
+            ids = (self.line_break if word[1] == "\n" else self[word[:2]]) + self.unit("", word[2:])
         if len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
@@ -87,7 +89,7 @@ class Encoder:
 
     def _stretch(self, s: str) -> bytes:
         if s[0] in " \n" and len(s) > 1 and not s[1].isspace():
-            return self._words.unit(" ", s[1:]) if s[0] == " " else self._words[MARK + "\n"] + self._words.unit("", s[1:])
+            return self._words.unit(" ", s[1:]) if s[0] == " " else self._words.line_break + self._words.unit("", s[1:])
         return self._words.whole(s)
 
     def _by_stretch(self, text: str) -> bytes:
@@ -107,7 +109,7 @@ class Encoder:
             return b""
         if SPECIAL in text:
             return self._words.whole(text)
-        if MARK in text or text[0] in " \n.," or any(x in text for x in NOT_QUICK):
+        if MARK in text or text[0] in " \n.," or NOT_QUICK[0] in text or NOT_QUICK[1] in text or NOT_QUICK[2] in text or NOT_QUICK[3] in text:
             return self._by_stretch(text)
         words = text.replace("\n", MARKED_BREAK).replace(".", MARKED_STOP).replace(",", MARKED_COMMA).split(" ")
         if not words[0][-1].isalnum():
