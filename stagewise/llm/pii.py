@@ -203,13 +203,19 @@ def _ip(digest: Column, c: Column) -> Column:
     return F.when(inner == "192.168.", F.concat_ws(".", F.lit("192.168"), *octets[2:])).when(inner != "", F.concat(inner, F.concat_ws(".", *octets[1:]))).otherwise(public)
 
 
-def _email(key: str, c: Column, digest: Column) -> Column:
-    """Local part by the whole address, host by the host alone (its top level stays), so hosts stay related."""
+def _email(key: str, c: Column, digest: Column, draw: Column) -> Column:
+    """Local part by the whole address, host by the host alone (its top level stays), so hosts stay related.
+
+    Short local parts have few forms of their length, so from the fifth draw on they grow.
+    """
     local, host = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     top = F.substring_index(host, ".", -1)
     labels = F.substring(host, F.lit(1), F.length(host) - F.length(top))
     host_name = _let(_bytes(key, F.lit("host"), host), lambda by_host: _shaped(labels, by_host))
-    return F.concat(_shaped(local, digest), F.lit("@"), host_name, top)
+    grown = F.array_join(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(draw / 4).cast("int"))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _byte(digest, i + 64))
+    ), "")
+    return F.concat(_shaped(local, digest), F.when(draw >= 4, grown).otherwise(""), F.lit("@"), host_name, top)
 
 
 def _name(kind: Column, digest: Column, draw: Column) -> Column:
@@ -233,7 +239,7 @@ def draw_surrogate(key: str, kind: Column, c: Column, draw: Column) -> Column:
 def _drawn(key: str, kind: Column, c: Column, draw: Column, digest: Column) -> Column:
     named = kind.startswith("given") | kind.startswith("surname")
     return (
-        F.when(kind == "email", _email(key, c, digest))
+        F.when(kind == "email", _email(key, c, digest, draw))
         .when(kind == "card", _card(c, digest))
         .when(kind == "iban", _iban(c, digest))
         .when(kind == "ip", _ip(digest, c))
@@ -255,7 +261,7 @@ def rendered(kind: Column, text: Column, surrogate: Column) -> Column:
     titled = F.when((text == F.upper(text)) & (F.length(text) > 1), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return (
         F.when(kind.isin(*DIGIT_KINDS), spaced)
-        .when(kind == "email", cased)
+        .when((kind == "email") & (F.length(surrogate) == F.length(text)), cased)
         .when(kind.startswith("given") | kind.startswith("surname"), titled)
         .otherwise(surrogate)
     )

@@ -215,7 +215,7 @@ def test_surrogates_keep_type_form_and_coreference(spark):
 
 def test_surrogates_are_distinct_and_no_real_entities(spark):
     ready(spark)
-    # Two digits of local part only: draws must collide, with each other and with real addresses.
+    # One letter of local part only, and all letters in use: draws must collide.
     docs = spark.createDataFrame([(i, f"mail {chr(97 + i % 26)}@x.io and 10.{i}.0.1") for i in range(200)], "doc_id long, text string")
     found = pii.entities(docs)
     done = pii.assignments(found, "k").collect()
