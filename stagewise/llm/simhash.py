@@ -163,12 +163,11 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One document of each component: that of the least doc_id (of rows that repeat it, the first by text hash).
 
     Rows without a doc_id cannot be named by a component; all of them stay.
     """
-    found = near_duplicates(docs, shingle, seed)
     named = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
     rows = docs.join(named, F.col("doc_id") == F.col("_near_id"), "left_semi")
@@ -176,3 +175,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataF
     one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_near_tie"), *rest)).alias("_near_row"))
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_near_row")[c].alias(c) for c in docs.columns])
     return one.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One document of each component of fingerprints within two bits, as in `keep_least`."""
+    return keep_least(docs, near_duplicates(docs, shingle, seed))
