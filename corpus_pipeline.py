@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.llm import langid, mixing, packing, pii, simhash
+from stagewise.llm import langid, mixing, near_copies, packing, pii
 from stagewise.llm.common import ready, stored
 from stagewise.llm.queries import SURROGATE_KEY, TOKENIZER
 
@@ -17,9 +17,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more."""
     ready(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
