@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions.scalar import match_key
-from stagewise.functions.vectors import STAGES, severity_of
+from stagewise.functions.vectors import STAGES, severity_of, stage_of
 from stagewise.sources.label_maps import LABEL_MAPS, LabelMap
 from stagewise.sources.normalize import name_key
 
@@ -50,6 +50,21 @@ def map_labels_variants(records: DataFrame, maps: dict[str, LabelMap]) -> DataFr
     )
 
 
+def variant_window_labels(records: DataFrame, maps: dict[str, LabelMap], keys: list[str]) -> DataFrame:
+    """(variant, keys, severity, stage) of each window: one severity column per variant, so records are not multiplied.
+
+    The lookup is one broadcast row per known text; only the aggregated windows become a row per variant.
+    """
+    severity = lambda v: F.max(F.when(F.col("variant") == v, severity_of(F.col("stage_label"))))
+    table = lookup_table(records.sparkSession, maps).groupBy("label_key").agg(*[severity(v).alias(f"_s_{v}") for v in maps])
+    known = records.select(*keys, match_key(F.col("raw_attack_type")).alias("label_key")).join(F.broadcast(table), "label_key", "left")
+    worst = known.groupBy(*keys).agg(*[
+        F.max(F.coalesce(f"_s_{v}", severity_of(F.lit(m.default)))).alias(f"_s_{v}") for v, m in maps.items()])
+    cells = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_s_{v}").alias("severity")) for v in maps])
+    return worst.select(F.explode(cells).alias("cell"), *keys).select("cell.variant", *keys, "cell.severity").withColumn(
+        "stage_label", stage_of(F.col("severity")))
+
+
 def unmapped_labels(records: DataFrame, label_map: LabelMap) -> DataFrame:
     """Distinct raw texts the mapping does not know, sorted."""
     keys = lookup_table(records.sparkSession, {"only": label_map}).select("label_key")

@@ -32,47 +32,46 @@ def numeric_aggregates(columns: list[str]) -> list[Column]:
     return out
 
 
-def categorical_summaries(records: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """{c}__nunique and {c}__mode per group; the smallest value wins a tie.
-
-    Two levels: values are counted on (group, column, value), so a group with very
-    many distinct values is spread out and pre-counted before its final row forms.
-    """
-    long = records.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("feature"), quoted(c).alias("text")) for i, c in enumerate(columns)
-    ])).alias("cell")).select(*keys, "cell.feature", "cell.text").filter(F.col("text").isNotNull())
-    counts = long.groupBy(*keys, "feature", "text").agg(F.count("*").alias("n"))
-    aggregates = []
-    for i, c in enumerate(columns):
-        mine = F.col("feature") == i
-        aggregates += [
-            F.count(F.when(mine, True)).alias(f"{c}__nunique"),
-            F.min(F.when(mine, F.struct(-F.col("n"), F.col("text")))).getField("text").alias(f"{c}__mode"),
-        ]
-    return counts.groupBy(*keys).agg(*aggregates)
-
-
 def instances(
     records: DataFrame, numeric: list[str], categorical: list[str], keys: list[str] | None = None
 ) -> DataFrame:
     """One row per (asset, window) with aggregated features and the worst stage.
 
-    `records` needs asset_id, window_id, timestamp and severity. `keys` may hold
-    further leading columns, e.g. a sweep parameter. The categorical side is joined
-    on the very keys both sides are already partitioned by.
+    `records` needs asset_id, window_id, timestamp and severity. `keys` may hold further leading columns, e.g. a
+    sweep parameter. {c}__nunique and {c}__mode count a column's values; the smallest value wins a tie.
+
+    One scan, two levels: a record becomes one cell for its numbers (feature -1) and one for each categorical value.
+    Cells are aggregated on (group, column, value), so a group with very many distinct values is spread out
+    and pre-counted before its final row forms; the numbers of a group are final there and only picked up after.
     """
     keys = keys or ["asset_id", "window_id"]
-    out = records.groupBy(*keys).agg(
+    whole = [
         F.count("*").alias("n_records"),
         F.min("timestamp").alias("window_start_time"),
         *numeric_aggregates(numeric),
         F.max("severity").alias("severity"),
-    )
-    if categorical:
-        out = out.join(categorical_summaries(records, keys, categorical), keys, "left").fillna(
-            0, [f"{c}__nunique" for c in categorical]
-        )
-    return out.withColumn("stage_label", stage_of(F.col("severity")))
+    ]
+    if not categorical:
+        return records.groupBy(*keys).agg(*whole).withColumn("stage_label", stage_of(F.col("severity")))
+    used = [c for c in dict.fromkeys(["timestamp", "severity", *numeric]) if c not in keys]
+    texts = [F.struct(F.lit(i).alias("feature"), quoted(c).cast("string").alias("text")) for i, c in enumerate(categorical)]
+    cells = records.select(*keys, *[quoted(c) for c in used], F.explode(F.array(
+        F.struct(F.lit(-1).alias("feature"), F.lit(None).cast("string").alias("text")), *texts)).alias("_cell"))
+    numbers = F.col("_cell.feature") < 0
+    cells = cells.filter(numbers | F.col("_cell.text").isNotNull()).select(
+        *keys, F.col("_cell.feature").alias("_feature"), F.col("_cell.text").alias("_text"),
+        *[F.when(numbers, quoted(c)).alias(c) for c in used])
+    counted = cells.groupBy(*keys, "_feature", "_text").agg(*whole)
+    made = [c for c in counted.columns if c not in [*keys, "_feature", "_text"]]
+    own = F.col("_feature") < 0
+    picked = [F.max(F.when(own, quoted(c))).alias(c) for c in made]
+    for i, c in enumerate(categorical):
+        mine = F.col("_feature") == i
+        picked += [
+            F.count(F.when(mine, True)).alias(f"{c}__nunique"),
+            F.min(F.when(mine, F.struct(-F.col("n_records"), F.col("_text")))).getField("_text").alias(f"{c}__mode"),
+        ]
+    return counted.groupBy(*keys).agg(*picked).withColumn("stage_label", stage_of(F.col("severity")))
 
 
 def window_labels(records: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -324,6 +324,11 @@ def oracles() -> dict[str, str]:
     q["mapping_variants"] = sql("rec", f"SELECT variant, asset_id, window_id, {_stage_name('max(severity)')} AS stage_label FROM mv GROUP BY variant, asset_id, window_id", mv=variants)
     q["record_level_instances"] = sql("rec", """SELECT asset_id, event_id AS window_id, 1::BIGINT AS n_records, "timestamp" AS window_start_time, value AS value__mean,
         0.0::DOUBLE AS value__std, value AS value__max, value AS value__sum, 1::BIGINT AS event_type__nunique, event_type AS event_type__mode, severity, stage_label FROM rec""")
+    q["flow_capture_instances"] = sql("inst modes", f"""SELECT asset_id, window_id, n_records, date_trunc('second', window_start_time) AS window_start_time,
+        {', '.join(f'round(value__{x}, 6) AS duration__{x}' for x in ('mean', 'std', 'max', 'sum'))},
+        severity, event_type__nunique AS proto__nunique, event_type__mode AS proto__mode, {_stage_name('severity')} AS stage_label FROM inst JOIN modes USING (asset_id, window_id)""")
+    q["packet_capture_records"] = sql("rec spl", """SELECT split, stage_label, event_type AS method, true AS record_level, count(*) AS n_instances, count(*) AS n_ids,
+        count(DISTINCT asset_id) AS n_assets, round(max(value), 4) AS len_max, round(sum(value), 4) AS len_sum FROM rec JOIN spl USING (asset_id) GROUP BY ALL""")
     q["windows_per_asset"] = sql("inst", f"""SELECT min(n) AS n_min, quantile_cont(n::DOUBLE, 0.25) AS n_q25, quantile_cont(n::DOUBLE, 0.5) AS n_median, {_r('avg(n)', 'n_mean')},
         quantile_cont(n::DOUBLE, 0.75) AS n_q75, max(n) AS n_max, count(*) FILTER (n = 1) AS n_single_window, count(*) FILTER (n > 1) AS n_multi_window
         FROM (SELECT asset_id, count(*) AS n FROM inst GROUP BY ALL)""")
@@ -334,6 +339,17 @@ def oracles() -> dict[str, str]:
     q["data_volume"] = sql("rec", "SELECT count(*) AS n_records, count(DISTINCT asset_id) AS n_assets, count(DISTINCT window_id) AS n_windows FROM rec")
     q["chronology_violations"] = sql("inst", "SELECT " + _AUDIT_CHECKS["chronological_windows"][0] + " AS n_violations")
 
+    planted = {
+        "asset_in_one_split": ("(SELECT count(DISTINCT asset_id) FROM nsplit WHERE asset_id::BIGINT % 10 = 0)", "assets in several splits"),
+        "chronological_windows": ("""(SELECT count(*) FROM (SELECT t, lag(t) OVER (PARTITION BY asset_id ORDER BY window_id) AS before FROM (
+            SELECT asset_id, window_id, CASE WHEN window_id % 2 = 0 THEN window_start_time - INTERVAL 40 DAY ELSE window_start_time END AS t FROM inst)) WHERE t < before)""",
+                                  "windows start before their predecessor"),
+        "edges_well_formed": ("(SELECT count(*) FROM inst WHERE window_id % 7 = 0)", "malformed edges"),
+        "probabilities_sum_to_one": ("(SELECT count(*) FROM sc WHERE y = 1)", "rows do not sum to 1"),
+    }
+    q["audit_violations"] = sql("nsplit inst sc", " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", {n} = 0 AS \"pass\", {n}::BIGINT::VARCHAR || ' {what}' AS detail" for name, (n, what) in planted.items()))
+
     # splits
     q["asset_split"] = sql("spl", "SELECT asset_id, split FROM spl")
     q["split_stage_crosstab"] = sql("labs", "SELECT split, " + ", ".join(

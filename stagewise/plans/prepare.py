@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.operators import graph, labels, splits, windows
 from stagewise.operators.features import FeatureEncoder
-from stagewise.session import keep
+from stagewise.session import cut_lineage, keep
 from stagewise.settings import Settings
 from stagewise.sources.label_maps import LABEL_MAPS
 from stagewise.sources.normalize import Normalized, normalize, quality
@@ -51,15 +51,17 @@ class Prepared:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return labels.map_labels(self.normalized.records, LABEL_MAPS[self.spec.name][self.variant])
+        mapped = labels.map_labels(self.normalized.records, LABEL_MAPS[self.spec.name][self.variant])
+        if self.record_level and "record_id" not in mapped.columns:
+            # Row ids depend on the scan: written once, so nodes, edges and instances agree on them.
+            return cut_lineage(mapped.withColumn("record_id", F.monotonically_increasing_id()))
+        return mapped
 
     @cached_property
     def records(self) -> DataFrame:
         """Labelled records with their window."""
         if self.record_level:
-            record_id = "record_id" if "record_id" in self.labelled.columns else None
-            row = F.col(record_id) if record_id else F.monotonically_increasing_id()
-            return self.labelled.withColumn("window_id", row)
+            return self.labelled.withColumn("window_id", F.col("record_id"))
         return windows.with_window(self.labelled, self.settings.delta_t_seconds)
 
     @cached_property

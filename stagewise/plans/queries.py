@@ -28,13 +28,13 @@ from stagewise.operators import (
     summary,
     windows,
 )
-from stagewise.plans.prepare import Prepared
+from stagewise.plans.prepare import Prepared, choose_path
 from stagewise.session import configure, cut_lineage, ensure_checkpoint_dir, keep, release
 from stagewise.settings import EVENTS_SETTINGS, Settings
 from stagewise.sources import readers, sinks
 from stagewise.sources.label_maps import LABEL_MAPS
 from stagewise.sources.normalize import normalize
-from stagewise.sources.specs import EVENTS, LINEITEMS, SourceSpec
+from stagewise.sources.specs import EVENTS, FLOW, LINEITEMS, PACKET, SourceSpec
 
 S = EVENTS_SETTINGS
 LINEITEM_SETTINGS = Settings(delta_t_seconds=30 * 86400.0)
@@ -176,15 +176,46 @@ def window_sweep_summary(spark, folder):
 
 def mapping_variants(spark, folder):
     p = prepared(spark, folder)
-    mapped = labels.map_labels_variants(p.normalized.records, LABEL_MAPS["events"])
-    keyed = windows.with_window(mapped, S.delta_t_seconds)
-    return windows.window_labels(keyed, ["variant", "asset_id", "window_id"]).drop("severity")
+    keyed = windows.with_window(p.normalized.records, S.delta_t_seconds)
+    return labels.variant_window_labels(keyed, LABEL_MAPS["events"], ["asset_id", "window_id"]).drop("severity")
 
 
 def record_level_instances(spark, folder):
     return rounded(prepared(spark, folder, record_level=True).instances)
 
 
+def flow_capture_instances(spark, folder):
+    """The events under the published flow headers, from choice of path to instances."""
+    configure(spark)
+    raw = readers.read_events(spark, folder).select(
+        (epoch_micros(F.col("ts")) / 1e6).alias("ts"), F.col("user_id").alias("src_ip"), F.col("peer").alias("dst_ip"),
+        F.col("attack_type").alias("type"), F.col("value").alias("duration"), F.col("event_type").alias("proto"))
+    p = choose_path(raw, FLOW, S)
+    return rounded(p.instances.withColumn("window_start_time", F.date_trunc("second", "window_start_time").cast("timestamp_ntz")))
+
+
+# The packet format's words for the attack texts of the event table.
+PACKET_LABELS = {"normal": "Normal", "scanning": "Port_Scanning", "backdoor": "Backdoor", "ransomware": "Ransomware"}
+
+
+def packet_capture_records(spark, folder):
+    """The events under the published packet headers, views without a date: the path taken is record-level instances."""
+    configure(spark)
+    events = readers.read_events(spark, folder)
+    time = F.when(F.col("event_type") == "view", F.date_format("ts", " yyyy HH:mm:ss.SSSSSS")).otherwise(
+        F.date_format("ts", "MMM d, yyyy HH:mm:ss.SSSSSS"))
+    attack = F.col("attack_type")
+    for text, word in PACKET_LABELS.items():
+        attack = F.when(F.col("attack_type") == text, F.lit(word)).otherwise(attack)
+    raw = events.select(
+        time.alias("frame.time"), F.col("user_id").alias("ip.src_host"), F.col("peer").alias("ip.dst_host"),
+        attack.alias("Attack_type"), F.col("value").alias("tcp.len"), F.col("event_type").alias("http.request.method"))
+    p = choose_path(raw, PACKET, S)
+    return rounded(p.with_split(p.instances).groupBy("split", "stage_label", F.col("`http.request.method__mode`").alias("method")).agg(
+        F.lit(p.record_level).alias("record_level"), F.count("*").alias("n_instances"), F.countDistinct("window_id").alias("n_ids"),
+        F.countDistinct("asset_id").alias("n_assets"), F.max("`tcp.len__max`").alias("len_max"), F.sum("`tcp.len__sum`").alias("len_sum")), 4)
+
+
 def windows_per_asset(spark, folder):
     return rounded(summary.windows_per_asset(prepared(spark, folder).labels))
 
@@ -660,6 +691,24 @@ def leakage_audit(spark, folder):
     ])
 
 
+def audit_violations(spark, folder):
+    """The audit over rows with planted faults: every check must turn red and count them all."""
+    p = prepared(spark, folder)
+    nodes = p.with_split(p.nodes)
+    moved = nodes.filter("cast(asset_id AS bigint) % 10 = 0").withColumn("split", F.when(F.col("split") == "test", "train").otherwise("test"))
+    loops = p.nodes.filter("window_id % 7 = 0").select(
+        F.col("asset_id").alias("src_asset"), F.col("window_id").alias("src_window"), F.col("asset_id").alias("dst_asset"),
+        F.col("window_id").alias("dst_window"), F.lit("temporal").alias("edge_type"))
+    early = F.when(F.col("window_id") % 2 == 0, F.col("window_start_time") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("window_start_time"))
+    doubled = F.when(F.col("y") == 1, F.transform("proba", lambda v: 2 * v)).otherwise(F.col("proba"))
+    return audits.report([
+        audits.asset_in_one_split(nodes.unionByName(moved)),
+        audits.chronological(windows.chronology_violations(_split_instances(p).withColumn("window_start_time", early))),
+        audits.edges_well_formed(p.edges.select(*loops.columns).unionByName(loops), p.nodes),
+        audits.probabilities_sum_to_one(_scored_instances(p).withColumn("proba", doubled)),
+    ])
+
+
 def audit_verdict(spark, folder):
     return audits.verdict(leakage_audit(spark, folder))
 
@@ -787,7 +836,7 @@ def registered(query):
 QUERIES = {f.__name__: registered(f) for f in (
     normalized_records, binary_label_fallback, csv_shards, unmapped_labels, stage_counts, raw_type_counts, quality_row, quality_gate,
     asset_window_instances, lineitem_instances, lineitem_interactions, lineitem_edges, window_sweep, window_sweep_summary,
-    mapping_variants, record_level_instances, windows_per_asset, suspicious_windowing, data_volume, chronology_violations,
+    mapping_variants, record_level_instances, flow_capture_instances, packet_capture_records, windows_per_asset, suspicious_windowing, data_volume, chronology_violations,
     asset_split, split_stage_crosstab, split_masks, asset_folds,
     interactions_distinct, interaction_edges, temporal_edges, graph_edges, representative_edges,
     record_level_edges, train_subgraph, graph_stats, node_degree, node_ids,
@@ -798,7 +847,7 @@ QUERIES = {f.__name__: registered(f) for f in (
     forecast_metrics, val_thresholds, ovr_alerting, predictions, late_fusion, seed_mean_std, result_pivot, best_by_validation,
     bootstrap_instance, bootstrap_instance_multinomial, bootstrap_asset, bootstrap_asset_poisson, bootstrap_ranking,
     graph_convolve, graph_mean_neighbours, graph_attend, train_only_propagation, gated_streams,
-    dataset_summary, busiest_asset, first_impact_asset, cross_split_edges, stamped_results, json_results, leakage_audit, audit_verdict,
+    dataset_summary, busiest_asset, first_impact_asset, cross_split_edges, stamped_results, json_results, leakage_audit, audit_violations, audit_verdict,
     forest_stage, boosted_stage, stacked_stage, graph_stage, history_stage, impact_forecast, val_tuning, meta_ablation,
     graph_mode_ablation,
 )}
