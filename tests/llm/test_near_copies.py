@@ -1,36 +1,19 @@
 """Near copies against a brute-force version: all pairs, exact similarity of five-word shingle sets."""
 
 import random
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from stagewise.llm import near_copies, simhash
-from stagewise.llm.common import ready
-
-SCHEMA = "doc_id long, text string, component_id int, key string, node string, n string"
-
-
-def shingles(text, size=5):
-    words = (text or "").split()
-    return {" ".join(words[i:i + size]) for i in range(max(len(words) - size, 0) + 1)} if words else set()
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from near_copies_by_pairs import all_pairs  # noqa: E402
+from stagewise.llm import near_copies, simhash  # noqa: E402
+from stagewise.llm.common import ready  # noqa: E402
 
-def brute(rows):
-    sets = {d: shingles(t) for d, t in rows}
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and (sets[a] == sets[b] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {d: find(d) for d in sets}
+SCHEMA = "doc_id long, text string, component_id int, key string, node string, n string"
 
 
 def edited(words, rng, changes):
@@ -64,7 +47,7 @@ def test_near_copies_match_all_pairs(spark, rows):
     ready(spark)
     docs = spark.createDataFrame([(d, t.upper() if d % 2 else t, 0, "k", "x", "y") for d, t in rows], SCHEMA)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
-    assert got == brute(rows)
+    assert got == all_pairs(rows)
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(got.values())
@@ -97,4 +80,4 @@ def test_planted_edits_on_documents(spark):
     ready(spark)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == brute(rows)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == all_pairs(rows)

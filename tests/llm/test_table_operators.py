@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
+from near_copies_by_pairs import all_pairs  # noqa: E402
 from stagewise.llm import mixing, packing, simhash, token_files, topk  # noqa: E402
 from stagewise.llm.common import components, ready, running_sum  # noqa: E402
 from stagewise.llm.encoding import encoder  # noqa: E402
@@ -313,11 +315,8 @@ def test_pipeline_is_its_stages_one_after_another(spark, plain_tokenizer):
     kept, deduped, replaced, mixed, packed = held
     texts = {r.doc_id: r.text for r in first.collect()}
     assert {r.doc_id for r in kept} == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in kept}
-    root, least = plain_components(set(fps.values())), {}
-    for i, fp in fps.items():
-        least[root[fp]] = min(i, least.get(root[fp], i))
-    assert sorted(r.doc_id for r in deduped) == sorted(least.values())
+    classes = all_pairs([(r.doc_id, r.text) for r in kept])
+    assert sorted(r.doc_id for r in deduped) == sorted(set(classes.values()))
     assert {r.doc_id for r in replaced} == {r.doc_id for r in deduped} and all(r.n_chars == len(r.text) for r in replaced)
     assert {r.doc_id: r.text for r in mixed}.items() <= {r.doc_id: r.text for r in replaced}.items()
     check_packing([(r.doc_id, r.text) for r in mixed], packed, plain_tokenizer, 0.05)
