@@ -153,7 +153,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     nearest = _close(shared, similarity, False).groupBy("node_b").agg(F.min(F.struct("apart", "node_a")).alias("near"))
     nearest = nearest.select(F.least("near.node_a", "node_b").alias("a"), F.greatest("near.node_a", "node_b").alias("b")).distinct()
     nearest = stored(nearest, "nearest")
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    # Whoever has a close neighbour has a nearest one, so these are the nodes of all pairs to come.
+    wanted = nearest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
     sets = stored(texts.mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
     first = stored(_verified(nearest, sets, similarity), "first")
