@@ -7,8 +7,9 @@ spelling and any document gets the same replacement. First names and surnames ar
 "Mrs Anna Smith" and "Dr Smith" stay related.
 
 All distinct entities of the table are checked together: no two of one type may share a replacement, and none may
-get a value that occurs as an entity itself. Those that do are drawn again until there are none. Most are right at
-the first draw, which is an expression over the text; the others are few and joined in by the text's hash.
+get a value that occurs as an entity itself. Those that do are drawn again until there are none; from the fifth draw on
+replacements grow or take a wider range, so there always are free ones. Most are right at the first draw, which is an
+expression over the text; the others are few and joined in by the text's hash.
 
 Only DataFrame functions are used. NULL text stays NULL, an empty text empty. Repeated rows get equal answers. Columns
 other than the text are passed through untouched. An empty table gives no rows.
@@ -52,8 +53,8 @@ _BY_START = {
         "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
     },
     r"[pstakPSTAK]": {
-        # A password or token: what introduces it stays.
-        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_+/=.~-]{5,255}+(?<![.])",
+        # A password or token: what introduces it stays. A value of signs alone is a blank of a form or a rule.
+        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[_+/=.~-]*+[A-Za-z0-9])[A-Za-z0-9_+/=.~-]{5,255}+(?<![.])",
     },
     r"\p{Lu}": {
         "aws": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -74,7 +75,7 @@ PATTERNS = {kind: pattern for kinds in _BY_START.values() for kind, pattern in k
 ANY = r"(?<![0-9A-Za-z_\x{80}-\x{10FFFF}])(?:" + _OR(f"(?={start})(?:{_OR(kinds.values())})" for start, kinds in _BY_START.items()) + ")"
 _INTRODUCED = r"^((?i:[a-z_-]+)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)"
 DIGIT_KINDS = ("card", "ssn", "phone", "iban")
-MOST_DRAWS = 64
+NARROW_DRAWS = 4  # draws of an entity's own form; later ones are longer or of a wider range
 
 
 def _let(value: Column, use) -> Column:
@@ -178,13 +179,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def _card(c: Column, digest: Column) -> Column:
+def _card(c: Column, long: Column, digest: Column) -> Column:
     def checked(drawn: Column) -> Column:
         body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
         check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
         return F.when(F.pmod(_luhn(c), F.lit(10)) == 0, F.concat(body, check)).otherwise(drawn)
 
-    return _let(_shaped(c, digest, 1), checked)
+    return _let(_shaped(long, digest, 1), checked)
 
 
 def _iban(c: Column, digest: Column) -> Column:
@@ -196,11 +197,27 @@ def _iban(c: Column, digest: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
 
 
-def _ip(digest: Column, c: Column) -> Column:
+def _grown(letters: str, digest: Column, draw: Column) -> Column:
+    """What later draws append: a character more for every four draws."""
+    return F.when(draw < NARROW_DRAWS, "").otherwise(F.array_join(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(draw / NARROW_DRAWS).cast("int"))), lambda i: _pick(letters, _byte(digest, i + 64))
+    ), ""))
+
+
+def _ip(digest: Column, c: Column, draw: Column) -> Column:
+    """An address of the same range; later draws of 192.168 are of the private range 10, then all are IPv6, private or for documentation."""
     octets = [(F.pmod(_byte(digest, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
     public = F.concat_ws(".", (F.pmod(_byte(digest, F.lit(0)), F.lit(89)) + 128 - 117).cast("string"), *octets[1:])
     inner = F.regexp_extract(c, r"^(10\.|192\.168\.|127\.)", 1)  # private and loop-back ranges stay such
-    return F.when(inner == "192.168.", F.concat_ws(".", F.lit("192.168"), *octets[2:])).when(inner != "", F.concat(inner, F.concat_ws(".", *octets[1:]))).otherwise(public)
+    groups = [F.substring(digest, 4 * i + 1, 4) for i in range(8)]
+    wide = F.when(inner == "", F.concat_ws(":", F.lit("2001:db8"), *groups[:6])).otherwise(F.concat_ws(":", F.concat(F.lit("fd"), F.substring(digest, 33, 2)), *groups[:7]))
+    return (
+        F.when(draw >= 2 * NARROW_DRAWS, wide)
+        .when((inner == "192.168.") & (draw < NARROW_DRAWS), F.concat_ws(".", F.lit("192.168"), *octets[2:]))
+        .when(inner == "192.168.", F.concat_ws(".", F.lit("10"), *octets[1:]))
+        .when(inner != "", F.concat(inner, F.concat_ws(".", *octets[1:])))
+        .otherwise(public)
+    )
 
 
 def _email(key: str, c: Column, digest: Column, draw: Column) -> Column:
@@ -212,10 +229,7 @@ def _email(key: str, c: Column, digest: Column, draw: Column) -> Column:
     top = F.substring_index(host, ".", -1)
     labels = F.substring(host, F.lit(1), F.length(host) - F.length(top))
     host_name = _let(_bytes(key, F.lit("host"), host), lambda by_host: _shaped(labels, by_host))
-    grown = F.array_join(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(draw / 4).cast("int"))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _byte(digest, i + 64))
-    ), "")
-    return F.concat(_shaped(local, digest), F.when(draw >= 4, grown).otherwise(""), F.lit("@"), host_name, top)
+    return F.concat(_shaped(local, digest), _grown("abcdefghijklmnopqrstuvwxyz", digest, draw), F.lit("@"), host_name, top)
 
 
 def _name(kind: Column, digest: Column, draw: Column) -> Column:
@@ -238,16 +252,18 @@ def draw_surrogate(key: str, kind: Column, c: Column, draw: Column) -> Column:
 
 def _drawn(key: str, kind: Column, c: Column, draw: Column, digest: Column) -> Column:
     named = kind.startswith("given") | kind.startswith("surname")
+    digits = _grown("0", digest, draw)  # places for more digits
+    long = F.concat(c, digits)
     return (
         F.when(kind == "email", _email(key, c, digest, draw))
-        .when(kind == "card", _card(c, digest))
-        .when(kind == "iban", _iban(c, digest))
-        .when(kind == "ip", _ip(digest, c))
-        .when(kind == "aws", _shaped(c, digest, 4))
-        .when(kind == "phone", _shaped(c, digest, F.when(c.startswith("+1"), 2).when(c.startswith("+"), 3).otherwise(0)))
-        .when((kind == "hex") | ((kind == "secret") & c.rlike("^[0-9a-f]{16,}$")), _shaped(c, digest, hexadecimal=True))
+        .when(kind == "card", _card(c, long, digest))
+        .when(kind == "iban", _iban(long, digest))
+        .when(kind == "ip", _ip(digest, c, draw))
+        .when(kind == "aws", _shaped(long, digest, 4))
+        .when(kind == "phone", _shaped(long, digest, F.when(c.startswith("+1"), 2).when(c.startswith("+"), 3).otherwise(0)))
+        .when((kind == "hex") | ((kind == "secret") & c.rlike("^[0-9a-f]{16,}$")), _shaped(long, digest, hexadecimal=True))
         .when(named, _name(kind, digest, draw))
-        .otherwise(_shaped(c, digest))
+        .otherwise(_shaped(long, digest))
     )
 
 
@@ -260,7 +276,7 @@ def rendered(kind: Column, text: Column, surrogate: Column) -> Column:
     cased = _characters(text, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1))))
     titled = F.when((text == F.upper(text)) & (F.length(text) > 1), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return (
-        F.when(kind.isin(*DIGIT_KINDS), spaced)
+        F.when(kind.isin(*DIGIT_KINDS), F.concat(spaced, F.substring(surrogate, place(F.length(text)) + 1, F.length(surrogate))))
         .when((kind == "email") & (F.length(surrogate) == F.length(text)), cased)
         .when(kind.startswith("given") | kind.startswith("surname"), titled)
         .otherwise(surrogate)
@@ -281,7 +297,7 @@ def assignments(found: DataFrame, key: str) -> DataFrame:
     """Replacements (kind, canonical, draw, surrogate) without collisions, for distinct entities."""
     drawn = stored(found.withColumn("draw", F.lit(0)).withColumn("surrogate", draw_surrogate(key, F.col("kind"), F.col("canonical"), F.col("draw"))), "surrogates")
     real = found.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-    for _ in range(MOST_DRAWS):
+    while True:
         # The first of those that share a replacement keeps it, unless it is some entity's own value.
         first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "canonical")).alias("first"))
         judged = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
@@ -292,7 +308,6 @@ def assignments(found: DataFrame, key: str) -> DataFrame:
         drawn = stored(redrawn.withColumn(
             "surrogate", F.when(F.col("again"), draw_surrogate(key, F.col("kind"), F.col("canonical"), F.col("draw"))).otherwise(F.col("before"))
         ).select("kind", "canonical", "draw", "surrogate"), "surrogates")
-    raise RuntimeError("replacements still collide; entities of some kind outnumber its forms")
 
 
 def _entity_key(kind: Column, c: Column) -> Column:
