@@ -54,7 +54,8 @@ _BY_START = {
     },
     r"[pstakPSTAK]": {
         # A password or token: what introduces it stays. A value of signs alone is a blank of a form or a rule.
-        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[_+/=.~-]*+[A-Za-z0-9])[A-Za-z0-9_+/=.~-]{5,255}+(?<![.])",
+        # It is taken whole, however long it is, without the full stops after it.
+        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[_+/=.~-]*+[A-Za-z0-9])(?=[A-Za-z0-9_+/=.~-]{4}\.*+[A-Za-z0-9_+/=~-])(?:[A-Za-z0-9_+/=~-]++|\.++(?=[A-Za-z0-9_+/=~-]))++",
     },
     r"\p{Lu}": {
         "aws": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",

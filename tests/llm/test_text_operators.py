@@ -261,3 +261,16 @@ def test_later_draws_of_every_kind_are_longer(spark):
         assert len(later.s) > len(first.s) and len(later.r) > len(first.r)
         if kind == "card":
             assert sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (c > "4")) for i, c in enumerate(reversed(later.s))) % 10 == 0
+
+
+def test_long_secrets_are_replaced_to_their_end(spark):
+    ready(spark)
+    token = "eyJ" + "aB3_x-9.Q" * 110 + "tail"  # over 900 characters, in a hundred parts
+    texts = [f"token={token}", f"The token: {token}.", f"token={'Zk7/' * 50_000}==", f"token={'a.' * 50_000}b", "password=abc1.. then", "password: 1234."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replaced(docs, "k").collect()}
+    for i in (0, 1, 2, 3):
+        assert len(new[i]) == len(texts[i]) and new[i][:6] == texts[i][:6]
+        assert not any(texts[i][at:at + 20] in new[i] for at in range(12, len(texts[i]) - 20, 20_000 if i > 1 else 1) if i != 3)
+    assert new[1][11:-1] == new[0][6:] and new[1].endswith(".") and new[0][-40:] != token[-40:] and new[3] != texts[3]
+    assert new[4] == texts[4] and new[5] == texts[5]  # under five characters
