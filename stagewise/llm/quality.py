@@ -6,9 +6,9 @@ A document fails if a distance exceeds its limit. Limits are wider for short doc
 below a minimum length a histogram is not judged at all.
 
 References cover all documents that pass the base rules. Common words are those with at least a given share of a
-language's words: a word that frequent overall is that frequent in some part of the table, so each task only passes on
-its own frequent words, with their counts, and what falls below the share in the sum of these is dropped. Words with
-twice the share are certain to be found, and a language has at most 1 / share of them.
+language's words. A word that frequent overall is that frequent in some part of the table, so each task names its own
+frequent words; these are counted in all documents, and the share is applied to those counts. So how rows are dealt to
+tasks changes nothing. Candidates are at most 1 / share for each task's part of a language, common words 1 / share a language.
 
 NULL or empty text: no words, fails the base rules. Repeated rows get equal answers. Rows without a language take part
 in no reference. With no reference at all, base rules alone decide. Other columns of the input are ignored.
@@ -89,8 +89,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.col("text").cast("binary").alias("text"))
 
 
-def common_words(docs: DataFrame, share: float = SHARE, least: float = LEAST_LANGUAGE) -> list[str]:
-    """Words that are common in some language, at most 1 / share for each of at most 1 / least languages."""
+def candidate_words(docs: DataFrame, share: float = SHARE, least: float = LEAST_LANGUAGE) -> list[bytes]:
+    """Words with at least the share in some task's part of a language: all common words are among them."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -107,7 +107,7 @@ def common_words(docs: DataFrame, share: float = SHARE, least: float = LEAST_LAN
     found = stored(found, "frequent-words")
     totals = found.filter("word IS NULL").select("lang", F.col("n").alias("total"))
     whole = totals.agg(F.sum("total")).first()[0] or 0
-    kept = found.filter("word IS NOT NULL").join(totals.filter(F.col("total") >= least * whole), "lang").filter(F.col("n") >= share * F.col("total"))
+    kept = found.filter("word IS NOT NULL").join(totals.filter(F.col("total") >= least * whole), "lang")
     return sorted(bytes(r.word) for r in kept.select("word").distinct().collect())
 
 
@@ -121,8 +121,16 @@ def _frequent(held: dict[str, Counter], share: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [k for k, _ in kinds])
 
 
+def common_words(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """Numbers (at) of the candidates with at least the share of some language's words, by their counts in all documents."""
+    own = rows.filter("lang IS NOT NULL")
+    totals = own.groupBy("lang").agg(F.sum(F.col("rest") + F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
+    counted = own.select("lang", F.explode(F.arrays_zip("at", "n")).alias("e")).groupBy("lang", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
+    return counted.join(F.broadcast(totals), "lang").filter(F.col("n") >= share * F.col("total")).select("at").distinct()
+
+
 def measured(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """Per document: base counts, counts by character class, and counts of common words as two lists."""
+    """Per document: base counts, counts by character class, and counts of candidates for common words as two lists."""
     number = {w: i for i, w in enumerate(words)}
     kinds = [
         ("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -163,7 +171,8 @@ def references(rows: DataFrame, top: int = TOP, least: float = LEAST_LANGUAGE) -
     sums = sums.filter(F.col("words") >= least * whole)
     counted = good.select("lang", F.explode(F.arrays_zip("at", "n")).alias("e")).groupBy("lang", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "at"))
-    ranked = counted.withColumn("rank", rank).withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("rank") <= top)
+    counted = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).join(F.broadcast(common_words(rows)), "at", "left_semi")
+    ranked = counted.withColumn("rank", rank).filter(F.col("rank") <= top)
     tops = {}
     for r in ranked.join(sums.select("lang"), "lang").collect():  # at most `top` words for each of at most 1 / least languages
         tops.setdefault(r.lang, []).append((r.at, r.n, r["all"]))
@@ -225,5 +234,5 @@ def judged(rows: DataFrame, refs: list) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept and both distances."""
-    rows = stored(measured(docs, common_words(docs)), "measured")
+    rows = stored(measured(docs, candidate_words(docs)), "measured")
     return judged(rows, references(rows))

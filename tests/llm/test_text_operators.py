@@ -147,6 +147,21 @@ def test_quality_keeps_prose_and_drops_symbol_soup(spark):
     assert all(found[i] for i in range(60)) and not any(found[100 + i] for i in range(3))
 
 
+def test_quality_is_the_same_however_rows_are_dealt(spark):
+    ready(spark)
+
+    def text(i):  # "often" is 0.3% of the words of one half and 0.15% of the other, so common in the sum alone
+        words = [f"{'abcdefghij'[j // 100]}{'klmnopqrst'[j // 10 % 10]}{'uvwxyzabcd'[j % 10]}" for j in range(i % 7, 1000, 2)] * 2
+        return " ".join(["the " + w if j % 3 else w for j, w in enumerate(words)][:800] + ["often"] * (4 if i < 20 else 2))
+
+    rows = [(i, text(i), "en") for i in range(40)]
+    one, many = (
+        {r.doc_id: r.word_distance for r in quality.quality(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string, lang string")).collect()}
+        for n in (1, 2)
+    )
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-12 for i in one)
+
+
 def test_jensen_shannon_bounds():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(quality.jensen_shannon(p, np.array([0.0, 1.0]))[0], 1) and np.allclose(quality.jensen_shannon(p, np.array([0.5, 0.5]))[1], 0)
