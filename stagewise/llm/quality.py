@@ -10,6 +10,9 @@ language's words. A word that frequent overall is that frequent in some part of
 frequent words; these are counted in all documents, and the share is applied to those counts. So how rows are dealt to
 tasks changes nothing. Candidates are at most 1 / share for each task's part of a language, common words 1 / share a language.
 
+A language of very few words has no reference. If its documents fit no other, divergence leaves them unjudged, as nothing
+tells what they ought to be like. A document without a language is judged by all references.
+
 NULL or empty text: no words, fails the base rules. Repeated rows get equal answers. Rows without a language take part
 in no reference. With no reference at all, base rules alone decide. Other columns of the input are ignored.
 """
@@ -30,7 +33,7 @@ from stagewise.llm.common import stored
 MIN_WORDS, MOST_REPEATED = 50, 50  # base rules: least words; percent of words in repeated windows
 SHARE = 0.002  # of a language's words that makes a word common
 TOP = 100  # common words in a reference
-LEAST_LANGUAGE = 0.001  # share of all words from which on a language has a reference
+LEAST_WORDS = 2000  # of a language from which on it has a reference, whatever the others hold
 CLASS_LIMIT, CLASS_NOISE, CLASS_CHARS = 0.24, 1.5, 200
 WORD_LIMIT, WORD_NOISE, WORD_WORDS = 0.45, 1.5, 100
 
@@ -89,7 +92,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.col("text").cast("binary").alias("text"))
 
 
-def candidate_words(docs: DataFrame, share: float = SHARE, least: float = LEAST_LANGUAGE) -> list[bytes]:
+def candidate_words(docs: DataFrame, share: float = SHARE, least: int = LEAST_WORDS) -> list[bytes]:
     """Words with at least the share in some task's part of a language: all common words are among them."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +109,7 @@ def candidate_words(docs: DataFrame, share: float = SHARE, least: float = LEAST_
     found = _rows(docs).mapInArrow(frequent, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found = stored(found, "frequent-words")
     totals = found.filter("word IS NULL").select("lang", F.col("n").alias("total"))
-    whole = totals.agg(F.sum("total")).first()[0] or 0
-    kept = found.filter("word IS NOT NULL").join(totals.filter(F.col("total") >= least * whole), "lang")
+    kept = found.filter("word IS NOT NULL").join(totals.filter(F.col("total") >= least), "lang")
     return sorted(bytes(r.word) for r in kept.select("word").distinct().collect())
 
 
@@ -161,20 +163,19 @@ def _base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def references(rows: DataFrame, top: int = TOP, least: float = LEAST_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+def references(rows: DataFrame, top: int = TOP, least: int = LEAST_WORDS) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """Per language: name, histogram of classes, numbers of its commonest words, and their histogram with the rest last."""
     good = rows.filter("lang IS NOT NULL").filter(~_base_failed())
     sums = good.groupBy("lang").agg(
         F.sum("n_words").alias("words"), F.sum("rest").alias("rest"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(INSIDE)]
     )
-    whole = sums.agg(F.sum("words")).first()[0] or 0
-    sums = sums.filter(F.col("words") >= least * whole)
+    sums = sums.filter(F.col("words") >= least)
     counted = good.select("lang", F.explode(F.arrays_zip("at", "n")).alias("e")).groupBy("lang", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "at"))
     counted = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).join(F.broadcast(common_words(rows)), "at", "left_semi")
     ranked = counted.withColumn("rank", rank).filter(F.col("rank") <= top)
     tops = {}
-    for r in ranked.join(sums.select("lang"), "lang").collect():  # at most `top` words for each of at most 1 / least languages
+    for r in ranked.join(sums.select("lang"), "lang").collect():  # at most `top` words for each language
         tops.setdefault(r.lang, []).append((r.at, r.n, r["all"]))
     out = []
     for r in sorted(sums.collect(), key=lambda r: r.lang):
@@ -199,10 +200,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def judged(rows: DataFrame, refs: list) -> DataFrame:
     """Verdicts and distances: base_failed, kept, class_distance, word_distance (NULL where not judged)."""
+    known = {lang for lang, *_ in refs}
+    most = 1 + max((int(at.max()) for _, _, at, _ in refs if len(at)), default=0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             n = len(frame)
+            row = np.repeat(np.arange(n), frame["at"].map(len).to_numpy(int))
+            flat_at = np.concatenate([np.zeros(0, np.int64), *frame["at"]]).astype(np.int64)
+            flat_n = np.concatenate([np.zeros(0), *frame["n"]])
             chars = frame["word_chars"].to_numpy(float)
             classes = np.array(frame["classes"].tolist(), float).reshape(n, INSIDE)
             classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
@@ -210,18 +216,20 @@ def judged(rows: DataFrame, refs: list) -> DataFrame:
             by_class, by_word = np.full(n, np.inf), np.full(n, np.inf)
             for _, ref_classes, at, hist in refs:
                 by_class = np.minimum(by_class, jensen_shannon(classes, ref_classes))
-                place = {a: i for i, a in enumerate(at.tolist())}
-                own = np.zeros((n, len(hist)))
-                for row, a, c, rest in zip(own, frame["at"], frame["n"], frame["rest"]):
-                    row[-1] = rest
-                    for x, y in zip(a, c):
-                        row[place.get(x, -1)] += y
+                place = np.full(most + 1, len(hist) - 1)  # words without a place of their own are the rest
+                place[at] = np.arange(len(at))
+                cell = row * len(hist) + place[np.minimum(flat_at, most)]
+                own = np.bincount(cell, flat_n, n * len(hist)).reshape(n, len(hist)).astype(float)
+                own[:, -1] += frame["rest"].to_numpy(float)
                 own /= np.maximum(own.sum(axis=1, keepdims=True), 1)
                 by_word = np.minimum(by_word, jensen_shannon(own, hist))
             by_class[(chars < CLASS_CHARS) | ~np.isfinite(by_class)] = np.nan
             by_word[(words < WORD_WORDS) | ~np.isfinite(by_word)] = np.nan
             failed = (words < MIN_WORDS) | (100 * frame["n_repeat_words"].to_numpy() > MOST_REPEATED * words)
             bad = (by_class > CLASS_LIMIT + CLASS_NOISE / np.sqrt(np.maximum(chars, 1))) | (by_word > WORD_LIMIT + WORD_NOISE / np.sqrt(np.maximum(words, 1)))
+            unknown = bad & np.array([lang is not None and lang == lang and lang not in known for lang in frame["lang"]], bool)
+            bad &= ~unknown
+            by_class[unknown] = by_word[unknown] = np.nan
             yield frame[["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]].assign(
                 doc_id=frame["doc_id"].astype("Int64"), base_failed=failed, kept=~failed & ~bad, class_distance=by_class, word_distance=by_word
             )

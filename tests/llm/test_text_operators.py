@@ -162,6 +162,22 @@ def test_quality_is_the_same_however_rows_are_dealt(spark):
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-12 for i in one)
 
 
+def test_quality_judges_a_language_by_itself_however_small(spark):
+    ready(spark)
+
+    def text(letters, first, n):
+        return " ".join("".join(letters[(first + i) // len(letters)**k % len(letters)] for k in range(4)) for i in range(n)) + "."
+
+    latin, cyrillic, digits = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "0123456789"
+    rows = [(i, text(latin, 20_000 * i, 20_000), "en") for i in range(150)]  # over a thousand times the words of any other
+    rows += [(1000 + i, text(cyrillic, 200 * i, 200), "ru") for i in range(12)] + [(2000 + i, text(digits, 200 * i, 200), "xx") for i in range(2)]
+    rows += [(3000, text(digits, 900, 200), None), (3001, text(cyrillic, 9000, 200), None)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.kept, r.class_distance) for r in quality.quality(docs).filter("doc_id >= 1000").collect()}
+    assert all(found[1000 + i][0] and found[1000 + i][1] < 0.1 for i in range(12)) and found[3001][0] and not found[3000][0]
+    assert all(found[2000 + i] == (True, None) for i in range(2))  # too few words for a reference: unjudged, not failed
+
+
 def test_jensen_shannon_bounds():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(quality.jensen_shannon(p, np.array([0.0, 1.0]))[0], 1) and np.allclose(quality.jensen_shannon(p, np.array([0.5, 0.5]))[1], 0)
