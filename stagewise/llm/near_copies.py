@@ -5,7 +5,11 @@ fingerprints (64 bits, of distinct shingles) then differ in about ten bits, whic
 So the exact part of a bucket key is not a segment but an anchor, the least shingle under one of twelve orders, which two near
 copies share with a chance equal to their similarity. Beside it stand the Golay fuzzy keys of 23 bits of the fingerprint, one
 window of bits for each order (`simhash.bucket_keys` tells why words at distance 2 share a key; over half of those at distance 3
-or 4 do, too). At a similarity of 0.8 one order finds about half of the pairs, twelve miss 1 in 2000; closer pairs are missed less.
+or 4 do, too). At a similarity of 0.8 one order finds about half of the pairs. The windows overlap, so twelve still miss some.
+
+What they miss is found exactly. Of two sets as similar as asked, each with all shingles in one common order, the first
+floor(0.2 n) + 1 share one. The order is from rare to frequent, by counts of slots, so that common lines come last. Only
+keys that lie in several classes of the first steps are joined, and only pairs of different classes are verified.
 
 No bucket is capped. Texts with the same shingles are one node. In each bucket all nodes are compared by fingerprint and set
 size, but a node only keeps its nearest neighbour; those links are verified and joined into classes. Then the buckets are compared
@@ -31,7 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 ORDERS = 12  # anchors and windows of fingerprint bits
-RADIUS = 22  # differing bits beyond which a candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
+SLOTS = 1 << 16  # counters of shingles by hash, for the order of the exact step
+RADIUS = 22  # differing bits beyond which a bucket's candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
 
 SIGNATURE = "doc_id bigint, shingles string, n bigint, fp bigint, anchors array<bigint>"
 
@@ -134,6 +139,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(alike).select("a", "b").distinct()
 
 
+def _slot_counts(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """Shingles of all texts by slot of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                held += np.bincount((shingle_set(text.as_py(), shingle, seed) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        out[r.slot] = r.n
+    return out
+
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The first shingles of each text from rare to frequent, of which two near copies share one: key, node, n."""
+    counts = _slot_counts(docs, shingle, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [np.zeros(0, np.uint64)], []
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py(), shingle, seed)
+                order = np.lexsort((hashes, counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
+                first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+                keys.append(hashes[order[:first]])
+                sizes.append(len(hashes))
+            lengths = [len(k) for k in keys[1:]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), lengths))), pa.array(np.repeat(sizes, lengths).astype(np.int64))],
+                ["key", "node", "n"],
+            )
+
+    return docs.mapInArrow(run, "key bigint, node bigint, n bigint")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """Per doc_id: component_id, the least doc_id reachable by near copies, itself included."""
 
@@ -164,11 +208,26 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     classed = shared.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     rest = _close(classed, similarity, True).filter("class_a != class_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = rest.distinct().join(nearest, ["a", "b"], "left_anti")
-    second = _verified(rest, sets, similarity)
+    second = stored(_verified(rest, sets, similarity), "second")
 
     # Texts with the same shingles, and several texts of one doc_id, are links as well.
     same = signed.join(nodes.select("shingles", "node"), "shingles").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(first.unionByName(second).unionByName(same))
+    links = first.unionByName(second).unionByName(same)
+
+    # Pairs that share no bucket, or whose fingerprints lie too far apart.
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prefixes = _prefixes(whole.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity, seed)
+    prefixes = prefixes.join(components(links), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    prefixes = stored(prefixes, "prefixes")
+    several = prefixes.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).filter("least < greatest").select("key")
+    shared = prefixes.join(several, "key")
+    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "class")]) for s in "ab")
+    alike = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity
+    missed = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & alike)
+    missed = stored(missed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "missed")
+    wanted = missed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(whole.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
+    roots = components(links.unionByName(_verified(missed, sets, similarity)))
     ids = signed.select("doc_id").distinct()
     return ids.join(roots, ids.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -81,3 +81,14 @@ def test_planted_edits_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == all_pairs(rows)
+
+
+def test_pairs_that_share_no_bucket_are_found(spark):
+    ready(spark)
+    # Pairs of 198 shingles each, 176 of them in common: a similarity of exactly 0.8. The buckets alone miss some.
+    rows = []
+    for i in range(600):
+        common = [f"w{i}x{j}" for j in range(180)]
+        rows += [(2 * i, " ".join(common + [f"a{i}x{j}" for j in range(22)])), (2 * i + 1, " ".join(common + [f"b{i}x{j}" for j in range(22)]))]
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
