@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stagewise.session import configure, ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word in every contract of this folder
+BROADCAST_ROWS = 1 << 18  # narrow rows up to which a table is broadcast
 BATCH_ROWS = 2000  # rows per Arrow batch; texts are long
 
 
@@ -42,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is short enough. Beyond that it joins like any other."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def n_words(text: Column | str) -> Column:
     """Words of a text, 0 for a NULL one."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("bigint")
