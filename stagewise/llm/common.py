@@ -40,7 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_side(table: DataFrame) -> DataFrame:
@@ -91,6 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
         large = both.join(least, both.a == least.u).filter("b > u").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         large = stored(large, "large")
+        discard(now)
         # Small star: hang u and its lesser neighbours on the least of them.
         least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u")
         joined = large.join(least, large.b == least.u)
@@ -98,6 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y"))
         )).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a < b").distinct()
         now = stored(small, "small")
+        discard(large)
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
         if state == before:
             break

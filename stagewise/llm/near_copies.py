@@ -1,22 +1,22 @@
-"""Near copies by verified SimHash: Golay fuzzy keys find candidates, exact five-word shingle similarity decides.
+"""Near copies by verified SimHash: Golay fuzzy keys find most, a prefix filter the rest, exact five-word shingle similarity decides.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Their
 fingerprints (64 bits, of distinct shingles) then differ in about ten bits, which leaves no segment of a useful width untouched.
-So the exact part of a bucket key is not a segment but an anchor, the least shingle under one of twelve orders, which two near
+So the exact part of a bucket key is not a segment but an anchor, the least shingle under one of a few orders, which two near
 copies share with a chance equal to their similarity. Beside it stand the Golay fuzzy keys of 23 bits of the fingerprint, one
 window of bits for each order (`simhash.bucket_keys` tells why words at distance 2 share a key; over half of those at distance 3
-or 4 do, too). At a similarity of 0.8 one order finds about half of the pairs. The windows overlap, so twelve still miss some.
-
-What they miss is found exactly. Of two sets as similar as asked, each with all shingles in one common order, the first
-floor(0.2 n) + 1 share one. The order is from rare to frequent, by counts of slots, so that common lines come last. Only
-keys that lie in several classes of the first steps are joined, and only pairs of different classes are verified.
-
-No bucket is capped. Texts with the same shingles are one node. In each bucket all nodes are compared by fingerprint and set
-size, but a node only keeps its nearest neighbour; those links are verified and joined into classes. Then the buckets are compared
-again, and only pairs of different classes go on to be verified. So a group of near copies costs two links a member.
-
-NULL and empty texts have no shingle and are copies of each other; a text of fewer than five words is one shingle. Rows without
-a doc_id are left out. Rows that repeat a doc_id are one document, linked by any of its texts. Other columns are ignored. An empty table gives no rows.
+or 4 do, too). A bucket is a star: its members are compared with its least and its greatest node by set size, and each node
+keeps the nearest of those it met. These links are verified and joined into classes, so a group of near copies costs one link a member.
+
+Buckets miss pairs; those are found exactly. Of two sets as similar as asked, each with all shingles in one common order, the
+first floor(0.2 n) + 1 share one, and the first that they share stands early enough in both to leave room for the rest of what they
+must have in common. The order is from rare to frequent, by counts of slots, so that common lines come last. Documents emit these
+shingles with the number of their set where they are read, no text moves for it; a shingle goes on if different sets have it and
+then if different classes have it, and only pairs of different classes that could still be alike by places and sizes are verified.
+
+No bucket is capped. Texts with the same shingles are one node. NULL and empty texts have no shingle and are copies of each other; a
+text of fewer than five words is one shingle. Rows without a doc_id are left out. Rows that repeat a doc_id are one document, linked
+by any of its texts. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.llm import simhash
-from stagewise.llm.common import components, stored
+from stagewise.llm.common import components, discard, small_side, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
-ORDERS = 12  # anchors and windows of fingerprint bits
+ORDERS = 3  # anchors and windows of fingerprint bits
 SLOTS = 1 << 16  # counters of shingles by hash, for the order of the exact step
 RADIUS = 22  # differing bits beyond which a bucket's candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
 
-SIGNATURE = "doc_id bigint, shingles string, n bigint, fp bigint, anchors array<bigint>"
+SIGNATURE = "doc_id bigint, digest binary, set bigint, n bigint, fp bigint, anchors array<bigint>, slots binary"
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -70,25 +70,35 @@ def _bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _set_number(hashes: np.ndarray) -> int:
+    """64 bits of a set's digest, signed."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Per document: digest and size of its shingle set, fingerprint, and the least shingle of each order."""
+    """Per document: digest, number and size of its shingle set, fingerprint, and the least shingle of each order.
+
+    Each task adds a row without a doc_id that holds its counts of shingles by slot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        salts = _mixed(np.arange(1, ORDERS + 1, dtype=np.uint64))
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("anchors", pa.list_(pa.int64())), ("slots", pa.binary())])
+        salts, held = _mixed(np.arange(1, ORDERS + 1, dtype=np.uint64)), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            digests, sizes, fps, anchors = [], [], [], []
-            for text in batch.column("text"):
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 hashes = shingle_set(text.as_py(), shingle, seed)
-                digests.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                fps.append(_bits(hashes))
-                anchors.append([_mixed(hashes ^ s).min() for s in salts] if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()),
-                pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([np.array(a, np.uint64).view(np.int64) for a in anchors], pa.list_(pa.int64())),
-            ], ["doc_id", "shingles", "n", "fp", "anchors"])
+                held += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                anchors = np.array([_mixed(hashes ^ s).min() for s in salts] if len(hashes) else [], np.uint64).view(np.int64)
+                fp = int(np.uint64(_bits(hashes)).astype(np.int64))
+                rows.append((doc_id, xxhash.xxh3_128_digest(hashes.tobytes()), _set_number(hashes), len(hashes), fp, anchors, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None] * 6 + [held.tobytes()], schema.types)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.filter("doc_id IS NOT NULL").mapInArrow(run, SIGNATURE)
@@ -122,112 +132,126 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.filter("n > 0").select("node", "n", "fp", "anchors").mapInArrow(run, "key bigint, node bigint, n bigint, fp bigint")
 
 
-def _close(shared: DataFrame, similarity: float, ordered: bool) -> DataFrame:
-    """Pairs of a bucket's nodes that may be near copies by set size and fingerprint."""
-    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{s}") for c in shared.columns if c != "key"]) for s in "ab")
-    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    near = (apart <= RADIUS) & (F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity)
-    each = F.col("node_a") < F.col("node_b") if ordered else F.col("node_a") != F.col("node_b")
-    return a.join(b, "key").filter(each & near).withColumn("apart", apart)
+def _nearest(nodes: DataFrame, similarity: float) -> DataFrame:
+    """For each node the nearest by fingerprint of those that stand out in its buckets: pairs (a, b) to verify."""
+    keyed = stored(_keyed(nodes), "keyed")
+    member = F.struct("n", "node", "fp")
+    stars = keyed.groupBy("key").agg(F.min(member).alias("least"), F.max(member).alias("greatest")).filter("least.node < greatest.node OR least.node > greatest.node")
+    met = keyed.join(stars, "key").select("node", "n", "fp", F.explode(F.array("least", "greatest")).alias("star"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("star.fp")))
+    alike = F.least("n", "star.n") / F.greatest("n", "star.n") >= similarity
+    near = met.filter((F.col("star.node") != F.col("node")) & alike & (apart <= RADIUS)).groupBy("node").agg(F.min(F.struct(apart.alias("apart"), "star.node")).alias("near"))
+    found = stored(near.select(F.least("near.node", "node").alias("a"), F.greatest("near.node", "node").alias("b")).distinct(), "nearest")
+    discard(keyed)
+    return found
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Those of the stored pairs (a, b) whose shingle sets are as similar as asked. Only their texts are read into sets."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle, seed).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets are as similar as asked."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sets = stored(texts.join(small_side(wanted), "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b")))
     alike = F.col("common") / (F.size("hashes_a") + F.size("hashes_b") - F.col("common")) >= similarity
-    return both.filter(alike).select("a", "b").distinct()
+    found = stored(both.filter(alike).select("a", "b").distinct(), "verified")
+    discard(wanted, sets)
+    return found
 
 
-def _slot_counts(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
-    """Shingles of all texts by slot of their hash."""
+def _slot_counts(signed: DataFrame) -> np.ndarray:
+    """Shingles of all documents by slot of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                held += np.bincount((shingle_set(text.as_py(), shingle, seed) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for slots in batch.column("slots").to_pylist():
+                held += np.frombuffer(slots, np.int64)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["slot", "n"])
 
     out = np.zeros(SLOTS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+    counts = signed.filter("slots IS NOT NULL").select("slots").mapInArrow(run, "slot bigint, n bigint")
+    for r in counts.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
         out[r.slot] = r.n
     return out
 
 
-def _prefixes(docs: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """The first shingles of each text from rare to frequent, of which two near copies share one: key, node, n."""
-    counts = _slot_counts(docs, shingle, seed)
+def prefix_size(n: int, share: float) -> int:
+    """Shingles of n from the rare end of which a set with `share` of them in common must have one."""
+    return n - int(np.ceil(share * n - 1e-9)) + 1 if n else 0
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """Rows (key, set, place, n): the first shingles of each text's set from rare to frequent, of which two near copies share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task's rows
         for batch in batches:
-            keys, sizes = [np.zeros(0, np.uint64)], []
+            keys, numbers, sizes = [np.zeros(0, np.uint64)], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), shingle, seed)
+                number = _set_number(hashes)
+                if not len(hashes) or number in seen:
+                    continue
+                seen.add(number)
                 order = np.lexsort((hashes, counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
-                first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
-                keys.append(hashes[order[:first]])
+                keys.append(hashes[order[:prefix_size(len(hashes), similarity)]])
+                numbers.append(number)
                 sizes.append(len(hashes))
             lengths = [len(k) for k in keys[1:]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), lengths))), pa.array(np.repeat(sizes, lengths).astype(np.int64))],
-                ["key", "node", "n"],
-            )
-
-    return docs.mapInArrow(run, "key bigint, node bigint, n bigint")
+            places = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in lengths]])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(numbers, np.int64), lengths)), pa.array(places), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+            ], ["key", "set", "place", "n"])
+
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "key bigint, set bigint, place int, n int")
+
+
+def _missed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """All pairs (a, b) of nodes in different classes that may be as similar as asked."""
+    least = 2 * similarity / (1 + similarity)  # share of the smaller set that both have
+    early = F.col("n") - F.col("place") >= F.ceil(least * F.col("n") - 1e-9)  # leaves room even for a set of its own size
+    prefixes = stored(_prefixes(docs, counts, shingle, similarity, seed), "prefixes")
+    several = prefixes.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"), F.max(early).alias("early"))
+    met = stored(prefixes.join(several.filter("first < last AND early").select("key"), "key", "left_semi"), "met")
+    discard(prefixes)
+    named = nodes.select("set", "node").join(classes, "node", "left").select("set", "node", F.coalesce("root", "node").alias("class"))
+    met = met.join(small_side(stored(named, "named")), "set").select("key", "node", "class", "place", "n")
+    met = stored(met, "classed")
+    several = met.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.max(early).alias("early")).filter("first < last AND early")
+    shared = stored(met.join(several.select("key"), "key", "left_semi"), "shared")
+    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "class", "place", "n")]) for s in "ab")
+    needed = F.ceil(least / 2 * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
+    alike = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity
+    found = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & alike & room)
+    found = stored(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "missed")
+    discard(met, shared)
+    return found
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """Per doc_id: component_id, the least doc_id reachable by near copies, itself included."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), shingle, seed).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
     signed = stored(signatures(docs, shingle, seed), "signatures")
-    nodes = signed.groupBy("shingles").agg(F.min("doc_id").alias("node"), F.min(F.struct("n", "fp", "anchors")).alias("s"))
-    nodes = stored(nodes.select("shingles", "node", "s.*"), "nodes")
-    keyed = _keyed(nodes)
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    shared = stored(keyed.join(crowded, "key"), "buckets")
-
-    # Nearest neighbours: kept by a map-side combined minimum, so a bucket's pairs are compared but not emitted.
-    nearest = _close(shared, similarity, False).groupBy("node_b").agg(F.min(F.struct("apart", "node_a")).alias("near"))
-    nearest = nearest.select(F.least("near.node_a", "node_b").alias("a"), F.greatest("near.node_a", "node_b").alias("b")).distinct()
-    nearest = stored(nearest, "nearest")
-    # Whoever has a close neighbour has a nearest one, so these are the nodes of all pairs to come.
-    wanted = nearest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
-    first = stored(_verified(nearest, sets, similarity), "first")
-
-    # Pairs that the first links have not joined yet.
-    classes = components(first)
-    classed = shared.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    rest = _close(classed, similarity, True).filter("class_a != class_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    rest = rest.distinct().join(nearest, ["a", "b"], "left_anti")
-    second = stored(_verified(rest, sets, similarity), "second")
+    counts = _slot_counts(signed)
+    signed = signed.filter("doc_id IS NOT NULL")
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("set", "n", "fp", "anchors")).alias("s"))
+    nodes = stored(nodes.select("digest", "node", "s.*"), "nodes")
+    first = _verified(_nearest(nodes, similarity), docs, similarity, shingle, seed)
 
     # Texts with the same shingles, and several texts of one doc_id, are links as well.
-    same = signed.join(nodes.select("shingles", "node"), "shingles").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = first.unionByName(second).unionByName(same)
-
-    # Pairs that share no bucket, or whose fingerprints lie too far apart.
-    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prefixes = _prefixes(whole.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity, seed)
-    prefixes = prefixes.join(components(links), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    prefixes = stored(prefixes, "prefixes")
-    several = prefixes.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).filter("least < greatest").select("key")
-    shared = prefixes.join(several, "key")
-    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "class")]) for s in "ab")
-    alike = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity
-    missed = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & alike)
-    missed = stored(missed.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "missed")
-    wanted = missed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(whole.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
-    roots = components(links.unionByName(_verified(missed, sets, similarity)))
+    same = signed.select("digest", "doc_id").join(nodes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(first.unionByName(same), "links")
+    missed = _missed(docs, nodes, components(links), counts, shingle, similarity, seed)
+    roots = components(links.unionByName(_verified(missed, docs, similarity, shingle, seed)))
     ids = signed.select("doc_id").distinct()
     return ids.join(roots, ids.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
