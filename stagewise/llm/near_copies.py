@@ -5,14 +5,14 @@ fingerprints (64 bits, of distinct shingles) then differ in about ten bits, whic
 So the exact part of a bucket key is not a segment but an anchor, the least shingle under one of a few orders, which two near
 copies share with a chance equal to their similarity. Beside it stand the Golay fuzzy keys of 23 bits of the fingerprint, one
 window of bits for each order (`simhash.bucket_keys` tells why words at distance 2 share a key; over half of those at distance 3
-or 4 do, too). A bucket is a star: its members are compared with its least and its greatest node by set size, and each node
-keeps the nearest of those it met. These links are verified and joined into classes, so a group of near copies costs one link a member.
+or 4 do, too). A bucket is a star: its members are compared with two of them, drawn by hash, and each node keeps the nearest of
+those it met. These links are verified and joined into classes, so a group of near copies costs a link a member.
 
 Buckets miss pairs; those are found exactly. Of two sets as similar as asked, each with all shingles in one common order, the
-first floor(0.2 n) + 1 share one, and the first that they share stands early enough in both to leave room for the rest of what they
-must have in common. The order is from rare to frequent, by counts of slots, so that common lines come last. Documents emit these
-shingles with the number of their set where they are read, no text moves for it; a shingle goes on if different sets have it and
-then if different classes have it, and only pairs of different classes that could still be alike by places and sizes are verified.
+first floor(0.2 n) + 1 share one. The order is from rare to frequent, by counts of slots, so that common lines come last. Documents
+emit these shingles with the number of their set where they are read, no text moves for it; a shingle goes on if different sets
+have it and then if different classes have it. Stars of shared shingles join what is left of large groups. Then all pairs of
+different classes that could still be alike by the places of what they share (`_may_be_alike`) and by their sizes are verified.
 
 No bucket is capped. Texts with the same shingles are one node. NULL and empty texts have no shingle and are copies of each other; a
 text of fewer than five words is one shingle. Rows without a doc_id are left out. Rows that repeat a doc_id are one document, linked
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm import simhash
@@ -35,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 ORDERS = 3  # anchors and windows of fingerprint bits
+STAR_ROUNDS = 2  # rounds of the exact step that compare with stars before all pairs that are left
 SLOTS = 1 << 16  # counters of shingles by hash, for the order of the exact step
 RADIUS = 22  # differing bits beyond which a bucket's candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
 
@@ -132,15 +133,20 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.filter("n > 0").select("node", "n", "fp", "anchors").mapInArrow(run, "key bigint, node bigint, n bigint, fp bigint")
 
 
+def _stars(rows: DataFrame, salt: int) -> DataFrame:
+    """Two rows of each key, drawn by hash: key, star."""
+    drawn = F.struct(F.xxhash64("key", "node", F.lit(salt)).alias("draw"), *[c for c in rows.columns if c != "key"])
+    stars = rows.groupBy("key").agg(F.min(drawn).alias("least"), F.max(drawn).alias("greatest")).filter("least.draw < greatest.draw")
+    return stars.select("key", F.explode(F.array("least", "greatest")).alias("star"))
+
+
 def _nearest(nodes: DataFrame, similarity: float) -> DataFrame:
-    """For each node the nearest by fingerprint of those that stand out in its buckets: pairs (a, b) to verify."""
+    """For each node the nearest by fingerprint of its buckets' stars: pairs (a, b) to verify."""
     keyed = stored(_keyed(nodes), "keyed")
-    member = F.struct("n", "node", "fp")
-    stars = keyed.groupBy("key").agg(F.min(member).alias("least"), F.max(member).alias("greatest")).filter("least.node < greatest.node OR least.node > greatest.node")
-    met = keyed.join(stars, "key").select("node", "n", "fp", F.explode(F.array("least", "greatest")).alias("star"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("star.fp")))
     alike = F.least("n", "star.n") / F.greatest("n", "star.n") >= similarity
-    near = met.filter((F.col("star.node") != F.col("node")) & alike & (apart <= RADIUS)).groupBy("node").agg(F.min(F.struct(apart.alias("apart"), "star.node")).alias("near"))
+    met = keyed.join(_stars(keyed, 0), "key").filter((F.col("star.node") != F.col("node")) & alike & (apart <= RADIUS))
+    near = met.groupBy("node").agg(F.min(F.struct(apart.alias("apart"), "star.node")).alias("near"))
     found = stored(near.select(F.least("near.node", "node").alias("a"), F.greatest("near.node", "node").alias("b")).distinct(), "nearest")
     discard(keyed)
     return found
@@ -189,7 +195,7 @@ def prefix_size(n: int, share: float) -> int:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """Rows (key, set, place, n): the first shingles of each text's set from rare to frequent, of which two near copies share one."""
+    """Rows (key, set, n): the first shingles of each text's set from rare to frequent, of which two near copies share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's rows
@@ -206,54 +212,94 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: flo
                 numbers.append(number)
                 sizes.append(len(hashes))
             lengths = [len(k) for k in keys[1:]]
-            places = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in lengths]])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(numbers, np.int64), lengths)), pa.array(places), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
-            ], ["key", "set", "place", "n"])
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(numbers, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+            ], ["key", "set", "n"])
 
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "key bigint, set bigint, place int, n int")
+    return texts.mapInArrow(run, "key bigint, set bigint, n int")
 
 
-def _missed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, counts: np.ndarray, shingle: int, similarity: float, seed: int) -> DataFrame:
-    """All pairs (a, b) of nodes in different classes that may be as similar as asked."""
-    least = 2 * similarity / (1 + similarity)  # share of the smaller set that both have
-    early = F.col("n") - F.col("place") >= F.ceil(least * F.col("n") - 1e-9)  # leaves room even for a set of its own size
+def _met(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """Prefixes by exact rarity: rows (key, set, place, p, n) of shingles that several sets have in their prefixes of p."""
     prefixes = stored(_prefixes(docs, counts, shingle, similarity, seed), "prefixes")
-    several = prefixes.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"), F.max(early).alias("early"))
-    met = stored(prefixes.join(several.filter("first < last AND early").select("key"), "key", "left_semi"), "met")
+    held = prefixes.groupBy("key").agg(F.min("set").alias("first"), F.max("set").alias("last"), F.count("*").alias("holders")).filter("first < last")
+    met = prefixes.join(held.select("key", "holders"), "key")
+    size = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1  # as prefix_size
+    own = Window.partitionBy("set")
+    place = F.col("p") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "key")) - 1
+    found = stored(met.withColumn("p", size).select("key", "set", place.alias("place"), "p", "n"), "met")
     discard(prefixes)
-    named = nodes.select("set", "node").join(classes, "node", "left").select("set", "node", F.coalesce("root", "node").alias("class"))
-    met = met.join(small_side(stored(named, "named")), "set").select("key", "node", "class", "place", "n")
-    met = stored(met, "classed")
-    several = met.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.max(early).alias("early")).filter("first < last AND early")
-    shared = stored(met.join(several.select("key"), "key", "left_semi"), "shared")
-    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "class", "place", "n")]) for s in "ab")
-    needed = F.ceil(least / 2 * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
-    alike = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity
-    found = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & alike & room)
-    found = stored(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "missed")
-    discard(met, shared)
     return found
 
 
+def _may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two rows of a key in different classes may belong to near copies that first meet at this key.
+
+    Beyond its prefix a set has n - p shingles, so two prefixes have at least c = (what the sets must have in common) minus the
+    greater of the two rests in common. Put a prefix in order of how many sets hold a shingle, counted exactly by now: the first
+    common one has c - 1 behind it in both. So a pair meets at a shingle that stands at place p - c or before in both, or not at
+    all; texts that share a passage and little else have too many shingles of their own before it.
+    """
+    def of(c: str) -> tuple[Column, Column]:
+        return F.col(f"{a}{c}"), F.col(f"{b}{c}")
+
+    (n_a, n_b), (p_a, p_b), (place_a, place_b), (class_a, class_b) = map(of, ("n", "p", "place", "class"))
+    common = F.ceil(similarity / (1 + similarity) * (n_a + n_b) - 1e-9) - F.greatest(n_a - p_a, n_b - p_b)
+    return (class_a != class_b) & (F.least(n_a, n_b) / F.greatest(n_a, n_b) >= similarity) & (F.least(p_a - place_a, p_b - place_b) >= common)
+
+
+def _between_classes(met: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (key, node, class, place, p, n) of keys that several classes have."""
+    rows = stored(met.join(small_side(named), "set").select("key", "node", "class", "place", "p", "n"), "placed")
+    several = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
+    found = stored(rows.join(several.select("key"), "key", "left_semi"), "shared")
+    discard(rows)
+    return found
+
+
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with their classes after links between nodes. Only what changes goes through the components."""
+    of = named.select("node", "class").distinct()
+    a, b = (of.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}")) for s in "ab")
+    edges = links.join(a, "a").join(b, "b").filter("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    roots = components(edges).withColumnRenamed("node", "class")
+    return stored(named.join(roots, "class", "left").select("set", "node", F.coalesce("root", "class").alias("class")), "named")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """Per doc_id: component_id, the least doc_id reachable by near copies, itself included."""
     signed = stored(signatures(docs, shingle, seed), "signatures")
     counts = _slot_counts(signed)
-    signed = signed.filter("doc_id IS NOT NULL")
+    signed = signed.filter("doc_id IS NOT NULL").select("doc_id", "digest", "set", "n", "fp", "anchors")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("set", "n", "fp", "anchors")).alias("s"))
     nodes = stored(nodes.select("digest", "node", "s.*"), "nodes")
-    first = _verified(_nearest(nodes, similarity), docs, similarity, shingle, seed)
-
-    # Texts with the same shingles, and several texts of one doc_id, are links as well.
-    same = signed.select("digest", "doc_id").join(nodes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = stored(first.unionByName(same), "links")
-    missed = _missed(docs, nodes, components(links), counts, shingle, similarity, seed)
-    roots = components(links.unionByName(_verified(missed, docs, similarity, shingle, seed)))
-    ids = signed.select("doc_id").distinct()
-    return ids.join(roots, ids.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+    # Copies of a set go where its node goes. A doc_id with several texts links their nodes.
+    placed = stored(signed.select("digest", "doc_id").join(nodes.select("digest", "node"), "digest").select("doc_id", "node").distinct(), "placed")
+    torn = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    torn = placed.join(torn, "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, docs, similarity, shingle, seed)
+
+    # The nearest of each node's buckets.
+    named = _joined(nodes.select("set", "node", F.col("node").alias("class")), verified(_nearest(nodes, similarity)).unionByName(torn))
+
+    # Stars of shared shingles first: they join large groups by a few links a member. Then all pairs that are left.
+    met = _met(docs, counts, shingle, similarity, seed)
+    for salt in range(1, STAR_ROUNDS + 1):
+        shared = _between_classes(met, named)
+        pairs = shared.join(_stars(shared, salt), "key").withColumns({f"star_{c}": F.col(f"star.{c}") for c in ("class", "place", "p", "n")})
+        pairs = pairs.filter(_may_be_alike("", "star_", similarity)).select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b"))
+        named = _joined(named, verified(stored(pairs.filter("a < b").distinct(), "pairs")))
+        discard(shared)
+    shared = _between_classes(met, named)
+    a, b = (shared.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "class", "place", "p", "n")]) for s in "ab")
+    pairs = a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & _may_be_alike("a_", "b_", similarity))
+    named = _joined(named, verified(stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")))
+    discard(met, shared)
+    return placed.join(named.select("node", "class").distinct(), "node").groupBy("doc_id").agg(F.min("class").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
