@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.scalar import quoted
+from stagewise.session import cut_lineage
 
 ACCURACY = 10_000
-MAX_VOCABULARY = 20_000
+BROADCAST_VALUES = 100_000  # categories of a column up to which their numbers are broadcast; beyond, they are joined like any table
 
 
 class NotFitted(RuntimeError):
@@ -90,64 +93,111 @@ def category_modes(counts: DataFrame) -> DataFrame:
     )
 
 
+def numbered(counts: DataFrame) -> DataFrame:
+    """(name, text, number): the values of each column numbered from 0 in text order.
+
+    Values are range-partitioned by column and text; a number is the place inside the range plus what the ranges before it hold,
+    so a column of any size is numbered by as many tasks as it has ranges.
+    """
+    ranged = cut_lineage(counts.select("name", "text").repartitionByRange("name", "text").withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy("name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("name", "_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("name", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("name", "_range").orderBy("text")
+    placed = ranged.join(F.broadcast(before), ["name", "_range"])  # a row for each column and range
+    return placed.select("name", "text", (F.col("_before") + F.row_number().over(inside) - 1).alias("number"))
+
+
 @dataclass
 class FeatureEncoder:
-    """Median imputation, scaling and one-hot encoding with parameters from train rows."""
+    """Median imputation, scaling and one-hot encoding with parameters from train rows.
+
+    The parameters of a numeric column, and mode and size of a categorical one, are a few numbers and live here. The categories
+    are a table (name, text, number): a row's categories get their numbers by joins, and the row becomes one sparse vector.
+    """
 
     numeric: list[str]
     categorical: list[str]
     medians: dict[str, float] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
-    vocabulary: dict[str, list[str]] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)
+    values: DataFrame | None = None
     n_rows_seen: int | None = None
 
     def fit(self, train: DataFrame) -> "FeatureEncoder":
-        """Fetch the parameters: one row per numeric column and per category."""
         self.n_rows_seen = train.count()
         for r in numeric_params(train, self.numeric).collect() if self.numeric else []:
             if r.median is not None:
                 self.medians[r.name] = r.median
                 self.scales[r.name] = (r.mean, r.std)
         if self.categorical:
-            counts = category_counts(train, self.categorical)
-            rows = counts.limit(MAX_VOCABULARY + 1).collect()
-            if len(rows) > MAX_VOCABULARY:
-                raise ValueError(
-                    f"more than {MAX_VOCABULARY} category values in {self.categorical}; "
-                    "leave the free-text column out of the categorical features"
-                )
-            self.vocabulary = {c: sorted(r.text for r in rows if r.name == c) for c in self.categorical}
-            self.modes = {
-                c: min(((-r.n, r.text) for r in rows if r.name == c))[1]
-                for c in self.categorical if self.vocabulary[c]
-            }
+            counts = cut_lineage(category_counts(train, self.categorical))
+            self.values = cut_lineage(numbered(counts))
+            for r in category_modes(counts).join(counts.groupBy("name").agg(F.count("*").alias("size")), "name").collect():  # a row per column
+                self.modes[r["name"]], self.sizes[r["name"]] = r["mode"], r["size"]
         return self
 
     def _require_fit(self):
         if self.n_rows_seen is None:
             raise NotFitted("fit() on train rows must come before transform()")
 
-    @property
-    def feature_names(self) -> list[str]:
+    def _used(self) -> tuple[list[str], list[str]]:
+        """Columns that have parameters: one without a value in train has none and gives no feature."""
         self._require_fit()
-        return [c for c in self.numeric if c in self.scales] + [
-            f"{c}={v}" for c in self.categorical for v in self.vocabulary[c]
-        ]
+        return [c for c in self.numeric if c in self.scales], [c for c in self.categorical if c in self.sizes]
 
-    def columns(self) -> list[Column]:
-        self._require_fit()
-        out = []
-        for c in self.numeric:
-            if c in self.scales:
-                mean, std = self.scales[c]
-                out.append((F.coalesce(quoted(c).cast("double"), F.lit(self.medians[c])) - F.lit(mean)) / F.lit(std))
-        for c in self.categorical:
-            if self.vocabulary[c]:
-                text = F.coalesce(quoted(c), F.lit(self.modes[c]))
-                out += [(text == F.lit(v)).cast("double") for v in self.vocabulary[c]]
-        return out
+    @property
+    def width(self) -> int:
+        numeric, categorical = self._used()
+        return len(numeric) + sum(self.sizes[c] for c in categorical)
+
+    def _scaled(self, c: str) -> Column:
+        mean, std = self.scales[c]
+        return (F.coalesce(quoted(c).cast("double"), F.lit(self.medians[c])) - F.lit(mean)) / F.lit(std)
+
+    def _numbered(self, df: DataFrame, categorical: list[str]) -> DataFrame:
+        """Add the number of each categorical column's value as `_number_{i}`, NULL where train had no such value."""
+        for i, c in enumerate(categorical):
+            side = self.values.filter(F.col("name") == c).select(F.col("text").alias(f"_text_{i}"), F.col("number").alias(f"_number_{i}"))
+            if self.sizes[c] <= BROADCAST_VALUES:
+                side = F.broadcast(side)
+            df = df.join(side, F.coalesce(quoted(c), F.lit(self.modes[c])) == F.col(f"_text_{i}"), "left").drop(f"_text_{i}")
+        return df
+
+    def encode(self, df: DataFrame, output: str = "vec") -> DataFrame:
+        """Add the features as a sparse vector, numeric columns first; an unseen category is all zeros."""
+        numeric, categorical = self._used()
+        hot = [f"_hot_{i}" for i in range(len(categorical))]
+        out = self._numbered(df, categorical).withColumns({f"_scaled_{i}": self._scaled(c) for i, c in enumerate(numeric)})
+        for i, c in enumerate(categorical):
+            size = self.sizes[c]
+            number = F.coalesce(F.col(f"_number_{i}"), F.lit(size)).cast("double")
+            out = out.withColumn(f"_number_{i}", number.alias(f"_number_{i}", metadata={"ml_attr": {"type": "nominal", "num_vals": size}}))
+        if categorical:
+            names = [f"_number_{i}" for i in range(len(categorical))]
+            out = OneHotEncoder(inputCols=names, outputCols=hot, handleInvalid="keep").fit(out).transform(out)
+        made = [f"_scaled_{i}" for i in range(len(numeric))] + hot
+        if not made:
+            return df.withColumn(output, array_to_vector(F.array().cast("array<double>")))
+        out = VectorAssembler(inputCols=made, outputCol="_assembled", handleInvalid="keep").transform(out)
+        # The names of all categories stay out of the schema.
+        vector = F.col("_assembled").alias(output, metadata={"ml_attr": {"num_attrs": self.width}})
+        return out.select(*[c for c in df.columns if c != output], vector)
 
     def transform(self, df: DataFrame, output: str = "x") -> DataFrame:
-        """Add the feature array; an unseen category is all zeros."""
-        return df.withColumn(output, F.array(*self.columns()))
+        """Add the features as an array of all entries, for operators that add arrays up."""
+        encoded = self.encode(df, "_vector")
+        return encoded.withColumn(output, vector_to_array("_vector")).drop("_vector")
+
+    def entries(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """The features one by one: keys, position, feature (column or column=category), value. Zeros of categories are left out."""
+        numeric, categorical = self._used()
+        cells = [F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(c).alias("feature"), self._scaled(c).alias("value")) for i, c in enumerate(numeric)]
+        first = len(numeric)
+        for i, c in enumerate(categorical):
+            text = F.concat(F.lit(f"{c}="), F.coalesce(quoted(c), F.lit(self.modes[c])))
+            cells.append(F.struct((F.col(f"_number_{i}") + first).cast("bigint").alias("position"), text.alias("feature"), F.lit(1.0).alias("value")))
+            first += self.sizes[c]
+        out = self._numbered(df, categorical).select(*keys, F.explode(F.array(*cells)).alias("_cell"))
+        return out.select(*keys, "_cell.*").filter(F.col("position").isNotNull())

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from stagewise.operators.bootstrap import POISSON_CDF
 from stagewise.plans.queries import BOOTSTRAP_ROUNDS, S, SEEDS
-from stagewise.sources.sinks import config_hash
 
 STAGE_LIST = "['Benign','IAD','LMEP','IMP']"
 
@@ -240,8 +239,8 @@ def _gate(src: str) -> str:
 
 
 def _params(c: str) -> str:
-    return f"""SELECT '{c}' AS name, {_r(f'median({c}::DOUBLE)', 'median', 4)}, {_r(f'avg({c}::DOUBLE)', 'mean', 4)},
-        {_r(f'CASE WHEN stddev_pop({c}::DOUBLE) = 0 THEN 1 ELSE stddev_pop({c}::DOUBLE) END', 'std', 4)} FROM inst JOIN spl USING (asset_id) WHERE split = 'train'"""
+    return f"""SELECT '{c}' AS name, {_r(f'median({c}::DOUBLE)', 'median')}, {_r(f'avg({c}::DOUBLE)', 'mean')},
+        {_r(f'CASE WHEN stddev_pop({c}::DOUBLE) = 0 THEN 1 ELSE stddev_pop({c}::DOUBLE) END', 'std')} FROM inst JOIN spl USING (asset_id) WHERE split = 'train'"""
 
 
 def _trace(where: str, order: str) -> str:
@@ -270,7 +269,7 @@ _AUDIT = " UNION ALL ".join(
 ) + " UNION ALL SELECT 'provenance_present', true, 'all tables stamped'"
 _AUDIT_NEEDS = "nsplit sub fc inst edge sc"
 
-_STAMPS = f"""'events' AS dataset, {S.seed} AS seed, '{config_hash(S)}' AS config_hash, '2024-01-01T00:00:00Z' AS timestamp_utc,
+_STAMPS = f"""'events' AS dataset, {S.seed} AS seed, left(sha256('{S.canonical_json()}'), 12) AS config_hash, '2024-01-01T00:00:00Z' AS timestamp_utc,
     'primary' AS mapping_variant, true AS is_real_data"""
 
 
@@ -328,7 +327,8 @@ def oracles() -> dict[str, str]:
         {', '.join(f'round(value__{x}, 6) AS duration__{x}' for x in ('mean', 'std', 'max', 'sum'))},
         severity, event_type__nunique AS proto__nunique, event_type__mode AS proto__mode, {_stage_name('severity')} AS stage_label FROM inst JOIN modes USING (asset_id, window_id)""")
     q["packet_capture_records"] = sql("rec spl", """SELECT split, stage_label, event_type AS method, true AS record_level, count(*) AS n_instances, count(*) AS n_ids,
-        count(DISTINCT asset_id) AS n_assets, round(max(value), 4) AS len_max, round(sum(value), 4) AS len_sum FROM rec JOIN spl USING (asset_id) GROUP BY ALL""")
+        count(DISTINCT asset_id) AS n_assets, round(max(value), 4) AS len_max, round(sum(value), 4) AS len_sum FROM kept JOIN spl USING (asset_id) GROUP BY ALL""",
+        kept="SELECT * FROM rec WHERE event_id % 10 <> 3")
     q["windows_per_asset"] = sql("inst", f"""SELECT min(n) AS n_min, quantile_cont(n::DOUBLE, 0.25) AS n_q25, quantile_cont(n::DOUBLE, 0.5) AS n_median, {_r('avg(n)', 'n_mean')},
         quantile_cont(n::DOUBLE, 0.75) AS n_q75, max(n) AS n_max, count(*) FILTER (n = 1) AS n_single_window, count(*) FILTER (n > 1) AS n_multi_window
         FROM (SELECT asset_id, count(*) AS n FROM inst GROUP BY ALL)""")
@@ -408,10 +408,16 @@ def oracles() -> dict[str, str]:
         "n_records", "value__mean", "value__std", "value__max", "value__sum", "event_type__nunique")))
     q["train_category_modes"] = sql("modes spl", """SELECT 'event_type__mode' AS name, event_type__mode AS mode FROM modes JOIN spl USING (asset_id) WHERE split = 'train'
         GROUP BY event_type__mode ORDER BY count(*) DESC, event_type__mode LIMIT 1""")
-    z = lambda c, name: _r(f"({c} - (SELECT avg({c}::DOUBLE) FROM tr)) / (SELECT stddev_pop({c}::DOUBLE) FROM tr)", name, 4)
-    q["encoded_features"] = sql("inst modes spl", f"""SELECT asset_id, window_id, {z('n_records', 'n_records_z')}, {z('value__max', 'value_max_z')}, """ + ", ".join(
-        f"(event_type__mode = '{v}')::INT::DOUBLE AS is_{v}" for v in ("click", "error", "purchase", "signup", "view")) + " FROM inst JOIN modes USING (asset_id, window_id)",
+    z = lambda c, name: _r(f"({c} - (SELECT avg({c}::DOUBLE) FROM tr)) / (SELECT stddev_pop({c}::DOUBLE) FROM tr)", name)
+    q["encoded_features"] = sql("inst modes spl", f"""SELECT asset_id, window_id, 0::BIGINT AS position, 'n_records' AS feature, {z('n_records', 'value')} FROM inst
+        UNION ALL SELECT asset_id, window_id, 1, 'value__max', {z('value__max', 'value')} FROM inst
+        UNION ALL SELECT asset_id, window_id, 2 + place, 'event_type__mode=' || event_type__mode, 1.0::DOUBLE FROM modes JOIN (
+            SELECT event_type__mode, row_number() OVER (ORDER BY event_type__mode) - 1 AS place FROM modes JOIN spl USING (asset_id) WHERE split = 'train' GROUP BY 1) USING (event_type__mode)""",
         tr="SELECT inst.* FROM inst JOIN spl USING (asset_id) WHERE split = 'train'")
+    q["encoded_peers"] = sql("rec spl", """SELECT split, place AS position, 'peer_id=' || peer AS feature, count(*) AS n, (SELECT count(*) FROM seen) AS width
+        FROM (SELECT split, coalesce(peer_id, (SELECT peer FROM seen ORDER BY n DESC, peer LIMIT 1)) AS peer FROM rec JOIN spl USING (asset_id)) JOIN seen USING (peer) GROUP BY ALL""",
+        seen="""SELECT peer_id AS peer, count(*) AS n, row_number() OVER (ORDER BY peer_id) - 1 AS place FROM rec JOIN spl USING (asset_id)
+            WHERE split = 'train' AND peer_id IS NOT NULL GROUP BY peer_id""")
     q["class_weights"] = sql("labs", f"""SELECT k::INT AS y, nk AS n_class, {_r('n::DOUBLE / (4 * greatest(nk, 1))', 'fixed_weight')},
         {_r('n::DOUBLE / nullif(nk * sum((nk > 0)::INT) OVER (), 0)', 'balanced_weight')} FROM (
         SELECT k, count(*) AS n, count(*) FILTER (severity = k) AS nk FROM labs, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE split = 'train' GROUP BY k)""")
@@ -521,7 +527,7 @@ def oracles() -> dict[str, str]:
     q["cross_split_edges"] = sql("edge spl", """SELECT count(*) FILTER (a.split <> b.split) AS n_cross_split, count(*) AS n_edges FROM edge
         JOIN spl a ON a.asset_id = src_asset JOIN spl b ON b.asset_id = dst_asset""")
     q["stamped_results"] = sql("rec", f"SELECT *, {_STAMPS} FROM ({_STAGE_COUNT})")
-    q["json_results"] = sql("rec", f"SELECT 'events' AS dataset, {S.seed}::BIGINT AS seed, '{config_hash(S)}' AS config_hash, stage_label, n FROM ({_STAGE_COUNT})")
+    q["json_results"] = sql("rec", f"SELECT 'events' AS dataset, {S.seed}::BIGINT AS seed, left(sha256('{S.canonical_json()}'), 12) AS config_hash, stage_label, n FROM ({_STAGE_COUNT})")
     q["leakage_audit"] = sql(_AUDIT_NEEDS, _AUDIT)
     q["audit_verdict"] = sql(_AUDIT_NEEDS, f"SELECT count(*) FILTER (\"pass\") AS n_pass, count(*) AS n_total FROM ({_AUDIT})")
     return q

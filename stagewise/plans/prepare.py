@@ -104,10 +104,10 @@ class Prepared:
         return FeatureEncoder(numeric, categorical).fit(instance_rows.filter("split = 'train'"))
 
 
-def choose_path(raw: DataFrame, spec: SourceSpec, settings: Settings, variant: str = "primary", drop_bad_timestamps: bool = False) -> Prepared:
+def choose_path(raw: DataFrame, spec: SourceSpec, settings: Settings, variant: str = "primary", drop_bad_timestamps: bool = True) -> Prepared:
     """Windowed instances where time is reliable, else record-level ones (one small job decides).
 
-    Times that lack a date cannot be read, so by default the record-level path keeps such records.
+    Records whose time cannot be read at all go on either path, unless asked otherwise. A time without a date can be read.
     """
     windowed = Prepared(raw, spec, settings, variant)
     if spec.date_gated and not windowed.quality().first().timestamp_reliable_for_windowing:

@@ -1,56 +1,43 @@
-"""Result sinks with provenance."""
+"""Result tables: sinks, the columns that tell where a table came from, and the skip report."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-from dataclasses import asdict, dataclass
-from datetime import datetime, timezone
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.settings import Settings
 
+# Names that readers of result tables look for, and how many hex digits name a configuration.
 REQUIRED_STAMPS = ["dataset", "seed", "config_hash", "timestamp_utc"]
+METADATA = "_run_metadata"
+HASH_DIGITS = 12
 
 
-def config_hash(config: Settings | dict) -> str:
-    """First 12 hex digits of the SHA-256 of the key-sorted JSON; independent of key order."""
-    text = config.canonical_json() if isinstance(config, Settings) else json.dumps(config, sort_keys=True, default=str)
-    return hashlib.sha256(text.encode()).hexdigest()[:12]
+def settings_hash(settings: Settings | Mapping) -> Column:
+    """Digits of the SHA-256 of the settings as JSON with sorted keys, as an expression of the plan."""
+    text = settings.canonical_json() if isinstance(settings, Settings) else json.dumps(settings, sort_keys=True, default=str)
+    return F.left(F.sha2(F.lit(text), 256), F.lit(HASH_DIGITS))
 
 
-def utc_now() -> str:
-    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+def stamps(dataset: str, settings: Settings, **more) -> dict[str, Column]:
+    """Columns to add to a result table; `more` overrides them or adds to them."""
+    now = F.date_format(F.to_utc_timestamp(F.now(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    values = {"dataset": dataset, "seed": settings.seed, "config_hash": settings_hash(settings), "timestamp_utc": now, "mapping_variant": "primary", "is_real_data": True}
+    return {name: v if isinstance(v, Column) else F.lit(v) for name, v in (values | more).items()}
 
 
-@dataclass(frozen=True)
-class Provenance:
-    dataset: str
-    seed: int
-    config_hash: str
-    timestamp_utc: str
-    mapping_variant: str = "primary"
-    is_real_data: bool = True
-    split: str | None = None
+def stamped(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add stamps; what the table itself says about a row, such as its split, is kept."""
+    return df.withColumns({name: c for name, c in columns.items() if name not in df.columns})
 
-    @classmethod
-    def of(cls, dataset: str, settings: Settings, **more) -> "Provenance":
-        more.setdefault("timestamp_utc", utc_now())
-        return cls(dataset=dataset, seed=settings.seed, config_hash=config_hash(settings), **more)
 
-    def stamp(self, df: DataFrame) -> DataFrame:
-        """Add the fields as constant columns; a split column of the table itself is kept."""
-        fields = asdict(self)
-        split = fields.pop("split")
-        out = df.withColumns({k: F.lit(v) for k, v in fields.items()})
-        return out.withColumn("split", F.lit(split)) if split is not None and "split" not in df.columns else out
-
-    def stamp_json(self, df: DataFrame) -> DataFrame:
-        """Rows as JSON text with a `_run_metadata` object."""
-        meta = F.struct(*[F.lit(v).alias(k) for k, v in asdict(self).items() if v is not None])
-        return df.select(F.to_json(F.struct("*", meta.alias("_run_metadata")), {"ignoreNullFields": "false"}).alias("value"))
+def json_lines(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Rows as JSON text with the stamps in an object of their own."""
+    held = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(F.to_json(F.struct("*", held.alias(METADATA)), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

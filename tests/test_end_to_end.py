@@ -54,6 +54,9 @@ def test_untrusted_time_falls_back_to_records(spark):
     raw = spark.createDataFrame(rows, "`frame.time` string, `ip.src_host` string, `ip.dst_host` string, Attack_type string, `tcp.len` string")
     p = choose_path(raw, PACKET, Settings())
     assert p.record_level and p.instances.count() == 12
+    blank = raw.withColumn("frame.time", F.when(F.col("`tcp.len`").isNotNull(), "6.0")).limit(4)
+    assert choose_path(raw.unionByName(blank), PACKET, Settings()).instances.count() == 12
+    assert choose_path(raw.unionByName(blank), PACKET, Settings(), drop_bad_timestamps=False).instances.count() == 16
     assert {r.edge_type for r in p.edges.collect()} == {"interaction"} and p.edges.count() == 12
 
 

@@ -244,15 +244,33 @@ def test_features_fit_on_train_only(spark):
     with pytest.raises(features.NotFitted):
         enc.transform(df)
     enc.fit(df.filter("split = 'train'"))
-    assert enc.medians == {"v": 2.5} and enc.modes == {"c": "x"} and enc.vocabulary == {"c": ["x", "y"]}
+    assert enc.medians == {"v": 2.5} and enc.modes == {"c": "x"} and enc.sizes == {"c": 2}
+    assert sorted(map(tuple, enc.values.collect())) == [("c", "x", 0), ("c", "y", 1)]
     full = np.array([1, 2, 3, 10, 2.5])
     assert enc.scales["v"] == (pytest.approx(full.mean()), pytest.approx(full.std()))
     got = [r.x for r in enc.transform(df).collect()]
-    assert got[5][1:] == [0.0, 0.0] and got[3][1:] == [1.0, 0.0] and len(enc.feature_names) == 3
+    assert got[5][1:] == [0.0, 0.0] and got[3][1:] == [1.0, 0.0] and enc.width == 3
     assert audits.encoder_is_train_only(enc, df).first()["pass"]
     assert not audits.encoder_is_train_only(features.FeatureEncoder(["v"], []).fit(df), df).first()["pass"]
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_many_categories_make_sparse_vectors(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(features, "BROADCAST_VALUES", broadcast)
+    n = 50_000
+    df = spark.range(n + 10).select(F.format_string("host%06d", F.col("id")).alias("c"), F.lit(None).cast("string").alias("empty"), (F.col("id") % 7).cast("double").alias("v"))
+    enc = features.FeatureEncoder(["v"], ["c", "empty"]).fit(df.limit(n).filter("c < 'host050000'"))
+    assert enc.width == n + 1 and enc.sizes == {"c": n}
+    asked = df.filter("c IN ('host000000', 'host049999', 'host050003')")
+    got = {r.c: r.vec for r in enc.encode(asked).collect()}
+    assert {c: (v.size, list(v.indices), list(v.values)[1:]) for c, v in got.items() if c != "host050003"} == {
+        "host000000": (n + 1, [0, 1], [1.0]), "host049999": (n + 1, [0, n], [1.0])}
+    assert list(got["host050003"].indices) == [0]
+    numbers = enc.values.agg(F.count("*"), F.countDistinct("number"), F.max("number")).first()
+    assert tuple(numbers) == (n, n, n - 1)
+    assert enc.entries(asked, ["c"]).filter("position > 0").count() == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 4001, 20000])
 def test_exact_median(spark, n):
     rng = random.Random(n)

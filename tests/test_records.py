@@ -1,6 +1,7 @@
 """Header matching, normalisation, time and labels."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,13 +151,15 @@ def test_files_shards_and_marker(spark, tmp_path):
 
 
 def test_provenance_and_sinks(spark, tmp_path):
-    assert sinks.config_hash({"a": 1, "b": 2}) == sinks.config_hash({"b": 2, "a": 1}) != sinks.config_hash({"a": 1})
-    meta = sinks.Provenance.of("toniot", Settings(), split="test")
+    hashes = spark.range(1).select(*[sinks.settings_hash(c).alias(n) for n, c in (("x", {"a": 1, "b": 2}), ("y", {"b": 2, "a": 1}), ("z", {"a": 1}))]).first()
+    assert hashes.x == hashes.y != hashes.z and hashes.z == hashlib.sha256(b'{"a": 1}').hexdigest()[:12]
+    meta = sinks.stamps("toniot", Settings(), split="test")
     df = spark.createDataFrame([("train", 1)], "split string, n int")
-    assert meta.stamp(df).first().split == "train" and meta.stamp(df.drop("split")).first().split == "test"
-    assert '"_run_metadata":{"dataset":"toniot"' in meta.stamp_json(df).first().value
+    assert sinks.stamped(df, meta).first().split == "train" and sinks.stamped(df.drop("split"), meta).first().split == "test"
+    assert '"_run_metadata":{"dataset":"toniot"' in sinks.json_lines(df, meta).first().value
+    assert len(sinks.stamped(df, meta).first().timestamp_utc) == len("2024-01-01T00:00:00Z")
     for fmt, write in (("csv", sinks.write_csv), ("json", sinks.write_json), ("parquet", sinks.write_parquet)):
-        write(meta.stamp(df), f"{tmp_path}/{fmt}")
+        write(sinks.stamped(df, meta), f"{tmp_path}/{fmt}")
         again = sinks.read_results(spark, f"{tmp_path}/{fmt}", fmt)
         assert set(sinks.REQUIRED_STAMPS) <= set(again.columns) and again.count() == 1
     skip = sinks.skip_report(spark, "d", "e", ["why"]).first()
