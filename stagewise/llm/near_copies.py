@@ -5,7 +5,7 @@ fingerprints (64 bits, of distinct shingles) then differ in about ten bits, whic
 So the exact part of a bucket key is not a segment but an anchor, the least shingle under one of a few orders, which two near
 copies share with a chance equal to their similarity. Beside it stand the Golay fuzzy keys of 23 bits of the fingerprint, one
 window of bits for each order (`simhash.bucket_keys` tells why words at distance 2 share a key; over half of those at distance 3
-or 4 do, too). A bucket is a star: its members are compared with two of them, drawn by hash, and each node keeps the nearest of
+or 4 do, too). A bucket is a star: its members are compared with a few of them, drawn by hash, and each node keeps the nearest of
 those it met. These links are verified and joined into classes, so a group of near copies costs a link a member.
 
 Buckets miss pairs; those are found exactly. Of two sets as similar as asked, each with all shingles in one common order, the
@@ -35,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 ORDERS = 3  # anchors and windows of fingerprint bits
+STARS = 4  # rows of a key that the others are compared with
 STAR_ROUNDS = 2  # rounds of the exact step that compare with stars before all pairs that are left
 SLOTS = 1 << 16  # counters of shingles by hash, for the order of the exact step
 RADIUS = 22  # differing bits beyond which a bucket's candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
@@ -134,10 +135,11 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, salt: int) -> DataFrame:
-    """Two rows of each key, drawn by hash: key, star."""
+    """Up to STARS rows of each key that has several, drawn by hash: key, star."""
     drawn = F.struct(F.xxhash64("key", "node", F.lit(salt)).alias("draw"), *[c for c in rows.columns if c != "key"])
-    stars = rows.groupBy("key").agg(F.min(drawn).alias("least"), F.max(drawn).alias("greatest")).filter("least.draw < greatest.draw")
-    return stars.select("key", F.explode(F.array("least", "greatest")).alias("star"))
+    best = [F.min(F.when(F.pmod(drawn["draw"], F.lit(STARS)) == i, drawn)) for i in range(STARS)]
+    stars = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_compact(F.array(*best)).alias("stars")).filter("n > 1")
+    return stars.select("key", F.explode("stars").alias("star"))
 
 
 def _nearest(nodes: DataFrame, similarity: float) -> DataFrame:
