@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stagewise.functions.vectors import STAGES, argmax, mean_of, pad, total
 from stagewise.operators import metrics
 from stagewise.operators.graph import induced_subgraph
-from stagewise.operators.propagation import attend, convolve, mean_neighbours
+from stagewise.operators.propagation import attend_vectors, convolve_vectors, mean_vectors
 from stagewise.operators.splits import attach_folds
 from stagewise.session import cut_lineage
 
@@ -124,32 +124,26 @@ def fit_meta(train: DataFrame, kind: str, seed: int = 42, **params) -> Scorer:
 
 
 PROPAGATIONS = {
-    "convolve": lambda nodes, edges, cols: convolve(nodes, edges, cols, rounds=2),
-    "mean": mean_neighbours,
-    "attend": attend,
+    "convolve": convolve_vectors,
+    "mean": mean_vectors,
+    "attend": attend_vectors,
 }
 
 
-def graph_features(rows: DataFrame, edges: DataFrame, width: int, kind: str = "convolve") -> DataFrame:
-    """Propagate the feature array `x` over the edges; result in `gx`.
-
-    The array is spread over columns, so sums run in generated code.
-    """
-    cols = [f"f{i}" for i in range(width)]
-    flat = rows.select(*KEY, *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
-    spread = PROPAGATIONS[kind](flat, edges, cols)
-    return spread.select(*KEY, F.array(*[c for c in spread.columns if c not in KEY]).alias("gx"))
+def graph_features(rows: DataFrame, edges: DataFrame, kind: str = "convolve") -> DataFrame:
+    """Propagate the feature array `x` over the edges; result in `gx`. The plan does not grow with the array."""
+    return PROPAGATIONS[kind](rows, edges).withColumnRenamed("x", "gx")
 
 
-def fit_graph_classifier(rows: DataFrame, edges: DataFrame, width: int, kind: str, seed: int,
+def fit_graph_classifier(rows: DataFrame, edges: DataFrame, kind: str, seed: int,
                          on: Column | None = None, **params) -> DataFrame:
     """Propagate, fit on train rows (or those selected by `on`), and score every row."""
-    spread = cut_lineage(rows.join(graph_features(rows, edges, width, kind), KEY).withColumn("vec", array_to_vector("gx")))
+    spread = cut_lineage(rows.join(graph_features(rows, edges, kind), KEY).withColumn("vec", array_to_vector("gx")))
     fit = fit_logistic(spread.filter(F.col("split") == "train" if on is None else on), seed, **{"maxIter": 100, **params})
     return fit(spread).drop("vec", "gx")
 
 
-def base_scores(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5, seed: int = 42,
+def base_scores(rows: DataFrame, edges: DataFrame, n_folds: int = 5, seed: int = 42,
                 forest: dict | None = None, kind: str = "convolve") -> DataFrame:
     """(KEY, split, y, proba, gproba): forest and graph scores, out-of-fold on train.
 
@@ -164,11 +158,11 @@ def base_scores(rows: DataFrame, edges: DataFrame, width: int, n_folds: int = 5,
     wanted = [*KEY, "split", "y", "proba"]
 
     forest_full = fit_forest(train, seed, **forest)(held_out).select(*wanted)
-    graph_full = fit_graph_classifier(rows, edges, width, kind, seed).filter("split <> 'train'").select(*wanted)
+    graph_full = fit_graph_classifier(rows, edges, kind, seed).filter("split <> 'train'").select(*wanted)
 
     inner = induced_subgraph(edges, train)
     folded = attach_folds(train, n_folds, seed)
-    spread = cut_lineage(folded.join(graph_features(train, inner, width, kind), KEY).withColumn("gvec", array_to_vector("gx")))
+    spread = cut_lineage(folded.join(graph_features(train, inner, kind), KEY).withColumn("gvec", array_to_vector("gx")))
     n_eff = spread.agg(F.max("fold")).first()[0] + 1
 
     def one_fold(i: int):

@@ -759,7 +759,7 @@ def boosted_stage(spark, folder):
 def stacked_stage(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=5, seed=S.seed, forest=SMALL_FOREST)
+    base = models.base_scores(rows, cut_lineage(p.edges), n_folds=5, seed=S.seed, forest=SMALL_FOREST)
     views = {**models.base_views(base), "stacked": models.stacked(base, seed=S.seed)}
     return windows.union_all([_report(df, name) for name, df in views.items()])
 
@@ -769,7 +769,7 @@ def graph_stage(spark, folder):
     rows, width = _model_rows(p)
     rows, edges = cut_lineage(rows), cut_lineage(p.edges)
     return windows.union_all([
-        _report(models.fit_graph_classifier(rows, edges, width, kind, S.seed), kind) for kind in ("mean", "attend")])
+        _report(models.fit_graph_classifier(rows, edges, kind, S.seed), kind) for kind in ("mean", "attend")])
 
 
 def history_stage(spark, folder):
@@ -787,7 +787,7 @@ def impact_forecast(spark, folder):
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
     rows = cut_lineage(rows)
-    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=5, seed=S.seed, forest=SMALL_FOREST)
+    base = models.base_scores(rows, cut_lineage(p.edges), n_folds=5, seed=S.seed, forest=SMALL_FOREST)
     proba = models.stacked(base, seed=S.seed).select("asset_id", "window_id", "proba").join(rows.select("asset_id", "window_id", "x"), ["asset_id", "window_id"])
     gates = evidence_gates(F.col("proba"))
     streams = {
@@ -815,7 +815,7 @@ def meta_ablation(spark, folder):
     """Each meta-learner on the same base scores: macro F1 and mean Brier on test."""
     p = prepared(spark, folder)
     rows, width = _model_rows(p)
-    base = models.base_scores(rows, cut_lineage(p.edges), width, n_folds=3, seed=S.seed, forest=SMALL_FOREST)
+    base = models.base_scores(rows, cut_lineage(p.edges), n_folds=3, seed=S.seed, forest=SMALL_FOREST)
     small = {"logistic_regression": {}, "mlp": {"maxIter": 50}, "gradient_boosting": {"maxIter": 10}}
     parts = []
     for kind, params in small.items():
@@ -830,7 +830,7 @@ def graph_mode_ablation(spark, folder):
     rows, width = _model_rows(p)
     rows, edges = cut_lineage(rows), cut_lineage(p.edges)
     return windows.union_all([
-        _report(models.fit_graph_classifier(rows, graph.edges_for_mode(edges, mode), width, "convolve", S.seed), mode)
+        _report(models.fit_graph_classifier(rows, graph.edges_for_mode(edges, mode), "convolve", S.seed), mode)
         for mode in graph.MODES])
 
 

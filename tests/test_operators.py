@@ -279,7 +279,9 @@ def test_exact_median(spark, n):
     assert got == {i: pytest.approx(np.median([r[i] for r in rows])) for i in (0, 1)}
 
 
-def test_propagation_against_matrices(spark):
+@pytest.mark.parametrize("hub_edges", [1_000_000, 1])
+def test_propagation_against_matrices(spark, hub_edges, monkeypatch):
+    monkeypatch.setattr(propagation, "HUB_EDGES", hub_edges)  # 1: every source with two edges is joined in parts
     rng = np.random.default_rng(0)
     keys = [("n%d" % i, i % 2) for i in range(8)]
     x = rng.normal(size=(8, 2))
@@ -299,6 +301,31 @@ def test_propagation_against_matrices(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     w = np.exp(unit @ unit.T) * hat
     assert np.allclose(read(propagation.attend(nodes, edges, ["f0", "f1"]), ["f0", "f1"]), w / w.sum(1, keepdims=True) @ x)
+    packed = nodes.select("asset_id", "window_id", F.array("f0", "f1").alias("x"))
+    vectors = lambda df: np.array([r.x for r in df.orderBy("asset_id").collect()])
+    assert np.allclose(vectors(propagation.convolve_vectors(packed, edges)), prop @ prop @ x)
+    means = np.divide(a @ x, deg, out=np.zeros((8, 2)), where=deg > 0)
+    assert np.allclose(vectors(propagation.mean_vectors(packed, edges)), np.hstack([x, means]))
+    assert np.allclose(vectors(propagation.attend_vectors(packed, edges)), w / w.sum(1, keepdims=True) @ x)
+
+
+def test_hub_with_a_third_of_all_edges_is_many_tasks_work(spark, monkeypatch):
+    monkeypatch.setattr(propagation, "HUB_EDGES", 500)
+    n = 6000
+    sources = F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("n"), F.col("id") % 900))
+    edges = spark.range(n).select(sources.alias("src_asset"), F.lit(0).cast("bigint").alias("src_window"), F.concat(F.lit("t"), F.col("id") % 700).alias("dst_asset"),
+                                  F.lit(0).cast("bigint").alias("dst_window"), F.lit("interaction").alias("edge_type"))
+    nodes = edges.select(F.col("src_asset").alias("asset_id"), F.col("src_window").alias("window_id")).distinct().withColumn("x", F.array(F.lit(1.0), F.lit(2.0), F.lit(0.0)))
+    hubs = propagation._hubs(edges)
+    assert [(r.asset_id, r._parts) for r in hubs.collect()] == [("hub", 4)]
+    monkeypatch.setattr(propagation, "BROADCAST_HUBS", 0)
+    for side in (hubs, propagation._hubs(edges)):
+        sums = {r.asset_id: r.x for r in propagation.sum_vectors(propagation._messages(edges, nodes, side)).collect()}
+        assert len(sums) == 700 and sum(v[0] for v in sums.values()) == n and all(v == [v[0], 2 * v[0], 0.0] for v in sums.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups that cross batches
+    again = {r.asset_id: r.x for r in propagation.sum_vectors(propagation._messages(edges, nodes, hubs)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again == sums
 
 
 def test_vectors(spark):
