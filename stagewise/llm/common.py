@@ -46,13 +46,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove stored tables that no later plan reads, and have the shuffle files of plans that are gone cleaned up."""
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Remove stored tables that no later plan reads and, if asked, have the shuffle files of plans that are gone cleaned up."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()  # the cleaner acts on what the driver's JVM has collected
+    if shuffles:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()  # the cleaner acts on what the driver's JVM has collected
 
 
 def small_side(table: DataFrame) -> DataFrame:

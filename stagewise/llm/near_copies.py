@@ -150,7 +150,7 @@ def _nearest(nodes: DataFrame, similarity: float) -> DataFrame:
     met = keyed.join(_stars(keyed, 0), "key").filter((F.col("star.node") != F.col("node")) & alike & (apart <= RADIUS))
     near = met.groupBy("node").agg(F.min(F.struct(apart.alias("apart"), "star.node")).alias("near"))
     found = stored(near.select(F.least("near.node", "node").alias("a"), F.greatest("near.node", "node").alias("b")).distinct(), "nearest")
-    discard(keyed)
+    discard(keyed, shuffles=True)
     return found
 
 
@@ -231,7 +231,7 @@ def _met(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float, s
     own = Window.partitionBy("set")
     place = F.col("p") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "key")) - 1
     found = stored(met.withColumn("p", size).select("key", "set", place.alias("place"), "p", "n"), "met")
-    discard(prefixes)
+    discard(prefixes, shuffles=True)
     return found
 
 
@@ -295,7 +295,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         pairs = shared.join(_stars(shared, salt), "key").withColumns({f"star_{c}": F.col(f"star.{c}") for c in ("class", "place", "p", "n")})
         pairs = pairs.filter(_may_be_alike("", "star_", similarity)).select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b"))
         named = _joined(named, verified(stored(pairs.filter("a < b").distinct(), "pairs")))
-        discard(shared)
+        discard(shared, shuffles=True)
     shared = _between_classes(met, named)
     a, b = (shared.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "class", "place", "p", "n")]) for s in "ab")
     pairs = a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & _may_be_alike("a_", "b_", similarity))
