@@ -6,8 +6,6 @@ Draws come from a seeded hash, so every engine and every retry sees the same res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
-from math import exp, factorial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,10 +14,9 @@ from pyspark.sql import functions as F
 from stagewise.functions.scalar import hash_hex, hash_index, hash_unit
 from stagewise.operators.blocks import hash_position
 from stagewise.operators.metrics import CELLS, confusion_counts, macro_f1_of_cells
-from stagewise.operators.ranking import curve_metrics, score_curve
+from stagewise.operators.resample_curves import POINT, POISSON_CDF, curve_samples, pr_auc, roc_auc, times_of
 
-# P(X <= k) of a Poisson distribution with mean 1; a 32-bit uniform never passes the last one by a step.
-POISSON_CDF = list(accumulate(exp(-1) / factorial(k) for k in range(12)))
+ASSETS_AT_ONCE = 512  # assets x iterations multiplicities are held at a time
 
 
 def _draws(df: DataFrame, n: int, iterations: int, seed) -> DataFrame:
@@ -107,12 +104,23 @@ def asset_bootstrap_poisson(df: DataFrame, iterations: int, seed=42) -> DataFram
     size varies around the number of assets instead of equalling it.
     """
     per_asset = confusion_counts(["asset_id"], df)
-    rows = per_asset.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn(
-        "times", poisson_times(seed, F.col("iteration"), F.col("asset_id"))
-    ).filter("times > 0")
-    return rows.groupBy(F.col("iteration").cast("bigint").alias("iteration")).agg(*[
-        F.sum(F.col(c) * F.col("times")).alias(c) for c in CELLS
-    ])
+    names = ", ".join(f"{c} bigint" for c in CELLS)
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's sums: one row per iteration, however many assets it holds."""
+        import numpy as np
+
+        total = np.zeros((iterations, len(CELLS)), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), ASSETS_AT_ONCE):
+                part = frame.iloc[at:at + ASSETS_AT_ONCE]
+                times = times_of(seed, [None if pd.isna(a) else a for a in part["asset_id"]], iterations)
+                total += times.T @ part[CELLS].to_numpy(np.int64)
+        drawn = total.any(axis=1)
+        yield pd.DataFrame(total[drawn], columns=CELLS).assign(iteration=np.flatnonzero(drawn))
+
+    sums = per_asset.select(F.col("asset_id").cast("string").alias("asset_id"), *CELLS).mapInPandas(weigh, f"{names}, iteration bigint")
+    return sums.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in CELLS])
 
 
 def interval(resamples: DataFrame, point: DataFrame, metric: Callable[[], Column] = macro_f1_of_cells,
@@ -131,20 +139,13 @@ def interval(resamples: DataFrame, point: DataFrame, metric: Callable[[], Column
 
 
 def ranking_bootstrap(df: DataFrame, iterations: int, seed=42, unit: str = "asset_id", ci: float = 0.95) -> DataFrame:
-    """Intervals of ROC-AUC and average precision under resampling of whole units.
-
-    Multiplicities are Poisson(1). Each row is weighted, not copied, and counted per
-    (iteration, score) before anything is ordered.
-    """
-    weighted = df.select(unit, "label", "score").withColumn(
-        "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-    ).withColumn("times", poisson_times(seed, F.col("iteration"), F.col(unit))).filter("times > 0")
-    samples = curve_metrics(score_curve(weighted, ["iteration"], weight=F.col("times")), ["iteration"])
-    point = curve_metrics(score_curve(df))
+    """Intervals of ROC-AUC and average precision under resampling of whole units, with Poisson(1) multiplicities."""
+    samples = curve_samples(df, [roc_auc(), pr_auc()], iterations, seed, unit)
     alpha = (1 - ci) / 2
-    bounds = samples.agg(*[
-        f for m in ("roc_auc", "pr_auc") for f in (
-            F.percentile(m, F.lit(alpha)).alias(f"{m}_lower"), F.percentile(m, F.lit(1 - alpha)).alias(f"{m}_upper"),
-            F.count(m).alias(f"{m}_n_valid"))
+    drawn = {m: F.when(F.col("iteration") != POINT, F.col(m)) for m in ("roc_auc", "pr_auc")}
+    return samples.agg(*[
+        f for m, value in drawn.items() for f in (
+            F.max(F.when(F.col("iteration") == POINT, F.col(m))).alias(m),
+            F.percentile(value, F.lit(alpha)).alias(f"{m}_lower"), F.percentile(value, F.lit(1 - alpha)).alias(f"{m}_upper"),
+            F.count(value).alias(f"{m}_n_valid"))
     ])
-    return point.select("roc_auc", "pr_auc").crossJoin(F.broadcast(bounds))

@@ -6,7 +6,7 @@ works in blocks, so the two share no technique.
 
 from __future__ import annotations
 
-from stagewise.operators.bootstrap import POISSON_CDF
+from stagewise.operators.resample_curves import POISSON_CDF
 from stagewise.plans.queries import BOOTSTRAP_ROUNDS, S, SEEDS
 
 STAGE_LIST = "['Benign','IAD','LMEP','IMP']"
@@ -488,6 +488,19 @@ def oracles() -> dict[str, str]:
         _r(f"max({m}) FILTER (iteration = -1)", m), _r(f"quantile_cont({m}, 0.025) FILTER (iteration >= 0)", f"{m}_lower"),
         _r(f"quantile_cont({m}, 0.975) FILTER (iteration >= 0)", f"{m}_upper"), f"count({m}) FILTER (iteration >= 0) AS {m}_n_valid"]) for m in ("roc_auc", "pr_auc"))
     q["bootstrap_ranking"] = sql("fc", f"SELECT {parts} FROM (SELECT iteration, {_AUC} AS roc_auc, CASE WHEN max(tn) > 0 THEN {_AP} END AS pr_auc FROM bc GROUP BY iteration)", bc=bcurve)
+    drawn = f"""SELECT iteration, score, label, asset_id, {_poisson('u')} AS m FROM (SELECT iteration, score, label, asset_id, {_unit(S.seed, 'iteration', 'asset_id')} AS u
+        FROM fc, range({B}) a(iteration) WHERE split = 'test') UNION ALL SELECT -1, score, label, asset_id, 1 FROM fc WHERE split = 'test'"""
+    lined = f"""SELECT iteration, score, label, m, sum(m) OVER (PARTITION BY iteration) AS n, coalesce(sum(m) OVER (PARTITION BY iteration
+        ORDER BY score DESC, {_h(S.seed, 'asset_id')}, label DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM dr"""
+    top = lambda p: f"sum(label * greatest(0, least(m, greatest(1, ceil(n * {p} / 100.0)) - above)))::DOUBLE / nullif(sum(m * label), 0)"
+    f1_half = _f1(*[f"sum(m * ({c})::INT)" for c in ("score >= 0.5 AND label = 1", "score >= 0.5 AND label = 0", "score < 0.5 AND label = 1")])
+    q["bootstrap_forecast"] = sql("fc", f"""SELECT metric, {_r('max(value) FILTER (iteration = -1)', 'point')}, {_r('quantile_cont(value, 0.025) FILTER (iteration >= 0)', 'lower')},
+        {_r('quantile_cont(value, 0.975) FILTER (iteration >= 0)', 'upper')}, count(value) FILTER (iteration >= 0) AS n_valid_iterations,
+        (SELECT count(DISTINCT asset_id) FROM fc WHERE split = 'test') AS n_unique_assets FROM (
+        SELECT iteration, 'capture_at_5pct' AS metric, {top(5)} AS value FROM ln GROUP BY iteration UNION ALL
+        SELECT iteration, 'capture_at_10pct', {top(10)} FROM ln GROUP BY iteration UNION ALL SELECT iteration, 'f1_at_0.5', {f1_half} FROM ln GROUP BY iteration UNION ALL
+        SELECT iteration, 'roc_auc', {_AUC} FROM bc GROUP BY iteration UNION ALL SELECT iteration, 'pr_auc', CASE WHEN max(tn) > 0 THEN {_AP} END FROM bc GROUP BY iteration)
+        GROUP BY metric""", bc=bcurve, dr=drawn, ln=lined)
 
     # propagation
     norm = _GRAPH_NORM.format(nodes="nf", edges="edge")

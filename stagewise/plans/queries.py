@@ -23,6 +23,7 @@ from stagewise.operators import (
     models,
     propagation,
     ranking,
+    resample_curves,
     sequences,
     splits,
     summary,
@@ -599,6 +600,13 @@ def bootstrap_ranking(spark, folder):
     return rounded(bootstrap.ranking_bootstrap(test, BOOTSTRAP_ROUNDS, S.seed))
 
 
+def bootstrap_forecast(spark, folder):
+    test = _scored_cuts(prepared(spark, folder)).filter("split = 'test'")
+    wanted = [resample_curves.roc_auc(), resample_curves.pr_auc(), resample_curves.f1_at(S.alert_threshold),
+              *[resample_curves.capture(p) for p in (5, 10)]]
+    return rounded(resample_curves.curve_intervals(test, wanted, BOOTSTRAP_ROUNDS, S.seed).withColumnRenamed("n_unique_units", "n_unique_assets"))
+
+
 # --- propagation -----------------------------------------------------------------------------
 
 
@@ -858,6 +866,7 @@ QUERIES = {f.__name__: registered(f) for f in (
     confusion_matrix, class_metrics, macro_metrics, long_metrics, mean_brier, ranking_metrics, pr_curve, roc_curve, capture_at_k,
     forecast_metrics, val_thresholds, ovr_alerting, predictions, late_fusion, seed_mean_std, result_pivot, best_by_validation,
     bootstrap_instance, bootstrap_instance_multinomial, bootstrap_asset, bootstrap_asset_poisson, bootstrap_ranking,
+    bootstrap_forecast,
     graph_convolve, graph_mean_neighbours, graph_attend, train_only_propagation, gated_streams,
     dataset_summary, busiest_asset, first_impact_asset, cross_split_edges, stamped_results, json_results, leakage_audit, audit_violations, audit_verdict,
     forest_stage, boosted_stage, stacked_stage, graph_stage, history_stage, impact_forecast, val_tuning, meta_ablation,
