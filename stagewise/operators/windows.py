@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def instances(
     `records` needs asset_id, window_id, timestamp and severity. `keys` may hold further leading columns, e.g. a
     sweep parameter. {c}__nunique and {c}__mode count a column's values; the smallest value wins a tie.
 
-    One scan, two levels: a record becomes one cell for its numbers (feature -1) and one for each categorical value.
+    One scan, two levels: a record becomes one cell for its numbers and one for each categorical value.
     Cells are aggregated on (group, column, value), so a group with very many distinct values is spread out
     and pre-counted before its final row forms; the numbers of a group are final there and only picked up after.
     """
@@ -53,15 +54,24 @@ def instances(
     ]
     if not categorical:
         return records.groupBy(*keys).agg(*whole).withColumn("stage_label", stage_of(F.col("severity")))
+    counted = _cells(records, keys, numeric, categorical).groupBy(*keys, "_feature", "_text").agg(*whole)
+    return _gathered(counted, keys, categorical)
+
+
+def _cells(records: DataFrame, keys: list[str], numeric: list[str], categorical: list[str]) -> DataFrame:
+    """A record's cells: one for its numbers (feature -1), and one for each categorical value it has."""
     used = [c for c in dict.fromkeys(["timestamp", "severity", *numeric]) if c not in keys]
     texts = [F.struct(F.lit(i).alias("feature"), quoted(c).cast("string").alias("text")) for i, c in enumerate(categorical)]
     cells = records.select(*keys, *[quoted(c) for c in used], F.explode(F.array(
         F.struct(F.lit(-1).alias("feature"), F.lit(None).cast("string").alias("text")), *texts)).alias("_cell"))
     numbers = F.col("_cell.feature") < 0
-    cells = cells.filter(numbers | F.col("_cell.text").isNotNull()).select(
+    return cells.filter(numbers | F.col("_cell.text").isNotNull()).select(
         *keys, F.col("_cell.feature").alias("_feature"), F.col("_cell.text").alias("_text"),
         *[F.when(numbers, quoted(c)).alias(c) for c in used])
-    counted = cells.groupBy(*keys, "_feature", "_text").agg(*whole)
+
+
+def _gathered(counted: DataFrame, keys: list[str], categorical: list[str]) -> DataFrame:
+    """The final row of each group from its counted cells."""
     made = [c for c in counted.columns if c not in [*keys, "_feature", "_text"]]
     own = F.col("_feature") < 0
     picked = [F.max(F.when(own, quoted(c))).alias(c) for c in made]
@@ -104,14 +114,79 @@ def record_level_instances(records: DataFrame, numeric: list[str], categorical:
     )
 
 
+def finest_width(widths: tuple) -> int:
+    """Seconds that all widths are multiples of; 1 where one is fractional, as times count in whole seconds there."""
+    whole = all(float(w).is_integer() for w in widths)
+    return gcd(*[int(w) for w in widths]) if whole else 1
+
+
+def _wider(widths: tuple, fine: int) -> Column:
+    """(delta_t, window_id) of each width for a cell of width `fine` that begins at _fine * fine seconds."""
+    start = (F.col("_fine") * fine).cast("double")
+    return F.explode(F.array(*[
+        F.struct(F.lit(float(w)).alias("delta_t"), F.floor(start / F.lit(float(w))).cast("bigint").alias("window_id")) for w in widths
+    ]))
+
+
+def _merged_std(parts: Column) -> Column:
+    """Sample standard deviation from (count, mean, squares around the mean) of parts, merged pair by pair in order of
+    their cells: no difference of large sums is ever taken. 0 for one value or none."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def meet(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        gap = b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"),
+            (a["squares"] + b["squares"] + gap * gap * (a["n"].cast("double") * b["n"] / n)).alias("squares"))
+
+    return F.aggregate(F.array_sort(parts), zero, meet, lambda a: F.when(a["n"] > 1, F.sqrt(a["squares"] / (a["n"] - 1))).otherwise(0.0))
+
+
 def delta_t_sweep(
     records: DataFrame, widths: tuple, numeric: list[str], categorical: list[str]
 ) -> DataFrame:
-    """Instances for several window widths from one scan; the width is a key column."""
-    swept = records.withColumn(
-        "delta_t", F.explode(F.array(*[F.lit(float(w)) for w in widths]))
-    ).withColumn("window_id", window_id(F.col("timestamp"), F.col("delta_t")))
-    return instances(swept, numeric, categorical, ["delta_t", "asset_id", "window_id"])
+    """Instances for several window widths; the width is a key column.
+
+    Records are aggregated once, to mergeable cells of the finest width. Only cells are repeated per width; a wide
+    window takes in at most width / finest width of them.
+    """
+    fine = finest_width(widths)
+    keys = ["delta_t", "asset_id", "window_id"]
+    own = F.col("_feature") < 0
+    placed = records.withColumn("_fine", window_id(F.col("timestamp"), float(fine)))
+    names = [f"_{i}" for i in range(len(numeric))]
+    numbers = []
+    for c, name in zip(numeric, names):
+        x = quoted(c)
+        part = F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("squares"))
+        numbers += [part.alias(f"{name}p"), F.max(x).alias(f"{name}m"), F.sum(x).alias(f"{name}s")]
+    cells = _cells(placed, ["asset_id", "_fine"], numeric, categorical).groupBy("asset_id", "_fine", "_feature", "_text").agg(
+        F.count("*").alias("n_records"), F.min("timestamp").alias("window_start_time"), F.max("severity").alias("severity"), *numbers)
+    swept = cells.withColumn("_wide", _wider(widths, fine)).select("*", "_wide.*").drop("_wide")
+    merged = [F.sum("n_records").alias("n_records"), F.min("window_start_time").alias("window_start_time"), F.max("severity").alias("severity")]
+    for name in names:
+        part = F.col(f"{name}p")
+        held = F.when(own & (part["n"] > 0), F.struct("_fine", part["n"].alias("n"), part["mean"].alias("mean"), part["squares"].alias("squares")))
+        merged += [F.collect_list(held).alias(f"{name}p"), F.max(f"{name}m").alias(f"{name}m"), F.sum(f"{name}s").alias(f"{name}s"),
+                   F.sum(F.when(own, part["n"])).alias(f"{name}n")]
+    wide = swept.groupBy(*keys, "_feature", "_text").agg(*merged)
+    features = []
+    for c, name in zip(numeric, names):
+        features += [
+            (F.col(f"{name}s") / F.nullif(F.col(f"{name}n"), F.lit(0))).alias(f"{c}__mean"), F.when(own, _merged_std(F.col(f"{name}p"))).alias(f"{c}__std"),
+            F.col(f"{name}m").alias(f"{c}__max"), F.when(own, F.coalesce(F.col(f"{name}s"), F.lit(0.0))).alias(f"{c}__sum"),
+        ]
+    counted = wide.select(*keys, "_feature", "_text", "n_records", "window_start_time", *features, "severity")
+    return _gathered(counted, keys, categorical)
+
+
+def sweep_labels(records: DataFrame, widths: tuple) -> DataFrame:
+    """(delta_t, asset, window) with its worst stage, merged from labels of the finest width."""
+    fine = finest_width(widths)
+    cells = records.groupBy("asset_id", window_id(F.col("timestamp"), float(fine)).alias("_fine")).agg(F.max("severity").alias("severity"))
+    swept = cells.withColumn("_wide", _wider(widths, fine)).select("asset_id", "severity", "_wide.*")
+    return window_labels(swept, ["delta_t", "asset_id", "window_id"])
 
 
 def feature_columns(columns: list[str]) -> tuple[list[str], list[str]]:

@@ -170,9 +170,7 @@ def window_sweep(spark, folder):
 
 def window_sweep_summary(spark, folder):
     p = prepared(spark, folder)
-    swept = p.labelled.withColumn("delta_t", F.explode(F.array(*[F.lit(float(w)) for w in S.candidate_delta_t_seconds])))
-    swept = swept.withColumn("window_id", windows.window_id(F.col("timestamp"), F.col("delta_t")))
-    return windows.count_stages(windows.window_labels(swept, ["delta_t", "asset_id", "window_id"]), ["delta_t"])
+    return windows.count_stages(windows.sweep_labels(p.labelled, S.candidate_delta_t_seconds), ["delta_t"])
 
 
 def mapping_variants(spark, folder):
