@@ -89,10 +89,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """The mixed table itself: the rows of `docs`, each as often as it is taken, range-sorted by finish time."""
     plan = mix(docs, weights, most, seed).filter("copies > 0")
     twin = F.row_number().over(Window.partitionBy("_ticket").orderBy("finish"))
-    plan = plan.select(F.col("ticket").alias("_ticket"), "copies", "finish", (F.col("source_size") / F.col("target")).alias("_lap")).withColumn("_twin", twin)
-    # Rows with one ticket are equal in doc_id, source and text; numbering them gives each its own plan.
-    rest = [c for c in docs.columns if c != "text"]
-    named = docs.withColumn("_ticket", _ticket(seed)).withColumn("_twin", F.row_number().over(Window.partitionBy("_ticket").orderBy(*rest)))
+    plan = plan.select(F.col("ticket").alias("_ticket"), "copies", "finish", (F.col("source_size") / F.col("target")).alias("lap")).withColumn("_twin", twin)
+    # Rows with one ticket are equal in doc_id, source and text; numbering them gives each its own plan. A row travels as
+    # one struct, so its columns may have any names; JSON orders twins by columns of any type. Rows of size 0 are never taken.
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    rest = [c for name, c in quoted.items() if name not in ("doc_id", "source", "text")]
+    tie = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    named = docs.filter(n_words("text") > 0).select(F.struct(*quoted.values()).alias("_row"), _ticket(seed).alias("_ticket"), tie.alias("_tie"))
+    named = named.withColumn("_twin", F.row_number().over(Window.partitionBy("_ticket").orderBy("_tie"))).drop("_tie")
     taken = named.join(plan, ["_ticket", "_twin"]).withColumn("_nth", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    ordered = taken.withColumn("_finish", F.col("finish") + F.col("_nth") * F.col("_lap")).repartitionByRange("_finish", "_ticket")
-    return ordered.sortWithinPartitions("_finish", "_ticket").select(*docs.columns)
+    ordered = taken.withColumn("_finish", F.col("finish") + F.col("_nth") * F.col("lap")).repartitionByRange("_finish", "_ticket")
+    return ordered.sortWithinPartitions("_finish", "_ticket").select("_row.*")

@@ -169,10 +169,12 @@ def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows without a doc_id cannot be named by a component; all of them stay.
     """
     named = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_near_id")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "doc_id"}
+    others = [c for name, c in quoted.items() if name != "text"]
+    tie = F.struct(F.xxhash64("text"), F.to_json(F.struct(*others)) if others else F.lit(""))  # orders columns of any type
     rows = docs.join(named, F.col("doc_id") == F.col("_near_id"), "left_semi")
     # The least row by a map-side combined minimum: a doc_id that many rows repeat is no one task's work.
-    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_near_tie"), *rest)).alias("_near_row"))
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*quoted.values()), tie).alias("_near_row"))
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_near_row")[c].alias(c) for c in docs.columns])
     return one.unionByName(docs.filter("doc_id IS NULL"))
 
