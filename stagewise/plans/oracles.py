@@ -347,7 +347,18 @@ def oracles() -> dict[str, str]:
         "edges_well_formed": ("(SELECT count(*) FROM inst WHERE window_id % 7 = 0)", "malformed edges"),
         "probabilities_sum_to_one": ("(SELECT count(*) FROM sc WHERE y = 1)", "rows do not sum to 1"),
     }
-    q["audit_violations"] = sql("nsplit inst sc", " UNION ALL ".join(
+    tenth = lambda side: f"{side}.asset_id::BIGINT % 10 = 0"
+    in_train = lambda side: f"({side}.split = 'train' OR ({tenth(side)} AND {side}.split = 'test'))"
+    planted |= {
+        "encoder_train_only": ("(SELECT count(*) FROM (SELECT unnest(['n_records', 'value__max'])) WHERE (SELECT count(*) FROM inst) <> (SELECT count(*) FROM nsplit WHERE split = 'train'))",
+                               "features differ from a train-only refit"),
+        "fold_graph_train_only": (f"""(SELECT coalesce(sum((a.split <> 'train' OR {tenth('a')})::INT + (b.split <> 'train' OR {tenth('b')})::INT), 0) FROM edge
+            JOIN nsplit a ON (a.asset_id = src_asset AND a.window_id = src_window) JOIN nsplit b ON (b.asset_id = dst_asset AND b.window_id = dst_window)
+            WHERE {in_train('a')} AND {in_train('b')})""", "train subgraph edges touch val or test"),
+        "no_impact_in_prefix": (f"""(SELECT count(*) FROM (SELECT max((cut_window_id % 5 = 0)::INT) OVER (PARTITION BY asset_id ORDER BY pos
+            RANGE BETWEEN {S.max_seq_len - 1} PRECEDING AND CURRENT ROW) AS hit FROM fc) WHERE hit = 1)""", "prefixes hold an impact window"),
+    }
+    q["audit_violations"] = sql("nsplit inst sc fc edge", " UNION ALL ".join(
         f"SELECT '{name}' AS \"check\", {n} = 0 AS \"pass\", {n}::BIGINT::VARCHAR || ' {what}' AS detail" for name, (n, what) in planted.items()))
 
     # splits

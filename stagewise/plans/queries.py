@@ -715,7 +715,14 @@ def audit_violations(spark, folder):
         F.col("window_id").alias("dst_window"), F.lit("temporal").alias("edge_type"))
     early = F.when(F.col("window_id") % 2 == 0, F.col("window_start_time") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("window_start_time"))
     doubled = F.when(F.col("y") == 1, F.transform("proba", lambda v: 2 * v)).otherwise(F.col("proba"))
+    rows = keep(_split_instances(p))
+    fitted_on_all = features.FeatureEncoder(["n_records", "value__max"], []).fit(rows)
+    reached = F.when(F.col("window_id") % 5 == 0, F.lit("IMP")).otherwise(F.lit("Benign"))
+    with_impact = sequences.prefixes(_forecast(p).withColumn("stage_label", reached), S.max_seq_len, ["window_id", "stage_label"])
     return audits.report([
+        audits.encoder_is_train_only(fitted_on_all, rows),
+        audits.fold_graph_is_train_only(p.edges, nodes.unionByName(moved)),
+        audits.no_impact_in_prefix(with_impact),
         audits.asset_in_one_split(nodes.unionByName(moved)),
         audits.chronological(windows.chronology_violations(_split_instances(p).withColumn("window_start_time", early))),
         audits.edges_well_formed(p.edges.select(*loops.columns).unionByName(loops), p.nodes),
