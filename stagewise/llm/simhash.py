@@ -5,11 +5,11 @@ bits leave at least one segment untouched, and the bits around it differ in two
 within distance 3 of exactly one codeword of the binary Golay code, so two words at distance 2 have a word between
 them whose codeword is within 4 of both: the indices of all codewords within 4 of a word (one to six) are its fuzzy
 keys, and words at distance 2 share at least one. A bucket is a segment's exact value with a fuzzy key of the 23 bits
-after it. Fingerprints that share a bucket are compared; those that differ in two bits or fewer are linked.
+after it; fingerprints that share a bucket with others are candidates.
 
-Buckets with many different fingerprints are resolved without comparing all their pairs: two fingerprints differ in
-two bits or fewer exactly if a third is within one bit of both, so each emits the 65 values within one bit, and those
-that meet at a value are linked to the least there. Both ways find every link's component, whatever a bucket holds.
+Candidates are verified by one rule, whatever a bucket holds, and never by all pairs: two fingerprints differ in two
+bits or fewer exactly if some value is within one bit of both. So each candidate emits the 65 values within one bit,
+and those that meet at a value are linked to the least there, which finds every link's component.
 
 NULL or empty text has fingerprint zero and is linked like any other. Rows are independent: repeated rows get the same
 answer, exact copies share a fingerprint. A NULL doc_id keeps its row; component ids are the least non-NULL doc_id.
@@ -29,7 +29,6 @@ from stagewise.llm.common import components, stored
 
 SHINGLE = 3
 SEED = 42
-PAIRWISE_MOST = 64  # fingerprints in a bucket up to which all its pairs are compared
 
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, fixed value: generates the Golay code
 WORD_BITS, CHECK_BITS = 23, 11
@@ -123,29 +122,23 @@ def _keyed(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "key bigint, fp bigint")
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def candidates(fps: DataFrame) -> DataFrame:
+    """Those of distinct fingerprints that share a bucket with another: a superset of all that have a link."""
+    keyed = _keyed(fps)
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("greatest")).filter("least < greatest").select("key")
+    return keyed.join(shared, "key", "left_semi").select("fp").distinct()
 
 
-def links(fps: DataFrame, pairwise_most: int = PAIRWISE_MOST) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that join exactly those connected by two-bit links.
 
-    In small buckets every pair within two bits is an edge; in others each fingerprint is tied to the least one
-    that it meets within one bit, which spans the same components by a bounded number of edges per fingerprint.
+    Each candidate is tied to the least one that it meets within one bit: at most 65 edges a fingerprint.
     """
-    keyed = _keyed(fps)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(keyed.join(sizes, "key"), "buckets")
-    small = shared.filter(F.col("n") <= pairwise_most)
-    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (_apart("a", "b") <= 2)).select("a", "b").distinct()
-    crowded = shared.filter(F.col("n") > pairwise_most).select("fp").distinct()
     within_one = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
-    meeting = crowded.select("fp", F.explode(within_one).alias("value"))
+    meeting = candidates(fps).select("fp", F.explode(within_one).alias("value"))
     # At most 65 fingerprints are within one bit of a value, so these lists are bounded.
     met = meeting.groupBy("value").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
-    return pairs.unionByName(stars)
+    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

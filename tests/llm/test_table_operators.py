@@ -181,15 +181,15 @@ def test_golay_keys_meet_for_all_words_two_bits_apart():
             assert (set(x) & set(y)) - {-1}
 
 
-@pytest.mark.parametrize("most", [64, 2])
-def test_links_span_components_of_crowded_buckets(spark, most):
+@pytest.mark.parametrize("copies", [150, 2])
+def test_links_span_components_of_crowded_and_small_buckets(spark, copies):
     ready(spark)
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(3)]
-    fps = {b for x in base for b in [x, *(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150))]} | {rng.getrandbits(64) for _ in range(50)}
+    fps = {b for x in base for b in [x, *(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(copies))]} | {rng.getrandbits(64) for _ in range(50)}
     signed = {fp - (1 << 64) if fp >> 63 else fp: fp for fp in fps}
     table = spark.createDataFrame([(s,) for s in signed], "fp long")
-    found = {signed[r.node]: signed[r.root] for r in components(simhash.links(table, pairwise_most=most)).collect()}
+    found = {signed[r.node]: signed[r.root] for r in components(simhash.links(table)).collect()}
     root = plain_components(fps)
     groups, want = {}, {}
     for fp in fps:
