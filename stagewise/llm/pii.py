@@ -4,12 +4,14 @@ A replacement keeps what its type needs to stay plausible: the brand digit and c
 phone number or account, the host structure of an address, the script and grammatical gender of a name, letter case and
 separators throughout. It depends on a key and the entity's canonical form alone, so every mention of an entity in any
 spelling and any document gets the same replacement. First names and surnames are entities of their own, so that
-"Mrs Anna Smith" and "Dr Smith" stay related.
+"Mrs Anna Smith" and "Dr Smith" stay related. A first name's gender is settled once for the table: what any title or
+the list of names says of it, feminine where they disagree ("Dr Emma Walker" follows "Mrs Emma Walker").
 
-All distinct entities of the table are checked together: no two of one type may share a replacement, and none may
-get a value that occurs as an entity itself. Those that do are drawn again until there are none; from the fifth draw on
+All distinct entities of the table are checked together: no two of one type (first names and surnames are one) may
+share a replacement, and none may get a value that occurs as an entity itself. Those that do are drawn again until there are none; from the fifth draw on
 replacements grow or take a wider range, so there always are free ones. Most are right at the first draw, which is an
-expression over the text; the others are few and joined in by the text's hash.
+expression over the text; the others are few and joined in by the text's hash. Texts without any entity take no part
+in that join.
 
 Only DataFrame functions are used. NULL text stays NULL, an empty text empty. Repeated rows get equal answers. Columns
 other than the text are passed through untouched. An empty table gives no rows.
@@ -31,8 +33,8 @@ TITLES = {
     "u": "Dr Prof Professor Доктор".split(),
 }
 GIVEN = {
-    "m": "James John Robert Michael William David Richard Thomas Daniel Peter Paul Hans Jürgen Klaus Stefan Pierre Jean Jacques Carlos José Miguel Иван Сергей Дмитрий".split(),
-    "f": "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Emily Julia Sabine Ursula Monika Claire Camille Nathalie María Carmen Lucía Анна Ольга Елена Мария".split(),
+    "m": "James John Robert Michael William David Richard Thomas Daniel Peter Paul Christopher Andrew Matthew Joseph Charles Kevin Brian George Edward Steven Jonathan Alexander Benjamin Andreas Markus Matthias Wolfgang François Antoine Nicolas Philippe Alejandro Fernando Javier Pedro Luis Александр Николай Алексей Андрей Михаил Владимир Hans Jürgen Klaus Stefan Pierre Jean Jacques Carlos José Miguel Иван Сергей Дмитрий".split(),
+    "f": "Anna Emma Laura Olivia Sophie Karen Nancy Lisa Margaret Jessica Rachel Hannah Katharina Petra Birgit Martina Isabelle Sylvie Valérie Chantal Isabel Ana Marta Elisa Наталья Ирина Татьяна Светлана Екатерина Людмила Mary Patricia Jennifer Linda Elizabeth Susan Sarah Emily Julia Sabine Ursula Monika Claire Camille Nathalie María Carmen Lucía Анна Ольга Елена Мария".split(),
 }
 # Syllables that replacement names are built of, by script.
 SYLLABLES = {
@@ -44,7 +46,13 @@ ENDINGS = {("latin", "m"): ["n", "s", "rd"], ("latin", "f"): ["a", "na", "ia"],
 
 _OR = "|".join
 _NAME = r"\p{Lu}[\p{L}\x{2019}'-]{1,29}"
-_TITLE = rf"(?:{_OR(t for ts in TITLES.values() for t in ts)})\.?"
+
+
+def _titles(gender: str) -> str:
+    return _OR([*TITLES[gender], *(t.upper() for t in TITLES[gender])])
+
+
+_TITLE = rf"(?:{_OR(map(_titles, TITLES))})\.?"
 _FIRST = rf"(?:{_OR(n for ns in GIVEN.values() for n in ns)})"
 # Every kind with its pattern, grouped by what its first character is, so that most words are passed over at once.
 # Kinds are tried in this order at the beginning of each word.
@@ -55,7 +63,7 @@ _BY_START = {
     r"[pstakPSTAK]": {
         # A password or token: what introduces it stays. A value of signs alone is a blank of a form or a rule.
         # It is taken whole, however long it is, without the full stops after it.
-        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[_+/=.~-]*+[A-Za-z0-9])(?=[A-Za-z0-9_+/=.~-]{4}\.*+[A-Za-z0-9_+/=~-])(?:[A-Za-z0-9_+/=~-]++|\.++(?=[A-Za-z0-9_+/=~-]))++",
+        "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[_+/=.~-]*+[A-Za-z0-9])(?=[A-Za-z0-9_+/=.~!#$%^*-]{4}\.*+[A-Za-z0-9_+/=~!#$%^*-])(?:[A-Za-z0-9_+/=~!#$%^*-]++|\.++(?=[A-Za-z0-9_+/=~!#$%^*-]))++",
     },
     r"\p{Lu}": {
         "aws": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -68,6 +76,10 @@ _BY_START = {
         "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
         "phone": r"(?:\+\d(?:[ ().-]{0,2}\d){7,14}(?!\d)|(?<![.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-]))",
     },
+    r"[0-9a-fA-F]": {
+        # Eight groups, or fewer around a double colon, with a digit somewhere.
+        "ip6": r"(?<!:)(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    },
     r"[0-9a-f]": {
         "hex": r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[a-f0-9]{32,64}(?![A-Za-z0-9])",
     },
@@ -105,7 +117,7 @@ def _name_pieces(m: Column) -> Column:
     title = F.regexp_extract(m, rf"^({_TITLE} )", 1)
     rest = F.regexp_replace(m, rf"^{_TITLE} ", "")
     words = F.split(rest, " ")
-    by_title = reduce(lambda out, g: F.when(title.rlike(rf"^(?:{_OR(TITLES[g])})\.? "), g).otherwise(out), ("m", "f"), F.lit("u"))
+    by_title = reduce(lambda out, g: F.when(title.rlike(rf"^(?:{_titles(g)})\.? "), g).otherwise(out), ("m", "f"), F.lit("u"))
     gender = reduce(lambda out, g: F.when(words[0].isin(*GIVEN[g]), g).otherwise(out), ("m", "f"), by_title)
     surname = F.element_at(words, -1)
     given_piece = _piece(F.concat_ws(":", F.lit("given"), gender, _script(words[0])), words[0])
@@ -128,7 +140,7 @@ def canonical(kind: Column, text: Column) -> Column:
     """What all mentions of one entity have in common."""
     return (
         F.when(kind.isin(*DIGIT_KINDS), F.upper(F.regexp_replace(text, "[^A-Za-z0-9+]", "")))
-        .when((kind == "email") | kind.startswith("given") | kind.startswith("surname"), F.lower(text))
+        .when(kind.isin("email", "ip6") | kind.startswith("given") | kind.startswith("surname"), F.lower(text))
         .otherwise(text)
     )
 
@@ -221,6 +233,14 @@ def _ip(digest: Column, c: Column, draw: Column) -> Column:
     )
 
 
+def _ip6(c: Column, digest: Column, draw: Column) -> Column:
+    """An address of the same first group, which tells its range, and shape; later draws are for documentation."""
+    first = F.substring_index(c, ":", 1)
+    rest = F.substring(c, F.length(first) + 1, F.length(c))
+    groups = [F.substring(digest, 4 * i + 1, 4) for i in range(6)]
+    return F.when(draw < NARROW_DRAWS, F.concat(first, _shaped(rest, digest, hexadecimal=True))).otherwise(F.concat_ws(":", F.lit("2001:db8"), *groups))
+
+
 def _email(key: str, c: Column, digest: Column, draw: Column) -> Column:
     """Local part by the whole address, host by the host alone (its top level stays), so hosts stay related.
 
@@ -260,6 +280,7 @@ def _drawn(key: str, kind: Column, c: Column, draw: Column, digest: Column) -> C
         .when(kind == "card", _card(c, long, digest))
         .when(kind == "iban", _iban(long, digest))
         .when(kind == "ip", _ip(digest, c, draw))
+        .when(kind == "ip6", _ip6(c, digest, draw))
         .when(kind == "aws", _shaped(long, digest, 4))
         .when(kind == "phone", _shaped(long, digest, F.when(c.startswith("+1"), 2).when(c.startswith("+"), 3).otherwise(0)))
         .when((kind == "hex") | ((kind == "secret") & c.rlike("^[0-9a-f]{16,}$")), _shaped(long, digest, hexadecimal=True))
@@ -288,21 +309,37 @@ def _matches(text: str) -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
 
 
+def _mentions(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """Distinct (kind, canonical) of the mentions in a table, with further columns. They are combined before anything moves."""
+    held = docs.select(*columns, F.explode(F.array_distinct(_matches(text))).alias("m"))
+    names = held.columns[:-1]
+    held = held.select(*names, F.explode(pieces(F.col("m"))).alias("p")).filter(F.col("p.kind") != "")
+    return held.select(*names, F.col("p.kind").alias("kind"), canonical(F.col("p.kind"), F.col("p.text")).alias("canonical")).distinct()
+
+
+def settled(mentions: DataFrame) -> DataFrame:
+    """Mentions (kind, canonical) with the kind of their entity: a first name has one gender, f before m before u."""
+    of = F.regexp_replace("kind", "^given:[mfu]:", "given:").alias("of")
+    return mentions.groupBy(of, "canonical").agg(F.min("kind").alias("settled"), F.collect_set("kind").alias("kinds")).select(F.explode("kinds").alias("kind"), "canonical", "settled")
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct entities of a table: kind, canonical. Mentions are combined before anything moves."""
-    held = docs.select(F.explode(F.array_distinct(_matches(text))).alias("m")).select(F.explode(pieces(F.col("m"))).alias("p")).filter(F.col("p.kind") != "")
-    return held.select(F.col("p.kind").alias("kind"), canonical(F.col("p.kind"), F.col("p.text")).alias("canonical")).distinct()
+    """Distinct entities of a table: kind, canonical."""
+    return settled(_mentions(docs, text)).select(F.col("settled").alias("kind"), "canonical").distinct()
 
 
 def assignments(found: DataFrame, key: str) -> DataFrame:
     """Replacements (kind, canonical, draw, surrogate) without collisions, for distinct entities."""
+    # First names and surnames look alike: a replacement serves one of either.
+    space = F.when(F.col("kind").startswith("given") | F.col("kind").startswith("surname"), "name").otherwise(F.col("kind")).alias("space")
     drawn = stored(found.withColumn("draw", F.lit(0)).withColumn("surrogate", draw_surrogate(key, F.col("kind"), F.col("canonical"), F.col("draw"))), "surrogates")
-    real = found.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
+    real = found.select(space, F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
     while True:
         # The first of those that share a replacement keeps it, unless it is some entity's own value.
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "canonical")).alias("first"))
-        judged = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        again = F.col("real").isNotNull() | (F.col("first.canonical") != F.col("canonical"))
+        spaced = drawn.select("*", space)
+        first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("draw", "kind", "canonical")).alias("first"))
+        judged = spaced.join(first, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
+        again = F.col("real").isNotNull() | (F.col("first.canonical") != F.col("canonical")) | (F.col("first.kind") != F.col("kind"))
         if judged.filter(again).isEmpty():
             return drawn
         redrawn = judged.select("kind", "canonical", (F.col("draw") + again.cast("int")).alias("draw"), again.alias("again"), F.col("surrogate").alias("before"))
@@ -317,20 +354,21 @@ def _entity_key(kind: Column, c: Column) -> Column:
 
 def replaced(docs: DataFrame, key: str, text: str = "text", counts: dict[str, str] | None = None) -> DataFrame:
     """`docs` with all entities in the text replaced; `counts` may name a column for the number of entities."""
-    found = stored(entities(docs, text), "entities")
-    later = assignments(found, key).filter("draw > 0")
+    found = stored(settled(_mentions(docs, text)), "entities")
+    assigned = assignments(found.select(F.col("settled").alias("kind"), "canonical").distinct(), key)
+    # What the expression over the text alone gets wrong: later draws, and first names whose gender another mention told.
+    later = found.join(assigned.withColumnRenamed("kind", "settled"), ["settled", "canonical"]).filter("draw > 0 OR kind <> settled").select("kind", "canonical", "surrogate")
     columns = docs.columns
+    held = F.coalesce(F.size(_matches(text)) > 0, F.lit(False))
     rows = docs
     own = F.create_map().cast("map<string,string>")
-    if not later.isEmpty():
-        # Texts that hold entities of a later draw, by the text's hash: copies share one entry.
-        held = docs.select(F.sha2(F.col(text), 256).alias("_pii_text"), F.explode(F.array_distinct(_matches(text))).alias("m"))
-        held = held.select("_pii_text", F.explode(pieces(F.col("m"))).alias("p")).filter(F.col("p.kind") != "")
-        held = held.select("_pii_text", F.col("p.kind").alias("kind"), canonical(F.col("p.kind"), F.col("p.text")).alias("canonical")).distinct()
-        known = held.join(later, ["kind", "canonical"]).groupBy("_pii_text").agg(
+    corrected = not later.isEmpty()
+    if corrected:
+        # Texts that hold such entities, by the text's hash: copies share one entry.
+        known = _mentions(docs, text, F.sha2(F.col(text), 256).alias("_pii_text")).join(later, ["kind", "canonical"]).groupBy("_pii_text").agg(
             F.map_from_entries(F.collect_list(F.struct(_entity_key(F.col("kind"), F.col("canonical")), "surrogate"))).alias("_pii_later")
         )
-        rows = docs.withColumn("_pii_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known, "_pii_text", "left")
+        rows = docs.filter(held).withColumn("_pii_text", F.sha2(F.col(text), 256)).join(known, "_pii_text", "left")
         own = F.coalesce(F.col("_pii_later"), own)
 
     def piece(p: Column) -> Column:
@@ -348,4 +386,8 @@ def replaced(docs: DataFrame, key: str, text: str = "text", counts: dict[str, st
     rows = rows.withColumn("_pii_matches", _matches(text))
     new = F.when(F.size("_pii_matches") > 0, joined).otherwise(F.col(text))
     counted = [F.coalesce(F.size("_pii_matches"), F.lit(0)).cast("bigint").alias(name) for name in (counts or {}).values()]
-    return rows.select(*[new.alias(c) if c == text else F.col(c) for c in columns], *counted)
+    done = rows.select(*[new.alias(c) if c == text else F.col(c) for c in columns], *counted)
+    if not corrected:
+        return done
+    none = [F.lit(0).cast("bigint").alias(name) for name in (counts or {}).values()]
+    return done.union(docs.filter(~held).select(*columns, *none))
