@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,13 +82,12 @@ def no_impact_mass_in_features(rows: DataFrame, width: int, proba: Column | None
     return _row(rows, "no_impact_mass_in_features", F.sum(bad.cast("int")), "feature rows carry impact mass")
 
 
-def thresholds_ignore_test(ovr: DataFrame) -> DataFrame:
-    """Thresholds must not move when every test label is turned round."""
+def thresholds_ignore_test(ovr: DataFrame, choose: Callable[[DataFrame], DataFrame] = validation_thresholds) -> DataFrame:
+    """Thresholds, as `choose` takes them from all rows, must not move when every test label is turned round."""
     turned = ovr.withColumn("label", F.when(F.col("split") == "test", 1 - F.col("label")).otherwise(F.col("label")))
-    a = validation_thresholds(ovr)
-    b = validation_thresholds(turned).withColumnRenamed("threshold", "other")
+    b = choose(turned).withColumnRenamed("threshold", "other")
     moved = ~F.col("threshold").eqNullSafe(F.col("other"))
-    return _row(a.join(b, "stage", "full"), "thresholds_ignore_test", F.sum(moved.cast("int")), "thresholds moved")
+    return _row(choose(ovr).join(b, "stage", "full"), "thresholds_ignore_test", F.sum(moved.cast("int")), "thresholds moved")
 
 
 def chronological(violations: DataFrame) -> DataFrame:

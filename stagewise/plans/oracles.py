@@ -70,6 +70,24 @@ def _mode_of(table: str, keys: str, c: str) -> str:
 
 
 # Named building blocks; `sql` pulls in what a query names, in this order.
+def _thresholds(rows: str) -> str:
+    """Per stage the grid threshold with the best F1 over the given one-vs-rest rows."""
+    return f"""(SELECT stage, CASE WHEN P = 0 THEN 0.5 ELSE t END AS threshold FROM (
+        SELECT stage, t, P, row_number() OVER (PARTITION BY stage ORDER BY {_f1('tp', 'n - tp', 'P - tp')} DESC, t) AS rn FROM (
+          SELECT stage, k / 100.0::DOUBLE AS t, sum(label) AS P, sum(label) FILTER (score >= k / 100.0::DOUBLE) AS tp0,
+            coalesce(tp0, 0) AS tp, count(*) FILTER (score >= k / 100.0::DOUBLE) AS n
+          FROM {rows}, range(1, 100) g(k) GROUP BY stage, k)) WHERE rn = 1)"""
+
+
+_TURNED = "(SELECT split, stage, CASE WHEN split = 'test' THEN 1 - label ELSE label END AS label, score FROM ovr)"
+
+
+def _moved(where: str) -> str:
+    """Number of thresholds that differ once test labels are turned round."""
+    return f"""(SELECT count(*) FROM {_thresholds(f"(SELECT * FROM ovr WHERE {where})")} a FULL JOIN {_thresholds(f"(SELECT * FROM {_TURNED} WHERE {where})")} b USING (stage)
+        WHERE a.threshold IS DISTINCT FROM b.threshold)"""
+
+
 CTE = {
     "rec": f"""(SELECT *, {_severity('stage_label')} AS severity FROM (SELECT event_id, ts AS "timestamp", user_id::VARCHAR AS asset_id,
         json_extract_string(props, '$.k') AS peer_id, {ATTACK} AS raw_attack_type, value, event_type,
@@ -104,11 +122,7 @@ CTE = {
         round(value__max / (value__max + 50), 6) AS score, {_h(S.seed, 'asset_id', 'window_id')} AS hk FROM cuts WHERE label IS NOT NULL)""",
     "sc": _scored(1.0),
     "ovr": "(SELECT split, s AS stage, (y = list_position(['Benign','IAD','LMEP','IMP'], s) - 1)::INT AS label, p[list_position(['Benign','IAD','LMEP','IMP'], s)] AS score FROM sc, (SELECT unnest(['IAD','LMEP','IMP']) AS s))",
-    "thr": f"""(SELECT stage, CASE WHEN P = 0 THEN 0.5 ELSE t END AS threshold FROM (
-        SELECT stage, t, P, row_number() OVER (PARTITION BY stage ORDER BY {_f1('tp', 'n - tp', 'P - tp')} DESC, t) AS rn FROM (
-          SELECT stage, k / 100.0::DOUBLE AS t, sum(label) AS P, sum(label) FILTER (score >= k / 100.0::DOUBLE) AS tp0,
-            coalesce(tp0, 0) AS tp, count(*) FILTER (score >= k / 100.0::DOUBLE) AS n
-          FROM ovr, range(1, 100) g(k) WHERE split = 'val' GROUP BY stage, k)) WHERE rn = 1)""",
+    "thr": _thresholds("(SELECT * FROM ovr WHERE split = 'val')"),
     "ts": "(SELECT * FROM sc WHERE split = 'test')",
     "nf": "(SELECT asset_id, window_id, n_records::DOUBLE AS f0, value__max / 100 AS f1 FROM inst)",
     "nsplit": "(SELECT asset_id, window_id, split FROM inst JOIN spl USING (asset_id))",
@@ -258,7 +272,7 @@ _AUDIT_CHECKS = {
     "no_impact_in_prefix": (f"""(SELECT count(*) FROM fc WHERE EXISTS (SELECT 1 FROM tl WHERE tl.asset_id = fc.asset_id AND tl.severity = 3
         AND tl.pos BETWEEN fc.pos - {S.max_seq_len - 1} AND fc.pos))""", "prefixes hold an impact window"),
     "no_impact_mass_in_features": ("(SELECT count(*) FROM inst WHERE 0 / (0 + 1e-8) >= 0.99)", "feature rows carry impact mass"),
-    "thresholds_ignore_test": ("0", "thresholds moved"),
+    "thresholds_ignore_test": (_moved("split = 'val'"), "thresholds moved"),
     "chronological_windows": ("""(SELECT count(*) FROM (SELECT window_start_time, lag(window_start_time) OVER (PARTITION BY asset_id ORDER BY window_id) AS before FROM inst)
         WHERE window_start_time < before)""", "windows start before their predecessor"),
     "edges_well_formed": ("(SELECT count(*) FROM edge WHERE src_asset = dst_asset AND src_window = dst_window)", "malformed edges"),
@@ -267,7 +281,7 @@ _AUDIT_CHECKS = {
 _AUDIT = " UNION ALL ".join(
     f"SELECT '{name}' AS \"check\", {q} = 0 AS \"pass\", {q}::BIGINT::VARCHAR || ' {what}' AS detail" for name, (q, what) in _AUDIT_CHECKS.items()
 ) + " UNION ALL SELECT 'provenance_present', true, 'all tables stamped'"
-_AUDIT_NEEDS = "nsplit sub fc inst edge sc"
+_AUDIT_NEEDS = "nsplit sub fc inst edge sc ovr"
 
 _STAMPS = f"""'events' AS dataset, {S.seed} AS seed, left(sha256('{S.canonical_json()}'), 12) AS config_hash, '2024-01-01T00:00:00Z' AS timestamp_utc,
     'primary' AS mapping_variant, true AS is_real_data"""
@@ -358,8 +372,13 @@ def oracles() -> dict[str, str]:
         "no_impact_in_prefix": (f"""(SELECT count(*) FROM (SELECT max((cut_window_id % 5 = 0)::INT) OVER (PARTITION BY asset_id ORDER BY pos
             RANGE BETWEEN {S.max_seq_len - 1} PRECEDING AND CURRENT ROW) AS hit FROM fc) WHERE hit = 1)""", "prefixes hold an impact window"),
     }
-    q["audit_violations"] = sql("nsplit inst sc fc edge", " UNION ALL ".join(
-        f"SELECT '{name}' AS \"check\", {n} = 0 AS \"pass\", {n}::BIGINT::VARCHAR || ' {what}' AS detail" for name, (n, what) in planted.items()))
+    planted |= {
+        "no_impact_mass_in_features": ("(SELECT count(*) FROM inst WHERE window_id % 3 = 0)", "feature rows carry impact mass"),
+        "thresholds_ignore_test": (_moved("true"), "thresholds moved"),
+    }
+    q["audit_violations"] = sql("nsplit inst sc fc edge ovr", " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", {n} = 0 AS \"pass\", {n}::BIGINT::VARCHAR || ' {what}' AS detail" for name, (n, what) in planted.items()) +
+        " UNION ALL SELECT 'provenance_present', false, 'unstamped: counts'")
 
     # splits
     q["asset_split"] = sql("spl", "SELECT asset_id, split FROM spl")

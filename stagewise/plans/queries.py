@@ -719,7 +719,13 @@ def audit_violations(spark, folder):
     fitted_on_all = features.FeatureEncoder(["n_records", "value__max"], []).fit(rows)
     reached = F.when(F.col("window_id") % 5 == 0, F.lit("IMP")).otherwise(F.lit("Benign"))
     with_impact = sequences.prefixes(_forecast(p).withColumn("stage_label", reached), S.max_seq_len, ["window_id", "stage_label"])
+    # A third of the rows have their mass on a stage before impact, so one of their gates opens.
+    certain = F.when(F.col("window_id") % 3 == 0, F.array(*map(F.lit, (0.0, 0.0, 1.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+    on_all_rows = lambda ovr: ranking.validation_thresholds(ovr.withColumn("split", F.lit("val")))
     return audits.report([
+        audits.no_impact_mass_in_features(fitted_on_all.transform(rows), fitted_on_all.width, certain),
+        audits.thresholds_ignore_test(keep(_ovr(p)), on_all_rows),
+        audits.provenance_present({"stamped": stamped_results(spark, folder), "counts": windows.count_stages(p.labelled)}),
         audits.encoder_is_train_only(fitted_on_all, rows),
         audits.fold_graph_is_train_only(p.edges, nodes.unionByName(moved)),
         audits.no_impact_in_prefix(with_impact),

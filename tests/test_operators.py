@@ -221,6 +221,8 @@ def test_thresholds(spark):
     got = {r.stage: r.threshold for r in ranking.validation_thresholds(ovr).collect()}
     assert got == {"IMP": 0.31, "IAD": 0.5, "LMEP": 0.01}
     assert audits.thresholds_ignore_test(ovr).first()["pass"]
+    reads_test = lambda rows: ranking.validation_thresholds(rows.withColumn("split", F.lit("val")))
+    assert audits.thresholds_ignore_test(ovr, reads_test).first().detail.startswith("1 ")  # IMP alone has a test row
 
 
 @pytest.mark.parametrize("make", [bootstrap.instance_bootstrap, bootstrap.instance_bootstrap_multinomial, bootstrap.asset_bootstrap,
