@@ -1,6 +1,7 @@
 """Literal fixtures with hand-computed answers, and blocked operators against plain windows."""
 
 import collections
+import hashlib
 import random
 
 import numpy as np
@@ -372,3 +373,20 @@ def test_hot_asset_is_spread_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rounds_of_propagation_do_not_repeat_the_rounds_before(spark):
+    edges = spark.createDataFrame([("a", 0, "b", 0, "t"), ("b", 0, "a", 0, "t")], "src_asset string, src_window bigint, dst_asset string, dst_window bigint, edge_type string")
+    nodes = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 3.0)], "asset_id string, window_id bigint, f double")
+    scans = lambda rounds: propagation.convolve(nodes, edges, ["f"], rounds)._jdf.queryExecution().withCachedData().collectLeaves().size()
+    assert scans(4) == scans(2)
+
+
+def test_kept_tables_have_partitions_by_size(spark):
+    from stagewise.session import configure, keep
+
+    configure(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    kept = keep(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and kept.rdd.getNumPartitions() < 64
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
