@@ -390,3 +390,13 @@ def test_kept_tables_have_partitions_by_size(spark):
     kept = keep(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
     assert kept.count() == 7 and kept.rdd.getNumPartitions() < 64
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_instance_bootstrap_takes_the_seeded_picks(spark):
+    pairs = [(i % 4, i * 7 % 5 % 4) for i in range(1030)]  # more than a task's steps at once
+    rows = bootstrap.instance_bootstrap(spark.createDataFrame(pairs, "y int, pred int"), 2, 42)
+    assert "md5(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # the hash of text columns took most of the time
+    for r in rows.collect():
+        picks = [sorted(pairs)[int(hashlib.md5(f"42|{r.iteration}|{s}".encode()).hexdigest()[:15], 16) % len(pairs)] for s in range(len(pairs))]
+        assert all(r[metrics.cell(y, p)] == picks.count((y, p)) for y in range(4) for p in range(4))
+    assert bootstrap.instance_bootstrap(spark.createDataFrame([], "y int, pred int"), 2).count() == 0
