@@ -400,3 +400,13 @@ def test_instance_bootstrap_takes_the_seeded_picks(spark):
         picks = [sorted(pairs)[int(hashlib.md5(f"42|{r.iteration}|{s}".encode()).hexdigest()[:15], 16) % len(pairs)] for s in range(len(pairs))]
         assert all(r[metrics.cell(y, p)] == picks.count((y, p)) for y in range(4) for p in range(4))
     assert bootstrap.instance_bootstrap(spark.createDataFrame([], "y int, pred int"), 2).count() == 0
+
+
+def test_numbers_of_a_record_move_once(spark):
+    rows = [("a", 1, "x", "p", 1.0, 0), ("a", 1, "y", "p", 3.0, 2), ("a", 1, "y", None, None, 1), ("a", None, None, None, 5.0, 0), (None, None, "x", "q", 2.0, 3)]
+    df = spark.createDataFrame(rows, "asset_id string, window_id bigint, c string, d string, v double, severity int").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz"))
+    made = windows.instances(df, ["v"], ["c", "d"])
+    got = {(r.asset_id, r.window_id): (r.n_records, r.v__sum, r.v__max, r.severity, r.c__nunique, r.c__mode, r.d__nunique, r.d__mode) for r in made.collect()}
+    assert got == {("a", 1): (3, 4.0, 3.0, 2, 2, "y", 1, "p"), ("a", None): (1, 5.0, 5.0, 0, 0, None, 0, None), (None, None): (1, 2.0, 2.0, 3, 1, "x", 1, "q")}
+    counted = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "_text" in line]
+    assert counted and not any("avg(" in line for line in counted)
