@@ -97,3 +97,9 @@ def test_stacking_scores_every_row_once(spark):
     out = models.stacked(base)
     assert out.filter(F.size("proba") != 4).count() == 0 and out.count() == 150
     assert set(models.base_views(base)) == {"forest", "graph", "late_fusion"}
+
+
+def test_linear_fits_pass_over_tasks_worth_their_rows(spark, monkeypatch):
+    assert models._gathered(spark.range(100).repartition(64), 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "ROWS_A_TASK", 10)
+    assert models._gathered(spark.range(100).repartition(64), 100).rdd.getNumPartitions() == 10
