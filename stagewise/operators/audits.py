@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions.vectors import evidence_gates, gated_stream
 from stagewise.operators.features import FeatureEncoder, numeric_params
-from stagewise.operators.graph import induced_subgraph
+from stagewise.operators.graph import EDGE_COLUMNS, induced_subgraph
 from stagewise.operators.ranking import validation_thresholds
 
 
@@ -95,16 +95,26 @@ def chronological(violations: DataFrame) -> DataFrame:
 
 
 def edges_well_formed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Self loops, ends without a node, and edges without their reverse."""
+    """Self loops, ends without a node, and edges without their reverse.
+
+    An edge and its reverse fall onto one key and are counted, so every edge moves once, and once more as a count for its source.
+    """
     loops = (F.col("src_asset") == F.col("dst_asset")) & (F.col("src_window") == F.col("dst_window"))
-    ends = nodes.select(F.col("asset_id").alias("src_asset"), F.col("window_id").alias("src_window"))
     # As edges hold both directions, checking the sources checks every end.
-    orphans = edges.join(ends, ["src_asset", "src_window"], "left_anti")
-    turned = edges.select(F.col("dst_asset").alias("src_asset"), F.col("dst_window").alias("src_window"),
-                          F.col("src_asset").alias("dst_asset"), F.col("src_window").alias("dst_window"), "edge_type")
-    lonely = edges.join(turned, edges.columns, "left_anti")
-    bad = edges.filter(loops).select("edge_type").unionByName(orphans.select("edge_type")).unionByName(lonely.select("edge_type"))
-    return _row(bad, "edges_well_formed", F.count("*"), "malformed edges")
+    sources = edges.groupBy("src_asset", "src_window").agg(F.count("*").alias("n"))
+    ends = nodes.select(F.col("asset_id").alias("src_asset"), F.col("window_id").alias("src_window"))
+    orphans = sources.join(ends, ["src_asset", "src_window"], "left_anti")
+    src, dst = (F.struct(f"{side}_asset", f"{side}_window") for side in ("src", "dst"))
+    turn = lambda a, b: [F.when(src <= dst, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{a}_{c}") for c in ("asset", "window")]
+    counted = edges.groupBy(*turn("src", "dst"), *turn("dst", "src"), "edge_type").agg(
+        F.count(F.when(src <= dst, True)).alias("n_there"), F.count(F.when(src > dst, True)).alias("n_back"))
+    known = F.lit(True)  # an end or a type that is missing equals no other
+    for c in EDGE_COLUMNS:
+        known &= F.col(c).isNotNull()
+    met = known & (loops | ((F.col("n_there") > 0) & (F.col("n_back") > 0)))
+    lonely = counted.filter(~F.coalesce(met, F.lit(False))).select((F.col("n_there") + F.col("n_back")).alias("n"))
+    bad = edges.filter(loops).select(F.lit(1).cast("bigint").alias("n")).unionByName(orphans.select("n")).unionByName(lonely)
+    return _row(bad, "edges_well_formed", F.sum("n"), "malformed edges")
 
 
 def probabilities_sum_to_one(scored: DataFrame) -> DataFrame:
