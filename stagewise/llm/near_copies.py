@@ -12,7 +12,8 @@ Buckets miss pairs; those are found exactly. Of two sets as similar as asked, ea
 first floor(0.2 n) + 1 share one. The order is from rare to frequent, by counts of slots, so that common lines come last. Documents
 emit these shingles with the number of their set where they are read, no text moves for it; a shingle goes on if different sets
 have it and then if different classes have it. Stars of shared shingles join what is left of large groups. Then all pairs of
-different classes that could still be alike by the places of what they share (`_may_be_alike`) and by their sizes are verified.
+different classes that could still be alike by the places of what they share (`_may_be_alike`), by their sizes and by their
+parities (`_near_parities`) are verified. All three are bounds that no near copies break, so nothing is lost.
 
 No bucket is capped. Texts with the same shingles are one node. NULL and empty texts have no shingle and are copies of each other; a
 text of fewer than five words is one shingle. Rows without a doc_id are left out. Rows that repeat a doc_id are one document, linked
@@ -38,9 +39,10 @@ ORDERS = 3  # anchors and windows of fingerprint bits
 STARS = 4  # rows of a key that the others are compared with
 STAR_ROUNDS = 2  # rounds of the exact step that compare with stars before all pairs that are left
 SLOTS = 1 << 16  # counters of shingles by hash, for the order of the exact step
+PARITIES = 16  # words of 64 bits that tell how many shingles, odd or even, a set has in each slot
 RADIUS = 22  # differing bits beyond which a bucket's candidate is not verified; at similarity 0.8, 1 pair in 10,000 is beyond
 
-SIGNATURE = "doc_id bigint, digest binary, set bigint, n bigint, fp bigint, anchors array<bigint>, slots binary"
+SIGNATURE = "doc_id bigint, digest binary, set bigint, n bigint, fp bigint, anchors array<bigint>, parities array<bigint>, slots binary"
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -72,6 +74,12 @@ def _bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES slots: whether a set has an odd number of shingles there."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _set_number(hashes: np.ndarray) -> int:
     """64 bits of a set's digest, signed."""
     import xxhash
@@ -80,7 +88,7 @@ def _set_number(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Per document: digest, number and size of its shingle set, fingerprint, and the least shingle of each order.
+    """Per document: digest, number and size of its shingle set, fingerprint, and the least shingle of each order, parities.
 
     Each task adds a row without a doc_id that holds its counts of shingles by slot.
     """
@@ -88,7 +96,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("anchors", pa.list_(pa.int64())), ("slots", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("anchors", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64())), ("slots", pa.binary())])
         salts, held = _mixed(np.arange(1, ORDERS + 1, dtype=np.uint64)), np.zeros(SLOTS, np.int64)
         for batch in batches:
             rows = []
@@ -97,10 +105,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Dat
                 held += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
                 anchors = np.array([_mixed(hashes ^ s).min() for s in salts] if len(hashes) else [], np.uint64).view(np.int64)
                 fp = int(np.uint64(_bits(hashes)).astype(np.int64))
-                rows.append((doc_id, xxhash.xxh3_128_digest(hashes.tobytes()), _set_number(hashes), len(hashes), fp, anchors, None))
+                rows.append((doc_id, xxhash.xxh3_128_digest(hashes.tobytes()), _set_number(hashes), len(hashes), fp, anchors, _parities(hashes), None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None] * 6 + [held.tobytes()], schema.types)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None] * 7 + [held.tobytes()], schema.types)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.filter("doc_id IS NOT NULL").mapInArrow(run, SIGNATURE)
@@ -154,6 +162,23 @@ def _nearest(nodes: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def _near_parities(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets (n, parities) may be as similar as asked by what slots they hold shingles in.
+
+    A shingle that one of two sets has and the other lacks turns one bit, so the sets differ in at least as many shingles as their
+    parities do in bits. Sets as similar as asked differ in (1 - similarity) / (1 + similarity) of their summed sizes at most.
+    """
+    apart = sum(F.bit_count(F.col(f"{a}parities")[i].bitwiseXOR(F.col(f"{b}parities")[i])) for i in range(PARITIES))
+    return apart <= F.floor((F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def _still_near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the stored pairs (a, b) of nodes that have sets with near parities."""
+    a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("parities").alias(f"{s}_parities")) for s in "ab")
+    found = small_side(pairs).join(a, "a").join(b, "b").filter(_near_parities("a_", "b_", similarity)).select("a", "b").distinct()
+    return stored(found, "near")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """Those of the stored pairs (a, b) whose shingle sets are as similar as asked. Only their texts are read into sets."""
 
@@ -252,8 +277,8 @@ def _may_be_alike(a: str, b: str, similarity: float) -> Column:
 
 
 def _between_classes(met: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows (key, node, class, place, p, n) of keys that several classes have."""
-    rows = stored(met.join(small_side(named), "set").select("key", "node", "class", "place", "p", "n"), "placed")
+    """Rows (key, set, node, class, place, p, n) of keys that several classes have."""
+    rows = stored(met.join(small_side(named), "set").select("key", "set", "node", "class", "place", "p", "n"), "placed")
     several = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
     found = stored(rows.join(several.select("key"), "key", "left_semi"), "shared")
     discard(rows)
@@ -273,8 +298,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     """Per doc_id: component_id, the least doc_id reachable by near copies, itself included."""
     signed = stored(signatures(docs, shingle, seed), "signatures")
     counts = _slot_counts(signed)
-    signed = signed.filter("doc_id IS NOT NULL").select("doc_id", "digest", "set", "n", "fp", "anchors")
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("set", "n", "fp", "anchors")).alias("s"))
+    signed = signed.filter("doc_id IS NOT NULL").select("doc_id", "digest", "set", "n", "fp", "anchors", "parities")
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("set", "n", "fp", "anchors", "parities")).alias("s"))
     nodes = stored(nodes.select("digest", "node", "s.*"), "nodes")
 
     # Copies of a set go where its node goes. A doc_id with several texts links their nodes.
@@ -283,7 +308,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     torn = placed.join(torn, "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, docs, similarity, shingle, seed)
+        return _verified(_still_near(pairs, nodes, similarity), docs, similarity, shingle, seed)
 
     # The nearest of each node's buckets.
     named = _joined(nodes.select("set", "node", F.col("node").alias("class")), verified(_nearest(nodes, similarity)).unionByName(torn))
@@ -297,8 +322,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         named = _joined(named, verified(stored(pairs.filter("a < b").distinct(), "pairs")))
         discard(shared, shuffles=True)
     shared = _between_classes(met, named)
-    a, b = (shared.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "class", "place", "p", "n")]) for s in "ab")
-    pairs = a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & _may_be_alike("a_", "b_", similarity))
+    sided = shared.join(nodes.select("set", "parities"), "set")
+    a, b = (sided.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "class", "place", "p", "n", "parities")]) for s in "ab")
+    pairs = a.join(b, "key").filter((F.col("a_node") < F.col("b_node")) & _may_be_alike("a_", "b_", similarity) & _near_parities("a_", "b_", similarity))
     named = _joined(named, verified(stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")))
     discard(met, shared)
     return placed.join(named.select("node", "class").distinct(), "node").groupBy("doc_id").agg(F.min("class").alias("component_id"))
