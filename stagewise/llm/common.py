@@ -15,12 +15,15 @@ from stagewise.session import configure, ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word in every contract of this folder
 BROADCAST_ROWS = 1 << 18  # narrow rows up to which a table is broadcast
 BATCH_ROWS = 2000  # rows per Arrow batch; texts are long
+SCAN_ROWS = 4096  # rows that a Parquet scan decodes at once, Spark's default
+FEW_ROWS = 256  # either of them where a long job's executors keep the memory that large batches of texts once took
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Plan-time options the operators were written for."""
+def ready(spark: SparkSession, batch_rows: int = BATCH_ROWS, scan_rows: int = SCAN_ROWS) -> SparkSession:
+    """Plan-time options the operators were written for. Fewer rows at once take less memory of an executor, the rows stay the same."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(scan_rows))
     # Python workers that share the driver's disk find this package where the driver did; a cluster gets it by --py-files.
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):

@@ -179,21 +179,35 @@ def _still_near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
     return stored(found, "near")
 
 
+def _similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of sorted 8-byte hashes are as similar as asked; sets without a shingle are not."""
+    both = np.sort(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(both) > common and common / (len(both) - common) >= similarity
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """Those of the stored pairs (a, b) whose shingle sets are as similar as asked. Only their texts are read into sets."""
+    """Those of the stored pairs (a, b) whose shingle sets are as similar as asked. Only their texts are read into sets.
+
+    A set is one value of sorted 8-byte hashes: lists of numbers would be taken apart and built again by each step on their way.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), shingle, seed).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+            found = [shingle_set(t.as_py(), shingle, seed).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [_similar(a.as_py(), b.as_py(), similarity) for a, b in zip(batch.column("hashes_a"), batch.column("hashes_b"))]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = stored(texts.join(small_side(wanted), "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, hashes array<bigint>"), "sets")
+    sets = stored(texts.join(small_side(wanted), "doc_id", "left_semi").mapInArrow(hashed, "doc_id bigint, hashes binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b")))
-    alike = F.col("common") / (F.size("hashes_a") + F.size("hashes_b") - F.col("common")) >= similarity
-    found = stored(both.filter(alike).select("a", "b").distinct(), "verified")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
+    found = stored(both.mapInArrow(compared, "a bigint, b bigint").distinct(), "verified")
     discard(wanted, sets)
     return found
 
